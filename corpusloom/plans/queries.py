@@ -23,12 +23,12 @@ def query(name: str, sql: str | None = None):
 
 _P4 = """WITH RECURSIVE one AS (SELECT conversation_id, node_id, max(parent) AS parent FROM chatgpt_node
     WHERE conversation_id IS NOT NULL AND node_id IS NOT NULL GROUP BY conversation_id, node_id),
-up AS (SELECT a.conversation_id, a.node_id, a.parent AS at FROM one a JOIN one b ON b.conversation_id = a.conversation_id AND b.node_id = a.parent
-    UNION SELECT u.conversation_id, u.node_id, a.parent FROM up u JOIN one a ON a.conversation_id = u.conversation_id AND a.node_id = u.at
+up AS (SELECT a.conversation_id, a.node_id, a.parent AS anc FROM one a JOIN one b ON b.conversation_id = a.conversation_id AND b.node_id = a.parent
+    UNION SELECT u.conversation_id, u.node_id, a.parent FROM up u JOIN one a ON a.conversation_id = u.conversation_id AND a.node_id = u.anc
     JOIN one b ON b.conversation_id = a.conversation_id AND b.node_id = a.parent)"""
 
 
-@query("p4_found", _P4 + "\nSELECT DISTINCT conversation_id, node_id FROM up WHERE at = node_id")
+@query("p4_found", _P4 + "\nSELECT DISTINCT conversation_id, node_id FROM up WHERE anc = node_id")
 def p4_found(spark, d):
     return hierarchy.cycle_nodes(table(spark, d, "chatgpt_node"), "node_id", "parent", ["conversation_id"], "exported_at")
 
