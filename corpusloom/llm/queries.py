@@ -1,6 +1,6 @@
 """The queries of the llm operators, and the SQL that says the same where SQL can."""
 
-from corpusloom.llm import distinctive, rank_fusion
+from corpusloom.llm import distinctive, packing, rank_fusion, splitting, tokenizer
 from corpusloom.session import table
 
 Q = {}
@@ -64,3 +64,28 @@ def p7_found(spark, d):
 def p7_scores(spark, d):
     from pyspark.sql import functions as F
     return distinctive.distinctiveness(table(spark, d, "posting"), "chunk_idx", "term", "term_frequency").withColumn("score", F.round("score", 6))
+
+
+VOCABULARY = tokenizer.VOCABULARY
+CAPACITY, LIMIT, OVERLAP = 4_096, 2_048, 128
+
+
+@query("p8_ids")
+def p8_ids(spark, d):
+    return tokenizer.encoded(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("p9_pack")
+def p9_pack(spark, d):
+    return packing.packed(table(spark, d, "documents"), "doc_id", "text", CAPACITY)
+
+
+@query("p10_found")
+def p10_found(spark, d):
+    cut = splitting.split_texts(table(spark, d, "documents"), "doc_id", "text", LIMIT, OVERLAP, with_text=False)
+    return cut.filter("piece = 1").select("doc_id")
+
+
+@query("p10_pieces")
+def p10_pieces(spark, d):
+    return splitting.split_texts(table(spark, d, "documents"), "doc_id", "text", LIMIT, OVERLAP)
