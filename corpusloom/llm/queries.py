@@ -1,6 +1,6 @@
 """The queries of the llm operators, and the SQL that says the same where SQL can."""
 
-from corpusloom.llm import distinctive, packing, rank_fusion, splitting, tokenizer
+from corpusloom.llm import conversations, distinctive, packing, rank_fusion, splitting, tokenizer
 from corpusloom.session import table
 
 Q = {}
@@ -89,3 +89,36 @@ def p10_found(spark, d):
 @query("p10_pieces")
 def p10_pieces(spark, d):
     return splitting.split_texts(table(spark, d, "documents"), "doc_id", "text", LIMIT, OVERLAP)
+
+
+def _segments(spark, d, with_text):
+    streams = []
+    for name, form in (("codex_session", conversations.codex_lines), ("droid_session", conversations.droid_lines)):
+        schema = table(spark, d, name).schema
+        # A pattern may stand for one file as well as for a folder; a stream takes no path that is a file.
+        streams.append(form(spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]"), with_text))
+    return conversations.drained(spark, streams)
+
+
+_P5 = r"""WITH lines AS (SELECT DISTINCT 'codex' AS agent, session_id, rollout_path AS file, line_no, timestamp AS ts,
+        CASE WHEN type = 'response_item' AND payload.type = 'message' AND len([x FOR x IN payload.content IF coalesce(regexp_matches(x.text, '[^\s\p{Z}\p{C}]'), FALSE)]) > 0
+        THEN lower(trim(payload.role)) END AS role FROM codex_session
+    UNION ALL SELECT DISTINCT 'droid', session_id, file_path, line_no, timestamp,
+        CASE WHEN type = 'message' AND len([x FOR x IN message.content IF coalesce(regexp_matches(x.text, '[^\s\p{Z}\p{C}]'), FALSE)]) > 0
+        THEN lower(trim(message.role)) END FROM droid_session),
+timed AS (SELECT *, CASE WHEN regexp_full_match(ts, '[0-9]{13}') THEN to_timestamp(CAST(ts AS BIGINT) / 1000.0) ELSE TRY_CAST(ts AS TIMESTAMPTZ) END AS moment,
+    CASE WHEN role IN ('user', 'human') THEN 'u' WHEN role IN ('assistant', 'agent', 'model') THEN 'a' END AS who FROM lines),
+files AS (SELECT agent, session_id, file, min(moment) AS file_at, min(line_no) <> 1 OR max(line_no) <> count(DISTINCT line_no) AS holes FROM timed GROUP BY ALL),
+turns AS (SELECT agent, session_id, coalesce(string_agg(who, '' ORDER BY file_at, file, line_no), '') AS turns, bool_or(holes) AS incomplete
+    FROM timed JOIN files USING (agent, session_id, file) GROUP BY agent, session_id)"""
+
+
+@query("p5_found", _P5 + """
+SELECT agent, session_id FROM turns WHERE turns = '' OR turns LIKE 'a%' OR turns LIKE '%uu%' OR turns LIKE '%u' OR incomplete""")
+def p5_found(spark, d):
+    return conversations.verdicts(_segments(spark, d, False)).filter("broken").select("agent", "session_id")
+
+
+@query("p5_conversations")
+def p5_conversations(spark, d):
+    return conversations.messages(_segments(spark, d, True))
