@@ -1,6 +1,6 @@
 """The queries of the llm operators, and the SQL that says the same where SQL can."""
 
-from corpusloom.llm import conversations, distinctive, packing, rank_fusion, splitting, tokenizer
+from corpusloom.llm import conversations, distinctive, markup, packing, rank_fusion, scans, splitting, tokenizer
 from corpusloom.session import table
 
 Q = {}
@@ -122,3 +122,37 @@ def p5_found(spark, d):
 @query("p5_conversations")
 def p5_conversations(spark, d):
     return conversations.messages(_segments(spark, d, True))
+
+
+def _scans(spark, d):
+    return scans.repaired(table(spark, d, "conversion_result"), "result_id", "markdown")
+
+
+@query("p1_found")
+def p1_found(spark, d):
+    return scans.noise(*_scans(spark, d), "result_id")
+
+
+@query("p1_text")
+def p1_text(spark, d):
+    return scans.corrected(*_scans(spark, d), "result_id").select("result_id", "text")
+
+
+_MARKED = (("prepared_document", "prepared_id", "canonical_text"), ("conversion_result", "result_id", "markdown"))
+
+
+def _cleaned(spark, d):
+    from pyspark.sql import functions as F
+    parts = [markup.cleaned(table(spark, d, t), k, c).select(F.lit(t).alias("origin"), F.col(k).alias("item_id"), "clean_text", "markup") for t, k, c in _MARKED]
+    return parts[0].unionByName(parts[1])
+
+
+@query("p2_found")
+def p2_found(spark, d):
+    from pyspark.sql import functions as F
+    return _cleaned(spark, d).filter("item_id is not null").select("origin", "item_id", F.explode("markup").alias("markup")).distinct()
+
+
+@query("p2_text")
+def p2_text(spark, d):
+    return _cleaned(spark, d).select("origin", "item_id", "clean_text")
