@@ -30,9 +30,9 @@ _START = {
     "first": [0.80, 0.10, 0.08, 0.02],
     "next": [[0.85, 0.012, 0.012, 0.126], [0.35, 0.01, 0.14, 0.50], [0.30, 0.28, 0.01, 0.41], [0.85, 0.06, 0.06, 0.03]],
     "kind": [[1e-6, 0.010, 0.002, 0.003, 0.085, 0.90], [1e-6, 0.001, 0.001, 0.14, 0.84, 0.018], [1e-6, 0.42, 0.57, 0.001, 0.005, 0.001], [1 - 5e-6] + [1e-6] * 5],
-    "recurs": [[0.97, 0.0295, 0.0005], [0.12, 0.03, 0.85], [0.05, 0.01, 0.94], [0.98, 0.01, 0.01]],
-    "breaks": [[0.998, 0.002], [0.45, 0.55], [0.45, 0.55], [0.99, 0.01]],
-    "edge": [[0.96, 0.04], [0.5, 0.5], [0.5, 0.5], [0.9, 0.1]],
+    "recurs": [[0.97, 0.0295, 0.0005], [0.006, 0.0005, 0.9935], [0.05, 0.01, 0.94], [0.98, 0.01, 0.01]],
+    "breaks": [[0.9995, 0.0005], [0.45, 0.55], [0.45, 0.55], [0.99, 0.01]],
+    "edge": [[0.85, 0.15], [0.5, 0.5], [0.5, 0.5], [0.9, 0.1]],
 }
 _SHAPE = {"first": (1, 4), "next": (4, 4), "kind": (4, 6), "recurs": (4, 3), "breaks": (4, 2), "edge": (4, 2)}
 #: The beliefs weigh as much as this share of all lines.
@@ -50,6 +50,7 @@ _BARE = re.compile(r"\d{1,5}")
 _STYLED = re.compile(r"(?:[-–—]\s*(\d{1,5})\s*[-–—])|\[\s*(\d{1,5})\s*\]|\(\s*(\d{1,5})\s*\)|(?:p(?:age|ag|ág|g)?|s(?:eite)?|página|pagina|seite)\.?\s*(\d{1,5})(?:\s*(?:of|de|von|/|sur)\s*\d{1,5})?", re.I)
 _MIXED = (re.compile(r"(\d{1,5})\s{2,}(\S.*)"), re.compile(r"(.*\S)\s{2,}(\d{1,5})"))
 _ENDS = re.compile(r"[.!?…:;。！？][\"'”’)\]]*$")
+_TITLE = re.compile(r"[^\W_][^<>\\{}=`~#*_\[\]]*|[@|!$][^<>\\{}=`~#*_\[\]]+")
 _LOWER = re.compile(r"[\s\"'“‘(\[]*[^\W\d_]")
 _SKELETON = [("rn", "m"), ("in", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("ri", "n")]
 _SAME = str.maketrans("0158@|!$ceobhi9qg6uftvy3l", "olsbalisccohhlggghnttvvcl")
@@ -120,7 +121,8 @@ class Page:
         self.before = dict(zip(filled[1:], filled))
         self.number = {k: x for k in filled if (x := _number(bare[k]))}
         self.chain = _chains([(k, s, v) for k, (s, v, _) in self.number.items()])
-        short = {k for k in filled if len(bare[k]) <= max(0.8 * self.width, 12) and not _ENDS.search(bare[k]) and not re.search(r"[-,|‐­¬]$", bare[k])}
+        short = {k for k in filled if len(bare[k]) <= max(0.8 * self.width, 12) and not _ENDS.search(bare[k]) and not re.search(r"[-,|‐­¬]$|[.?!,] ", bare[k])
+                 and _TITLE.fullmatch(bare[k]) and sum(c.isalpha() for c in bare[k]) >= 4}
         mixed = {k for k, (s, _, _) in self.number.items() if s == "mixed"}
         self.kind = [0] * n
         for k in filled:
@@ -131,6 +133,13 @@ class Page:
         self.edge = [False] * n
         for k in filled:
             self.edge[k] = k in touches_feed or k - 1 in paged or k + 1 in paged
+        like: dict[str, list[int]] = {}
+        for x in filled:
+            if self.kind[x] in (3, 4):
+                body = self.number[x][2] if x in mixed else bare[x]
+                if sum(c.isalpha() for c in body) >= 4:
+                    like.setdefault(_skeleton(body), []).append(x)
+        self.again = {x for same in like.values() if len(same) >= 2 for x in same}
         self.breaks = [False] * n
         spare = {k for k in filled if self.kind[k] in (1, 2, 3, 4)}
         k = 0
@@ -146,18 +155,14 @@ class Page:
                 for b in range(a, min(j, a + 3)):
                     self._mark(filled[a : b + 1])
             k = j
-        like: dict[str, list[int]] = {}
-        for x in filled:
-            if self.kind[x] in (3, 4):
-                body = self.number[x][2] if x in mixed else bare[x]
-                if sum(c.isalpha() for c in body) >= 4:
-                    like.setdefault(_skeleton(body), []).append(x)
         self.recurs = [0] * n
         for same in like.values():
             if len(same) >= 2:
-                proof = sum(self.breaks[x] or self.edge[x] or x == filled[0] or x in self.chain for x in same)
+                # Standing at an edge may be chance; interrupting a sentence, opening the text or counting pages is none, nor is it
+                # for a line of three words to come a third time.
+                proof = sum(self.breaks[x] or x == filled[0] or x in self.chain for x in same)
                 for x in same:
-                    self.recurs[x] = 2 if proof >= 0.4 * len(same) else 1
+                    self.recurs[x] = 2 if proof or len(same) >= 3 and len(bare[x].split()) >= 3 or sum(self.edge[x] for x in same) > 0.7 * len(same) else 1
         for x in self.chain:
             self.recurs[x] = 2
 
@@ -173,11 +178,13 @@ class Page:
         if a is None or b is None:
             return
         x, y = self.bare[a], self.bare[b]
-        if _ENDS.search(x) or x.endswith((",", " -")) and False or not ((m := _LOWER.match(y)) and m[0][-1].islower()):
+        if _ENDS.search(x) or not ((m := _LOWER.match(y)) and m[0][-1].islower()):
             return
+        if self.kind[a] != 5 and (a == 0 or not self.bare[a - 1] or _ENDS.search(self.bare[a - 1])):
+            return  # what stands alone above is no unfinished sentence
         if all(self.bare[k][:1].islower() for k in run):
             return
-        apart = any(not self.bare[k] or self.feed[k] for k in range(a + 1, b)) or any(self.feed[k] for k in range(a + 1, b + 1)) or any(k in self.chain for k in run)
+        apart = any(not self.bare[k] or self.feed[k] for k in range(a + 1, b)) or any(self.feed[k] for k in range(a + 1, b + 1)) or any(k in self.chain or k in self.again for k in run)
         if apart:
             for k in run:
                 if not self.bare[k][:1].islower():
