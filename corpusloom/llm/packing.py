@@ -52,82 +52,97 @@ def least(sizes: list[int], capacity: int) -> int:
     return best
 
 
-def _fillings(counts: Counter, room: int, budget: int) -> list[tuple[int, ...]]:
-    """Undominated sets of sizes from counts that fit into room, fullest first; of very many, those met within budget steps."""
-    sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
-    found: list[tuple[int, ...]] = []
+def _fillings(up: list[int], counts: dict[int, int], room: int, budget: int) -> list[tuple[int, ...]]:
+    """Undominated sets of the sizes left (up: all sizes, ascending; counts: how many are left of each) that fit into room, fullest
+    first; of very many, those met within budget steps of a search that takes large sizes first."""
+    found: set[tuple[int, ...]] = set()
     steps = 0
 
-    def go(k: int, left: int, chosen: list[int]) -> None:
+    def go(k: int, left: int, chosen: tuple[int, ...]) -> None:
         nonlocal steps
         steps += 1
         if steps > budget:
             return
-        while k < len(sizes) and sizes[k] > left:
-            k += 1
-        if k == len(sizes):
-            found.append(tuple(chosen))
+        k = min(k, bisect.bisect_right(up, left))
+        while k and not counts[up[k - 1]]:
+            k -= 1
+        if not k:
+            found.add(chosen)
             return
-        s = sizes[k]
+        s = up[k - 1]
         for n in range(min(counts[s], left // s), -1, -1):
-            go(k + 1, left - n * s, chosen + [s] * n)
-
-    go(0, room, [])
-    kept = []
-    for f in {f for f in found}:
-        slack, used = room - sum(f), Counter(f)
-        spare = sorted(s for s in sizes if counts[s] > used[s])
-        # Dominated: some of the chosen could be replaced by one larger item that is left out and still fits.
-        sums = {sum(c) for n in range(0, min(len(f), 4) + 1) for c in combinations(f, n)}
-        if not any((k := bisect.bisect_right(spare, t) if t else 0) < len(spare) and spare[k] <= t + slack for t in sums):
-            kept.append(f)
+            go(k - 1, left - n * s, chosen + (s,) * n)
+
+    go(len(up), room, ())
+
+    def dominated(f: tuple[int, ...]) -> bool:
+        """Some of the chosen could be replaced by one larger size that is left out and still fits."""
+        slack = room - sum(f)
+        most = 4 if len(f) <= 8 else 2 if len(f) <= 16 else 1  # fewer together where there are many: the test only saves work
+        for t in {sum(c) for n in range(min(len(f), most) + 1) for c in combinations(f, n)}:
+            k = bisect.bisect_right(up, t)
+            while k < len(up) and up[k] <= t + slack:
+                if counts[up[k]] > f.count(up[k]):
+                    return True
+                k += 1
+        return False
+
+    kept = [f for f in found if not dominated(f)]
     return sorted(kept or found, key=lambda f: (-sum(f), len(f), f))
 
 
 def complete(sizes: list[int], capacity: int, budget: int = 4_000) -> list[list[int]]:
-    """Containers of sizes, none of which exceeds capacity. Optimal if it ends within budget steps, which is a time bound, not a
-    bound on items; else the best packing met, never worse than best fit decreasing."""
+    """Containers of sizes, none of which exceeds capacity. Optimal if it ends within budget fillings tried, which is a time bound,
+    not a bound on items; else the best packing met, never worse than best fit decreasing."""
     best, low = best_fit(sizes, capacity), least(sizes, capacity)
-    total, steps = sum(sizes), 0
+    total, steps, waste = sum(sizes), 0, 0
     if len(best) <= low:
         return best
-    counts = Counter(sizes)
-    order = sorted(counts, reverse=True)
-    # Each level of the stack: the untried fillings of a container, and what the present one took.
-    stack: list[tuple[int, list[tuple[int, ...]]]] = []
-    done: list[list[int]] = []
-    waste = 0
-
-    def open_one() -> tuple[int, list[tuple[int, ...]]]:
-        s = next(s for s in order if counts[s])
+    counts = dict(Counter(sizes))
+    up = sorted(counts)
+    left, top = len(sizes), len(up) - 1
+    # Each level of the stack: the untried fillings of a container, the fullest last, and where the largest size stood.
+    stack: list[tuple[list[tuple[int, ...]], int]] = []
+    done: list[tuple[int, ...]] = []
+
+    def open_one() -> None:
+        nonlocal top
+        was = top
+        while not counts[up[top]]:
+            top -= 1
+        s = up[top]
         counts[s] -= 1
-        fill = _fillings(counts, capacity - s, 200)
+        fill = _fillings(up, counts, capacity - s, 200)
         counts[s] += 1
-        return s, fill[::-1]
+        stack.append(([(s, *f) for f in reversed(fill)], was))
 
-    stack.append(open_one())
+    open_one()
     while stack and steps < budget and len(best) > low:
-        if len(done) == len(stack):  # back from below: put this level's filling back
-            for s in done[-1]:
+        if len(done) == len(stack):  # back from below: this level's filling is put back
+            back = done.pop()
+            for s in back:
                 counts[s] += 1
-            waste -= capacity - sum(done.pop())
-        s, fill = stack[-1]
+            waste -= capacity - sum(back)
+            left += len(back)
+        fill, was = stack[-1]
         if not fill:
+            top = was
             stack.pop()
             continue
         steps += 1
-        take = [s, *fill.pop()]
+        take = fill.pop()
         if waste + capacity - sum(take) > (len(best) - 1) * capacity - total:
             fill.clear()  # the others waste more
             continue
-        for x in take:
-            counts[x] -= 1
+        for s in take:
+            counts[s] -= 1
         done.append(take)
         waste += capacity - sum(take)
-        if not any(counts.values()):
-            best = [list(b) for b in done]
+        left -= len(take)
+        if left:
+            open_one()
         else:
-            stack.append(open_one())
+            best = [list(b) for b in done]
     return best
 
 
