@@ -1,24 +1,12 @@
-"""The queries of the core operators, and the SQL that says the same: {name: (function(spark, dir), sql or None)}."""
+"""Queries of hierarchies and incremental processing, and the list of all core queries."""
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import hierarchy, incremental
+from corpusloom.plans.registry import Q, SQL, query
 from corpusloom.session import table
 
-Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def put(f):
-        Q[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-    return put
+__all__ = ["Q", "SQL"]
 
 
 _P4 = """WITH RECURSIVE one AS (SELECT conversation_id, node_id, max(parent) AS parent FROM chatgpt_node
@@ -66,3 +54,6 @@ def p6_low_water(spark, d):
     first = incremental.first_deliveries(table(spark, d, "wal_record"))
     done = incremental.ledger(first, incremental.successful_runs(table(spark, d, "operation_checkpoint"), table(spark, d, "segment_descriptor")))
     return incremental.low_water(first, done)
+
+
+from corpusloom.plans import text_queries  # noqa: E402, F401  (they register themselves)
