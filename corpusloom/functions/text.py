@@ -105,22 +105,32 @@ def date_parts(c: Column) -> Column:
     The day is the nearest of three tokens before the name, else of three after; the year any number from 1900 to 2100, or null.
     Null if there is no date.
     """
-    toks = folded_tokens(c)
-    as_int = lambda t: F.when(t.rlike("^[0-9]{1,9}$"), t).try_cast("int")
-    nums = F.filter(F.transform(toks, as_int), lambda n: n.isNotNull())
-    full = F.filter(F.transform(nums, lambda n, i: F.struct(n.alias("year"), F.get(nums, i + 1).alias("month"), F.get(nums, i + 2).alias("day"))),
-                    lambda d: d["year"].between(1900, 2100) & d["month"].between(1, 12) & d["day"].between(1, 31))
     month = F.lit(None).cast("int")
+
     def number(t: Column) -> Column:
         out = month
         for k, names in enumerate(MONTHS):
             out = F.when(t.isin(names), k + 1).otherwise(out)
         return out
-    day = lambda t: F.when(as_int(t).between(1, 31), as_int(t))
-    year = F.get(F.filter(nums, lambda n: n.between(1900, 2100)), F.lit(0))
-    near = lambda i: F.coalesce(*[F.when(i + k >= 0, day(F.get(toks, i + k))) for k in (-1, -2, -3, 1, 2, 3)])
-    named = F.filter(F.transform(toks, lambda t, i: F.struct(year.alias("year"), number(t).alias("month"), near(i).alias("day"))), lambda d: d["month"].isNotNull() & d["day"].isNotNull())
-    return F.coalesce(F.get(full, F.lit(0)), F.get(named, F.lit(0)))
+
+    def as_int(t: Column) -> Column:
+        return F.when(t.rlike("^[0-9]{1,9}$"), t).try_cast("int")
+
+    def day(t: Column) -> Column:
+        return F.when(as_int(t).between(1, 31), as_int(t))
+
+    def find(toks: Column, nums: Column) -> Column:
+        full = F.filter(F.transform(nums, lambda n, i: F.struct(n.alias("year"), F.get(nums, i + 1).alias("month"), F.get(nums, i + 2).alias("day"))),
+                        lambda d: d["year"].between(1900, 2100) & d["month"].between(1, 12) & d["day"].between(1, 31))
+        year = F.get(F.filter(nums, lambda n: n.between(1900, 2100)), F.lit(0))
+        named = F.filter(F.transform(toks, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x["t"].isin([n for m in MONTHS for n in m]))
+        dated = F.filter(F.transform(named, lambda x: F.struct(year.alias("year"), number(x["t"]).alias("month"), F.coalesce(
+            *[F.when(x["i"] + k >= 0, day(F.get(toks, x["i"] + k))) for k in (-1, -2, -3, 1, 2, 3)]).alias("day"))), lambda d: d["day"].isNotNull())
+        return F.coalesce(F.get(full, F.lit(0)), F.get(dated, F.lit(0)))
+
+    # A one-element transform binds its value, so that the text is cut into tokens once and not for each of them.
+    numbers = lambda ts: F.filter(F.transform(ts, as_int), lambda n: n.isNotNull())
+    return F.get(F.transform(F.array(folded_tokens(c)), lambda ts: F.get(F.transform(F.array(numbers(ts)), lambda ns: find(ts, ns)), F.lit(0))), F.lit(0))
 
 
 def date_ordinal(d: Column) -> Column:

@@ -81,8 +81,8 @@ win AS (SELECT a.k, a.n AS year, b.n AS month, c.n AS day, a.j FROM num a JOIN n
     WHERE a.n BETWEEN 1900 AND 2100 AND b.n BETWEEN 1 AND 12 AND c.n BETWEEN 1 AND 31),
 f AS (SELECT k, arg_min(year, j) AS year, arg_min(month, j) AS month, arg_min(day, j) AS day FROM win GROUP BY k),
 yr AS (SELECT k, arg_min(n, j) AS year FROM num WHERE n BETWEEN 1900 AND 2100 GROUP BY k),
-near AS (SELECT m.k, m.i, {MONTH.format('m.t')} AS month, arg_min(CAST(x.t AS INT), CASE WHEN x.i < m.i THEN m.i - x.i ELSE 3 + x.i - m.i END) AS day FROM tok m
-    JOIN tok x ON x.k = m.k AND x.i <> m.i AND abs(x.i - m.i) <= 3 WHERE {MONTH.format('m.t')} IS NOT NULL AND regexp_full_match(x.t, '[0-9]{{1,9}}') AND CAST(x.t AS INT) BETWEEN 1 AND 31 GROUP BY ALL),
+near AS (SELECT m.k, m.i, {MONTH.format('m.t')} AS month, arg_min(CAST(x.t AS INT), CASE WHEN x.i < m.i THEN m.i - x.i ELSE 3 + x.i - m.i END) AS day FROM (SELECT * FROM tok WHERE {MONTH.format('t')} IS NOT NULL) m
+    JOIN tok x ON x.k = m.k AND x.i <> m.i AND x.i BETWEEN m.i - 3 AND m.i + 3 WHERE {MONTH.format('m.t')} IS NOT NULL AND regexp_full_match(x.t, '[0-9]{{1,9}}') AND CAST(x.t AS INT) BETWEEN 1 AND 31 GROUP BY ALL),
 nm AS (SELECT n.k, arg_min(n.month, n.i) AS month, arg_min(n.day, n.i) AS day FROM near n GROUP BY n.k),
 dated AS (SELECT coalesce(f.k, nm.k) AS k, CASE WHEN f.k IS NOT NULL THEN f.year ELSE yr.year END AS year, coalesce(f.month, nm.month) AS month, coalesce(f.day, nm.day) AS day
     FROM f FULL JOIN nm ON nm.k = f.k LEFT JOIN yr ON yr.k = coalesce(f.k, nm.k))"""
