@@ -63,20 +63,19 @@ def spread(edge: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
 
 
 def pagerank(nodes: DataFrame, links: DataFrame, steps: int = 20, damping: float = 0.85) -> DataFrame:
-    """(doc_id, rank) over different links; what nodes without links hold is shared by all. Lineage is cut every five steps."""
-    n = nodes.count()
-    out = links.select("doc_id", "target_id").distinct()
+    """(doc_id, rank) over different links; what nodes without links hold is shared by all. Each step is written, so that a lost executor costs one step."""
+    out = cut(links.select("doc_id", "target_id").distinct(), "links")
     degree = out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree"))
-    flow = out.join(degree, "doc_id")
-    rank = nodes.select("doc_id", F.lit(1.0 / max(n, 1)).alias("rank"))
-    for k in range(steps):
-        sinks = rank.join(degree, "doc_id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        got = flow.join(rank, "doc_id").groupBy(F.col("target_id").alias("doc_id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        lost = sinks.first()[0]
-        rank = nodes.join(got, "doc_id", "left").select("doc_id", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank"))
-        if k % 5 == 4:
-            rank = cut(rank, "pagerank")
-    return rank
+    flow = cut(out.join(degree, "doc_id"), "flow")
+    nodes = cut(nodes.select("doc_id").join(degree, "doc_id", "left"), "nodes")
+    n = nodes.count()
+    rank = nodes.select("doc_id", "degree", F.lit(1.0 / max(n, 1)).alias("rank"))
+    for _ in range(steps):
+        lost = rank.filter("degree is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        got = flow.join(rank.select("doc_id", "rank"), "doc_id").groupBy(F.col("target_id").alias("doc_id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
+        step = nodes.join(got, "doc_id", "left").select("doc_id", "degree", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank"))
+        rank = cut(step, "pagerank")
+    return rank.select("doc_id", "rank")
 
 
 def orphans(docs: DataFrame, links: DataFrame) -> DataFrame:

@@ -5,10 +5,15 @@ from pyspark.sql import functions as F
 from corpusloom.operators import graph, vectors
 from corpusloom.plans.registry import query
 from corpusloom.plans.retrieval_queries import CHUNKS, RANK, chunks, index, r6
-from corpusloom.plans.text_queries import CANON, LINKS, PSTEM, STEM, TOKENS, asked, docs
+from corpusloom.plans.text_queries import CANON, LINKS, PSTEM, STEM, TOKENS, asked
 from corpusloom.session import table
 
-RESOLVED = LINKS + f""",
+#: Pages about regions, nations, customers and suppliers that link to each other, for what needs links that lead somewhere.
+GEO = """documents AS (SELECT CAST(r_regionkey AS BIGINT) AS doc_id, 'geo/region/' || r_name || '.md' AS source_path, r_name AS title, '# ' || r_name AS text FROM region
+    UNION ALL SELECT 100 + n_nationkey, 'geo/nation/' || n_name || '.md', n_name, '# ' || n_name || chr(10) || chr(10) || 'Part of [[region/' || r_name || '|the region]].' FROM nation JOIN region ON r_regionkey = n_regionkey
+    UNION ALL SELECT 1000 + c_custkey, 'geo/customer/' || c_name || '.md', c_name, '# ' || c_name || chr(10) || chr(10) || 'Lives in [[' || n_name || '#place]], buys [[' || c_mktsegment || ']].' FROM customer JOIN nation ON n_nationkey = c_nationkey
+    UNION ALL SELECT 100000000 + s_suppkey, 'geo/nation/' || s_name || '.md', s_name, '# ' || s_name || chr(10) || chr(10) || 'Ships from [[' || n_name || ']].' FROM supplier JOIN nation ON n_nationkey = s_nationkey)"""
+RESOLVED = GEO + "," + LINKS + f""",
 keyed AS (SELECT doc_id, {CANON.format('source_path')} AS path, {PSTEM.format('source_path')} AS stem FROM documents),
 want AS (SELECT DISTINCT l.doc_id, target, {CANON.format('target')} AS path, {PSTEM.format('target')} AS stem, k.path AS own FROM links l JOIN keyed k ON k.doc_id = l.doc_id),
 exact AS (SELECT path, max(doc_id) AS id FROM keyed GROUP BY path),
@@ -20,8 +25,22 @@ resolved AS (SELECT doc_id, target, target_id FROM (SELECT w.doc_id, target, coa
 edge AS (SELECT src, dst, max(w) AS w FROM (SELECT doc_id AS src, target_id AS dst, 1.0 AS w FROM resolved UNION ALL SELECT target_id, doc_id, 0.35 FROM resolved) GROUP BY src, dst)"""
 
 
+def pages(spark, d):
+    r, n, c, s = (table(spark, d, t) for t in ("region", "nation", "customer", "supplier"))
+    n = n.join(r, n.n_regionkey == r.r_regionkey)
+
+    def page(df, key, folder, name, *body):
+        text = F.concat(F.lit("# "), F.col(name), *[F.lit(x) if isinstance(x, str) else x for x in body])
+        return df.select(key.cast("bigint").alias("doc_id"), F.concat(F.lit(f"geo/{folder}/"), F.col(name), F.lit(".md")).alias("source_path"), F.col(name).alias("title"), text.alias("text"))
+
+    return page(r, F.col("r_regionkey"), "region", "r_name").unionByName(
+        page(n, 100 + F.col("n_nationkey"), "nation", "n_name", "\n\nPart of [[region/", F.col("r_name"), "|the region]].")).unionByName(
+        page(c.join(n, c.c_nationkey == n.n_nationkey), 1000 + F.col("c_custkey"), "customer", "c_name", "\n\nLives in [[", F.col("n_name"), "#place]], buys [[", F.col("c_mktsegment"), "]].")).unionByName(
+        page(s.join(n, s.s_nationkey == n.n_nationkey), 100_000_000 + F.col("s_suppkey"), "nation", "s_name", "\n\nShips from [[", F.col("n_name"), "]]."))
+
+
 def links(spark, d):
-    return graph.resolved_links(docs(spark, d))
+    return graph.resolved_links(pages(spark, d))
 
 
 @query("j08_link_resolution", f"WITH {RESOLVED} SELECT doc_id, target, target_id FROM resolved")
@@ -51,21 +70,22 @@ _STEP = """m{n} AS (SELECT query_id, doc_id, sum(mass) AS mass FROM (SELECT m.qu
     UNION ALL SELECT query_id, doc_id, mass * 0.25 FROM m0) GROUP BY query_id, doc_id)"""
 
 
-@query("g03_spread", f"""WITH {RANK}, {SEEDS}, {RESOLVED}, share AS (SELECT e.src AS doc_id, dst, CAST(w AS DOUBLE) / sum(w) OVER (PARTITION BY src) AS p FROM edge e),
+@query("g03_spread", f"""WITH {RESOLVED}, seeds AS (SELECT CAST(c_nationkey AS BIGINT) AS query_id, 1000 + c_custkey AS doc_id, c_acctbal / 10000 AS score FROM customer), share AS (SELECT e.src AS doc_id, dst, CAST(w AS DOUBLE) / sum(w) OVER (PARTITION BY src) AS p FROM edge e),
 m0 AS (SELECT query_id, doc_id, CAST(score AS DOUBLE) / sum(score) OVER (PARTITION BY query_id) AS mass FROM seeds WHERE score > 0), {', '.join(_STEP.format(n=n, o=n - 1) for n in (1, 2, 3))},
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(mass, 12) DESC, doc_id) AS k, max(mass) OVER (PARTITION BY query_id) AS most FROM m3)
 SELECT query_id, doc_id, CAST(round(mass / most, 6) AS DOUBLE) AS graph FROM k WHERE k <= 40""")
 def g03(spark, d):
-    return r6(graph.spread(graph.edges(links(spark, d)), seeds(spark, d), 40), "graph")
+    rich = table(spark, d, "customer").select(F.col("c_nationkey").cast("bigint").alias("query_id"), (1000 + F.col("c_custkey")).alias("doc_id"), (F.col("c_acctbal") / 10000).alias("score"))
+    return r6(graph.spread(graph.edges(links(spark, d)), rich, 40), "graph")
 
 
 _LSTEM = "lower(" + STEM.format(CANON) + ")"
 
 
-@query("g05_dead_links", f"""WITH {LINKS}, want AS (SELECT DISTINCT doc_id, target FROM links) SELECT doc_id, target FROM want w WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE {CANON.format('x.source_path')} = {CANON.format('w.target')})
+@query("g05_dead_links", f"""WITH {GEO}, {LINKS}, want AS (SELECT DISTINCT doc_id, target FROM links) SELECT doc_id, target FROM want w WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE {CANON.format('x.source_path')} = {CANON.format('w.target')})
 AND NOT EXISTS (SELECT 1 FROM documents x WHERE {_LSTEM.format('x.source_path')} = {_LSTEM.format('w.target')})""")
 def g05(spark, d):
-    return graph.dead_links(docs(spark, d))
+    return graph.dead_links(pages(spark, d))
 
 
 @query("g06_pagerank", f"""WITH RECURSIVE {RESOLVED}, lk AS MATERIALIZED (SELECT DISTINCT doc_id, target_id FROM resolved), deg AS MATERIALIZED (SELECT doc_id, count(*) AS degree FROM lk GROUP BY doc_id),
@@ -76,12 +96,12 @@ pr AS (SELECT 0 AS step, doc_id, 1.0 / (SELECT n FROM cnt) AS rank FROM nd UNION
     LEFT JOIN (SELECT lk.target_id, sum(rank / degree) AS got FROM pr JOIN lk ON lk.doc_id = pr.doc_id JOIN deg ON deg.doc_id = pr.doc_id GROUP BY lk.target_id) g ON g.target_id = nd.doc_id WHERE p.step < 20)
 SELECT doc_id, CAST(round(rank, 6) AS DOUBLE) AS rank FROM pr WHERE step = 20""")
 def g06(spark, d):
-    return r6(graph.pagerank(docs(spark, d).select("doc_id"), links(spark, d)), "rank")
+    return r6(graph.pagerank(pages(spark, d).select("doc_id"), links(spark, d)), "rank")
 
 
 @query("g07_orphans", f"WITH {RESOLVED} SELECT doc_id, source_path FROM documents WHERE doc_id NOT IN (SELECT target_id FROM resolved)")
 def g07(spark, d):
-    return graph.orphans(docs(spark, d), links(spark, d))
+    return graph.orphans(pages(spark, d), links(spark, d))
 
 
 COOC = CHUNKS + f""",

@@ -59,3 +59,4 @@ def p6_low_water(spark, d):
 from corpusloom.plans import text_queries  # noqa: E402, F401  (they register themselves)
 from corpusloom.plans import retrieval_queries  # noqa: E402, F401
 from corpusloom.plans import graph_queries  # noqa: E402, F401
+from corpusloom.plans import upkeep_queries  # noqa: E402, F401
