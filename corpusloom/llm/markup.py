@@ -188,8 +188,8 @@ class _Reader(HTMLParser):
             self.link = max(0, self.link - 1)
         if tag in ("ul", "ol") and self.lists:
             self.lists.pop()
-        if re.fullmatch("h[1-6]", tag) or tag in BLOCK:
-            self._put("\n" if tag in ("br", "tr") else "\n\n")
+        if re.fullmatch("h[1-6]", tag) or tag in BLOCK and tag not in ("br", "hr"):
+            self._put("\n" if tag == "tr" else "\n\n")
 
     def handle_data(self, data: str) -> None:
         if self.silent:
@@ -306,7 +306,7 @@ _CLEAN = {
         (r"^#REDIRECT\s*", "", re.M | re.I), (r"\{\{[^{}\n|]+\}\}", "", 0), (r"\{\{([^{}]*)\}\}", _template, 0), (r"!?\[\[([^\[\]\n]+)\]\]", _target, 0),
         (r"^(={2,6})(?!=)[ \t]*(\S(?:[^\n]*?\S)?)[ \t]*\1[ \t]*$", lambda m: f"\n{'#' * len(m[1])} {m[2]}\n", re.M), (r"'''(?=\S)([^\n]+?)'''", r"\1", 0), (r"(?<!')''(?=[^\s'])([^\n]+?)''(?!')", r"\1", 0),
         (r"^\{\|[^\n]*$|^\|\}[ \t]*$|^\|-[^\n]*$", "", re.M), (r"^[|!](?![}-])[ \t]*([^\n]*)$", lambda m: "| " + re.sub(r"\s*(?:\|\||!!)\s*", " | ", m[1]), re.M),
-        (r"\[(?:https?|ftp)://[^\s\[\]]+[ \t]+([^\[\]\n]+)\]", r"\1", re.I), (r"^(\*+)[ \t]*", lambda m: "  " * (len(m[1]) - 1) + "- ", re.M), (r"__(?:NO)?TOC__", "", 0),
+        (r"\[(?:https?|ftp)://[^\s\[\]]+[ \t]+([^\[\]\n]+)\]", r"\1", re.I), (r"^(\*+)(?:[ \t]+|(?=\[\[|''))", lambda m: "  " * (len(m[1]) - 1) + "- ", re.M), (r"__(?:NO)?TOC__", "", 0),
     ),
     "latex": _subs(
         (r"\\(sub)*(?:section|chapter|paragraph)\*?\{([^{}\n]*)\}", lambda m: "\n" + "#" * (1 + m[0].count("sub")) + f" {m[2]}\n", 0), (r"^[ \t]*\\item(?:\[([^\]]*)\])?[ \t]*", lambda m: "- " + (m[1] or ""), re.M),
