@@ -90,7 +90,7 @@ def chunks(docs: DataFrame, tokens: int = 512, overlap: int = 64) -> DataFrame:
 
 
 def _section_array():
-    pieces = F.split(F.concat(F.lit("\n"), F.col("text")), "\n#")
+    pieces = F.split(F.concat(F.lit("\n"), F.col("text")), "(?<=\n)#")
     named = F.transform(pieces, lambda p, i: F.struct(
         F.when(i > 0, F.regexp_replace(F.regexp_replace(F.regexp_extract(p, r"\A([^\n]*)", 1), "^#+", ""), _EDGES, "")).alias("title"),
         F.when(i > 0, F.regexp_extract(p, r"(?s)\A[^\n]*\n(.*)\z", 1)).otherwise(F.substr(p, F.lit(2))).alias("body")))

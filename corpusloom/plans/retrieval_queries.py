@@ -16,7 +16,7 @@ def index(spark, d):
     return retrieval.Index.build(chunks(spark, d))
 
 
-CHUNKS = r"""pieces AS (SELECT doc_id, source_path, title, text, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT *, string_split(chr(10) || text, chr(10) || '#') AS ps FROM documents
+CHUNKS = r"""pieces AS (SELECT doc_id, source_path, title, text, unnest([x || CASE WHEN k < len(ps) THEN chr(10) ELSE '' END FOR x, k IN ps]) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT *, string_split(chr(10) || text, chr(10) || '#') AS ps FROM documents
     WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> '')),
 secs AS (SELECT *, CASE WHEN i > 1 THEN regexp_replace(regexp_replace(string_split(p, chr(10))[1], '^#+', ''), '^\s+|\s+$', '', 'g') END AS section_title,
     CASE WHEN i > 1 THEN CASE WHEN contains(p, chr(10)) THEN substr(p, strpos(p, chr(10)) + 1) ELSE '' END ELSE substr(p, 2) END AS body FROM pieces),
