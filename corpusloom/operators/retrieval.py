@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.session import cut
 
 K1, B = 1.2, 0.75
 # Weights of the features of a chunk and of a document, by mode of the query.
@@ -64,36 +65,47 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
+    """Written tables of the corpus, built once and read by every batch of queries."""
+
     chunks: DataFrame
+    post: DataFrame
+    lens: DataFrame
+    meta: DataFrame
+    profile: DataFrame
     n_chunks: int
     average: float
     n_docs: int
 
     @classmethod
     def build(cls, chunks: DataFrame) -> "Index":
-        n, average = corpus_stats(chunks).first()
-        return cls(chunks, n, average, chunks.agg(F.count_distinct("doc_id")).first()[0])
+        chunks = cut(chunks, "chunks")
+        post = cut(postings(chunks).repartitionByRange("token").sortWithinPartitions("token"), "postings")  # row groups hold few tokens, so a query's are found by their bounds
+        lens, meta = cut(lengths(chunks), "lengths"), cut(metadata_postings(chunks), "metadata")
+        n, total = lens.agg(F.count(F.lit(1)), F.sum("length")).first()
+        paths = chunks.groupBy("source_path").agg(F.count(F.lit(1)).alias("n_path"))
+        return cls(chunks, post, lens, meta, cut(profiles(chunks).join(paths, "source_path"), "profiles"), n, max(total / n, 1.0) if n else 1.0, chunks.agg(F.count_distinct("doc_id")).first()[0])
+
+    def _alternatives(self, queries: DataFrame) -> DataFrame:
+        """(query_id, grp, token, idf) of the alternatives that the corpus has."""
+        alts = query_terms(queries).select("query_id", F.col("term").alias("grp"), F.explode(T.alternatives(F.col("term"))).alias("token"))
+        df = self.post.join(alts.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        return alts.join(df.select("token", idf(F.lit(self.n_chunks), F.col("df")).alias("idf")), "token")
 
     def group_scores(self, queries: DataFrame) -> DataFrame:
         """(query_id, grp, chunk_id, score, idf): BM25 of the best alternative of each query term in each chunk."""
-        alts = query_terms(queries).select("query_id", F.col("term").alias("grp"), F.explode(T.alternatives(F.col("term"))).alias("token"))
-        wanted = postings(self.chunks).join(alts.select("token").distinct(), "token", "left_semi")
-        df = wanted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).select("token", idf(F.lit(self.n_chunks), F.col("df")).alias("idf"))
-        hit = wanted.join(df, "token").join(lengths(self.chunks), "chunk_id").join(alts, "token")
+        hit = self.post.join(self._alternatives(queries), "token").join(self.lens, "chunk_id")
         norm = K1 * (1 - B + B * F.col("length") / self.average)
         score = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-        best = hit.groupBy("query_id", "grp", "chunk_id").agg(F.max(F.struct(score.alias("score"), F.col("idf"))).alias("b"))
-        return best.select("query_id", "grp", "chunk_id", "b.score", "b.idf")
+        # Plain doubles keep this a hash aggregate; the largest struct would have to be sorted for.
+        return hit.withColumn("score", score).groupBy("query_id", "grp", "chunk_id").agg(F.max("score").alias("score"), F.max_by("idf", "score").alias("idf"))
 
     def total_idf(self, queries: DataFrame) -> DataFrame:
-        alts = query_terms(queries).select("query_id", F.col("term").alias("grp"), F.explode(T.alternatives(F.col("term"))).alias("token"))
-        df = postings(self.chunks).join(alts.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        per = alts.join(df, "token").groupBy("query_id", "grp").agg(F.max(idf(F.lit(self.n_chunks), F.col("df"))).alias("w"))
+        per = self._alternatives(queries).groupBy("query_id", "grp").agg(F.max("idf").alias("w"))
         return per.groupBy("query_id").agg(F.sum("w").alias("total_idf"))
 
     def metadata_weights(self, queries: DataFrame) -> DataFrame:
         """(query_id, term, numeric, weight)."""
-        w = query_terms(queries).join(metadata_frequencies(self.chunks), "term", "left")
+        w = query_terms(queries).join(self.meta.join(query_terms(queries).select("term").distinct(), "term", "left_semi").select("term", "doc_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term", "left")
         numeric = F.col("term").rlike("^[0-9]+$")
         return w.select("query_id", "term", numeric.alias("numeric"), ((F.log((F.lit(max(self.n_docs, 1)) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1) * F.when(numeric, 2.5).otherwise(1.0)).alias("weight"))
 
@@ -101,16 +113,16 @@ class Index:
         """(query_id, chunk_id, metadata, hits, numeric_hits)."""
         w = self.metadata_weights(queries)
         total = w.groupBy("query_id").agg(F.sum("weight").alias("total"))
-        m = w.join(metadata_postings(self.chunks), "term").groupBy("query_id", "chunk_id").agg(
+        m = w.join(self.meta, "term").groupBy("query_id", "chunk_id").agg(
             F.sum("weight").alias("w"), F.count(F.lit(1)).alias("hits"), F.count(F.when(F.col("numeric"), 1)).alias("numeric_hits"))
         return m.join(total, "query_id").select("query_id", "chunk_id", (F.col("w") / F.col("total")).alias("metadata"), "hits", "numeric_hits")
 
-    def candidates(self, queries: DataFrame, limit: int = 320) -> DataFrame:
+    def candidates(self, queries: DataFrame, limit: int = 320, scores: DataFrame | None = None) -> DataFrame:
         """(query_id, chunk_id, lexical, coverage, metadata, prefilter, tier, rank) of the best limit chunks of each query.
 
         Tier 0 matches all numbers of a query with three or more; tier 1 the rest. Ties go by chunk.
         """
-        acc = self.group_scores(queries).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("bm25"), F.sum("idf").alias("matched"), F.count(F.lit(1)).alias("groups"))
+        acc = (scores if scores is not None else self.group_scores(queries)).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("bm25"), F.sum("idf").alias("matched"), F.count(F.lit(1)).alias("groups"))
         most = acc.groupBy("query_id").agg(F.max("bm25").alias("most"))
         size = query_terms(queries).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_groups"), F.count(F.when(F.col("term").rlike("^[0-9]+$"), 1)).alias("n_numeric"))
         per = size.join(most, "query_id", "left").join(self.total_idf(queries), "query_id", "left")
@@ -124,11 +136,11 @@ class Index:
         w = Window.partitionBy("query_id").orderBy("tier", -F.round("prefilter", 9), "chunk_id")
         return c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
-    def document_scores(self, queries: DataFrame) -> DataFrame:
+    def document_scores(self, queries: DataFrame, scores: DataFrame | None = None) -> DataFrame:
         """(query_id, doc_id, lexical_doc, doc_coverage, specificity): shares of a query's terms in a document and its metadata."""
         doc = (F.col("chunk_id") / 100_000).cast("bigint")
-        content = self.group_scores(queries).select("query_id", "grp", doc.alias("doc_id")).distinct().groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("content"))
-        meta = query_terms(queries).join(metadata_postings(self.chunks).select("term", "doc_id").distinct(), "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("meta"))
+        content = (scores if scores is not None else self.group_scores(queries)).select("query_id", "grp", doc.alias("doc_id")).distinct().groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("content"))
+        meta = query_terms(queries).join(self.meta.select("term", "doc_id").distinct(), "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("meta"))
         n = query_terms(queries).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
         s = content.join(meta, ["query_id", "doc_id"], "full").join(n, "query_id")
         a, b = F.coalesce("meta", F.lit(0)), F.coalesce("content", F.lit(0))
@@ -136,22 +148,26 @@ class Index:
         return s.select("query_id", "doc_id", ((2 * a + b) / (3 * F.col("n"))).alias("lexical_doc"), cov.alias("doc_coverage"),
                         F.when(cov >= 0.99, 0.18).when(cov >= 0.75, 0.08).otherwise(0.0).alias("specificity"))
 
+    def featured(self, queries: DataFrame, limit: int = 320, scores: DataFrame | None = None) -> DataFrame:
+        """candidates() with the features of each, rescored."""
+        q = queries.select("query_id", F.array_distinct(T.exact_terms(F.col("query_text"))).alias("terms"), T.fold(F.trim("query_text")).alias("folded"), T.query_mode(F.col("query_text")).alias("mode"))
+        return features(self.candidates(queries, limit, scores).join(self.profile, "chunk_id").join(cut(q, "queries"), "query_id"))
+
     def ranked_documents(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
         """(query_id, doc_id, source_path, score, confidence, rank): candidates rescored, rolled up to documents by source path.
 
         Graph, embedding and semantic scores are 0 here; add them as columns of the candidates to mix them in.
         """
-        q = queries.withColumn("terms", F.array_distinct(T.exact_terms(F.col("query_text")))).withColumn("folded", T.fold(F.trim("query_text"))).withColumn("mode", T.query_mode(F.col("query_text")))
-        paths = self.chunks.groupBy("source_path").agg(F.count(F.lit(1)).alias("n_path"))
-        c = self.candidates(queries, max(top_k, 10) * 32).join(self.chunks.select(chunk_id(), "doc_id", "source_path", "title", "section_title"), "chunk_id").join(paths, "source_path").join(q, "query_id")
-        f = features(c)
+        queries = cut(queries, "queries")
+        scores = cut(self.group_scores(queries), "scores")
+        f = self.featured(queries, max(top_k, 10) * 32, scores)
         w = Window.partitionBy("query_id", "source_path").orderBy(-F.round("score", 9), "rank")
         f = f.withColumn("at", F.row_number().over(w))
         d = f.groupBy("query_id", "source_path").agg(
             F.max(F.when(F.col("at") == 1, F.col("score"))).alias("best"), F.coalesce(F.max(F.when(F.col("at") == 2, F.col("score"))), F.lit(0.0)).alias("second"),
             F.max("metadata_overlap").alias("metadata"), F.max("exact_bonus").alias("exact_bonus"), F.max("exactness").alias("exactness"), F.max("entity").alias("entity"),
             F.max("coverage").alias("coverage"), F.min_by("doc_id", "at").alias("doc_id"), F.first("mode").alias("mode"))
-        d = d.join(self.document_scores(queries), ["query_id", "doc_id"], "left").fillna(0.0, ["lexical_doc", "doc_coverage", "specificity"]).withColumn("graph", F.lit(0.0))
+        d = d.join(self.document_scores(queries, scores), ["query_id", "doc_id"], "left").fillna(0.0, ["lexical_doc", "doc_coverage", "specificity"]).withColumn("graph", F.lit(0.0))
         d = d.withColumn("score", mixed(DOCUMENT_MIX) + F.col("specificity"))
         order = Window.partitionBy("query_id").orderBy(-F.round("score", 9), "source_path")
         d = d.withColumn("rank", F.row_number().over(order)).withColumn("next_score", F.lead("score").over(order)).filter(F.col("rank") <= top_k)
@@ -175,34 +191,39 @@ def metadata_overlap(terms: Column, metadata: Column) -> Column:
     return F.when((F.size(terms) > 0) & (F.size(metadata) > 0), total(F.array_intersect(terms, metadata)) / total(terms)).otherwise(0.0)
 
 
-def exactness(terms: Column, folded_query: Column, metadata: Column, stem: Column) -> Column:
+def profiles(chunks: DataFrame) -> DataFrame:
+    """What features() needs of each chunk's metadata, worked out once a chunk and not once a candidate."""
+    stem = T.file_stem(F.col("source_path"))
+    names = F.filter(F.array_distinct(F.array(T.fold(F.col("title")), T.fold(stem), T.fold(T.strip_date_prefix(stem)))), lambda a: a.isNotNull() & (F.trim(a) != ""))
+    return chunks.select(
+        chunk_id(), "doc_id", "source_path", "title", "section_title", F.array_distinct(T.tokens(metadata_text())).alias("md"), T.fold(metadata_text()).alias("fmd"), T.folded_tokens(metadata_text()).alias("fmd_words"),
+        T.fold(stem).alias("stem"), F.transform(names, lambda a: F.struct(a.alias("name"), T.tokens(a).alias("words"))).alias("aliases"))
+
+
+def exactness(terms: Column, folded_query: Column, metadata: Column, words: Column, stem: Column) -> Column:
     """1 if the folded metadata holds the whole query, else the share of its terms, and .25 if the file's name helps to hold all."""
-    share = F.size(F.filter(terms, lambda t: F.array_contains(T.tokens(metadata), t))) / F.size(terms)
+    share = F.size(F.array_intersect(terms, words)) / F.size(terms)
     named = F.when((stem != "") & F.forall(terms, lambda t: F.contains(stem, t) | F.contains(metadata, t)), 0.25).otherwise(0.0)
     return F.when((F.size(terms) == 0) | (metadata == ""), 0.0).when(F.contains(metadata, folded_query), 1.0).otherwise(F.least(share + named, F.lit(1.0)))
 
 
-def entity(terms: Column, folded_query: Column, title: Column, path: Column) -> Column:
+def entity(terms: Column, folded_query: Column, aliases: Column) -> Column:
     """How well the query names the document by its title, file name, or that without its date."""
-    stem = T.file_stem(path)
-    aliases = F.filter(F.array_distinct(F.array(T.fold(title), T.fold(stem), T.fold(T.strip_date_prefix(stem)))), lambda a: a.isNotNull() & (F.trim(a) != ""))
-
     def score(a: Column) -> Column:
-        words = T.tokens(a)
-        hit = F.size(F.filter(terms, lambda t: F.array_contains(words, t) | F.contains(a, t))) / F.size(terms)
-        pair = F.exists(F.sequence(F.lit(1), F.greatest(F.size(terms) - 1, F.lit(1))), lambda k: F.coalesce(F.contains(a, F.concat_ws(" ", F.get(terms, k - 1), F.get(terms, k))), F.lit(False)) & (F.size(terms) >= 2))
-        return F.when(F.contains(folded_query, a), 1.0).when(F.size(words) == 0, 0.0).otherwise(F.least(hit + F.when(pair, 0.2).otherwise(0.0), F.lit(1.0)))
+        hit = F.size(F.filter(terms, lambda t: F.array_contains(a["words"], t) | F.contains(a["name"], t))) / F.size(terms)
+        pair = F.exists(F.transform(terms, lambda t, k: F.when(k + 1 < F.size(terms), F.concat(t, F.lit(" "), F.get(terms, k + 1)))), lambda p: F.coalesce(F.contains(a["name"], p), F.lit(False)))
+        return F.when(F.contains(folded_query, a["name"]), 1.0).when(F.size(a["words"]) == 0, 0.0).otherwise(F.least(hit + F.when(pair, 0.2).otherwise(0.0), F.lit(1.0)))
 
     return F.when(F.size(terms) == 0, 0.0).otherwise(F.coalesce(F.array_max(F.transform(aliases, score)), F.lit(0.0)))
 
 
 def features(c: DataFrame) -> DataFrame:
-    """Adds metadata_overlap, exact_bonus, exactness, entity, compactness and score to candidates joined with chunks and queries."""
-    md = F.array_distinct(T.tokens(metadata_text()))
-    folded = T.fold(F.concat_ws(" ", "source_path", "title", "section_title"))
-    c = c.withColumn("metadata_overlap", metadata_overlap(F.col("terms"), md)).withColumn("exact_bonus", F.when((F.size("terms") > 0) & (F.size(F.array_except("terms", md)) == 0), 0.35).otherwise(0.0))
-    c = c.withColumn("exactness", exactness(F.col("terms"), F.col("folded"), folded, T.fold(T.file_stem(F.col("source_path"))))).withColumn("entity", entity(F.col("terms"), F.col("folded"), F.col("title"), F.col("source_path")))
-    c = c.withColumn("compactness", compactness(F.col("n_path"))).withColumns({n: F.lit(0.0) for n in ("semantic", "embedding", "graph") if n not in c.columns})
+    """Adds metadata_overlap, exact_bonus, exactness, entity, compactness and score to candidates joined with profiles and queries."""
+    terms, md = F.col("terms"), F.col("md")
+    c = c.withColumns({
+        "metadata_overlap": metadata_overlap(terms, md), "exact_bonus": F.when((F.size(terms) > 0) & (F.size(F.array_except(terms, md)) == 0), 0.35).otherwise(0.0),
+        "exactness": exactness(terms, F.col("folded"), F.col("fmd"), F.col("fmd_words"), F.col("stem")), "entity": entity(terms, F.col("folded"), F.col("aliases")), "compactness": compactness(F.col("n_path")),
+    }).drop("md", "fmd", "fmd_words", "stem", "aliases").withColumns({n: F.lit(0.0) for n in ("semantic", "embedding", "graph") if n not in c.columns})
     mix = {m: {("metadata_overlap" if k == "metadata" else k): v for k, v in w.items()} for m, w in CHUNK_MIX.items()}
     return c.withColumn("score", F.least(mixed(mix) + F.col("exact_bonus"), F.lit(1.0))).filter("score > 0 or metadata_overlap > 0")
 

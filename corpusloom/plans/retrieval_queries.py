@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import chunking, retrieval
 from corpusloom.plans.registry import query
+from corpusloom.session import cut
 from corpusloom.plans.text_queries import _EXACT, ALTS, FTOKENS, STEM, STRIP, TOKENS, asked, docs
 
 
@@ -122,7 +123,7 @@ def a08(spark, d):
 @query("q01_idf", f"WITH {INDEX} SELECT token, round(idf, 6) AS idf FROM dfs")
 def q01(spark, d):
     ix = index(spark, d)
-    df = retrieval.postings(ix.chunks).groupBy("token").agg(F.count("*").alias("df"))
+    df = ix.post.groupBy("token").agg(F.count("*").alias("df"))
     return df.select("token", F.round(retrieval.idf(F.lit(ix.n_chunks), F.col("df")), 6).alias("idf"))
 
 
@@ -143,7 +144,8 @@ def q04(spark, d):
 
 @query("q07_candidates", f"WITH {RANK} SELECT query_id, chunk_id, CAST(rank AS INT) AS rank, CAST(tier AS INT) AS tier, {R('lexical coverage metadata prefilter')} FROM cand")
 def q07(spark, d):
-    return r6(index(spark, d).candidates(asked(spark, d)), "lexical", "coverage", "metadata", "prefilter")
+    ix, qs = index(spark, d), cut(asked(spark, d), "queries")
+    return r6(ix.candidates(qs, scores=cut(ix.group_scores(qs), "scores")), "lexical", "coverage", "metadata", "prefilter")
 
 
 @query("q09_document_scores", f"WITH {RANK} SELECT query_id, doc_id, {R('lexical_doc doc_coverage specificity')} FROM docsc")
@@ -174,11 +176,8 @@ scored AS (SELECT *, least({_mix(_FMIX)} + exact_bonus, 1.0) AS score FROM feat)
 
 
 def _featured(spark, d):
-    ix, qs = index(spark, d), asked(spark, d)
-    q = qs.withColumn("terms", F.array_distinct(T.exact_terms(F.col("query_text")))).withColumn("folded", T.fold(F.trim("query_text"))).withColumn("mode", T.query_mode(F.col("query_text")))
-    paths = ix.chunks.groupBy("source_path").agg(F.count(F.lit(1)).alias("n_path"))
-    c = ix.candidates(qs).join(ix.chunks.select(retrieval.chunk_id(), "doc_id", "source_path", "title", "section_title"), "chunk_id").join(paths, "source_path").join(q, "query_id")
-    return retrieval.features(c)
+    ix, qs = index(spark, d), cut(asked(spark, d), "queries")
+    return ix.featured(qs, scores=cut(ix.group_scores(qs), "scores"))
 
 
 @query("q20_chunk_features", f"WITH {FEATURES} SELECT query_id, chunk_id, mode, round(overlap, 6) AS metadata_overlap, {R('exact_bonus exactness entity compactness score')} FROM scored WHERE score > 0 OR overlap > 0")
