@@ -76,7 +76,8 @@ def series_statistics(df: DataFrame, at: str, value: str) -> DataFrame:
 
 def distribution_shift(df: DataFrame, at: str, vector: str, last: int, threshold: float = 0.3) -> DataFrame:
     """One row (distance, spread, score, shifted): the mean of the last vectors against the mean of the earlier ones."""
-    ranked = df.withColumn("_late", F.row_number().over(Window.orderBy(F.desc(at))) <= last).select("_late", F.posexplode(vector).alias("k", "x")).withColumn("x", F.col("x").cast("double"))
+    edge = df.select(at).orderBy(F.desc(at)).limit(last).agg(F.min(at)).first()[0]
+    ranked = df.withColumn("_late", F.col(at) >= F.lit(edge)).select("_late", F.posexplode(vector).alias("k", "x")).withColumn("x", F.col("x").cast("double"))
     per = ranked.groupBy("k").agg(F.avg(F.when(F.col("_late"), F.col("x"))).alias("a"), F.avg(F.when(~F.col("_late"), F.col("x"))).alias("b"), F.var_pop(F.when(~F.col("_late"), F.col("x"))).alias("v"))
     one = per.agg(F.sqrt(F.sum(F.pow(F.col("a") - F.col("b"), 2))).alias("distance"), F.sqrt(F.avg("v")).alias("spread"))
     return one.withColumn("score", F.col("distance") / (F.col("spread") + 1e-6)).withColumn("shifted", F.col("score") > threshold)
