@@ -97,3 +97,16 @@ def merged(parts: list[tuple[DataFrame, float]]) -> DataFrame:
         x = df.select("a", "b", (F.col("w") * share * F.when(F.col("a") == F.col("b"), 1.0).otherwise(2.0)).alias("w"))
         out = x if out is None else out.unionByName(x)
     return out.groupBy("a", "b").agg(F.sum("w").alias("w"))
+
+
+def success_deltas(clicks: DataFrame, least: float = 30.0) -> DataFrame:
+    """(a, b, weight): pairs of a query's terms with those of results (query_terms, result_terms, dwell) looked at long enough, summed by confidence."""
+    n = (F.col("dwell") - least) / 30
+    c = clicks.filter(F.col("dwell") >= least).withColumn("c", F.least(F.greatest(n / (1 + n), F.lit(0.5)), F.lit(1.0)))
+    return c.select(F.explode("query_terms").alias("a"), "result_terms", "c").select("a", F.explode("result_terms").alias("b"), "c").groupBy("a", "b").agg(F.sum("c").alias("weight"))
+
+
+def failure_deltas(failed: DataFrame, terms) -> DataFrame:
+    """(a, b, weight): .5 for each two terms of low-confidence queries that were given up; terms makes an array of the query text."""
+    t = failed.filter("reason = 'low_confidence'").select("query_id", F.posexplode(terms(F.col("query_text"))).alias("i", "a"))
+    return t.join(t.select("query_id", F.col("i").alias("j"), F.col("a").alias("b")), "query_id").filter("i < j").groupBy("a", "b").agg(F.sum(F.lit(0.5)).alias("weight"))

@@ -103,3 +103,30 @@ def eigenpairs(cooc: DataFrame, k: int = 12, cap: int = 10_000) -> DataFrame:
     values, vectors = lanczos(np.concatenate([a, b[off]]), np.concatenate([b, a[off]]), np.concatenate([w, w[off]]), len(names), min(k, max(len(names) - 1, 1)))
     data = [(int(c), float(values[c]), names[i], float(vectors[i, c])) for c in range(len(values)) for i in range(len(names))]
     return spark.createDataFrame(data, "component int, eigenvalue double, token string, value double")
+
+
+def related_pairs(cooc: DataFrame, scores: DataFrame, top: int, least: float = 0.05) -> DataFrame:
+    """(query_id, a, b, relevance, rank): neighbours of a query's scored tokens (query_id, token, score), the best top of each query.
+
+    Half the mean of both tokens' scores and .3 of the weight w as w / (1 + w); cells and relevances under least are left out.
+    """
+    a = scores.select("query_id", F.col("token").alias("a"), F.col("score").alias("sa"))
+    b = scores.select("query_id", F.col("token").alias("b"), F.col("score").alias("sb"))
+    p = cooc.filter(F.col("w") >= least).join(a, "a").join(b, ["query_id", "b"], "left")
+    rel = 0.25 * (F.col("sa") + F.coalesce("sb", F.lit(0.0))) + 0.3 * F.col("w") / (1 + F.col("w"))
+    w = Window.partitionBy("query_id").orderBy(-F.round("relevance", 9), "a", "b")
+    return p.select("query_id", "a", "b", rel.alias("relevance")).filter(F.col("relevance") >= least).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+
+
+def token_boosts(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, token, boost): the highest relevance of each token of the pairs that the query (query_id, token) does not have."""
+    each = pairs.select("query_id", F.explode(F.array("a", "b")).alias("token"), "relevance").groupBy("query_id", "token").agg(F.max("relevance").alias("boost"))
+    return each.join(asked.select("query_id", "token"), ["query_id", "token"], "left_anti")
+
+
+def projections(chunks: DataFrame, eigen: DataFrame) -> DataFrame:
+    """(doc_id, chunk_index, component, value): each chunk as the sum of its tokens' rows of the eigenvectors, brought to length 1."""
+    t = chunks.select("doc_id", "chunk_index", F.explode(T.tokens(F.col("content"))).alias("token")).groupBy("doc_id", "chunk_index", "token").agg(F.count(F.lit(1)).alias("n"))
+    s = t.join(eigen, "token").groupBy("doc_id", "chunk_index", "component").agg(F.sum(F.col("n") * F.col("value")).alias("x"))
+    norm = F.sqrt(F.sum(F.pow("x", 2)).over(Window.partitionBy("doc_id", "chunk_index")))
+    return s.select("doc_id", "chunk_index", "component", F.when(norm > 1e-10, F.col("x") / norm).otherwise(0.0).alias("value"))
