@@ -35,8 +35,8 @@ _START = {
     "edge": [[0.85, 0.15], [0.5, 0.5], [0.5, 0.5], [0.9, 0.1]],
 }
 _SHAPE = {"first": (1, 4), "next": (4, 4), "kind": (4, 6), "recurs": (4, 3), "breaks": (4, 2), "edge": (4, 2)}
-#: The beliefs weigh as much as this share of all lines.
-BELIEF = 0.5
+#: The beliefs weigh as much as this many times all lines, so that what few lines show is not drowned by what most do.
+BELIEF = 2.0
 
 # The confusions of characters in recognised text, as seen -> as meant.
 CONFUSED = {
@@ -162,7 +162,7 @@ class Page:
                 # for a line of three words to come a third time.
                 proof = sum(self.breaks[x] or x == filled[0] or x in self.chain for x in same)
                 for x in same:
-                    self.recurs[x] = 2 if proof or len(same) >= 3 and len(bare[x].split()) >= 3 or sum(self.edge[x] for x in same) > 0.7 * len(same) else 1
+                    self.recurs[x] = 2 if proof or len(bare[x].split()) >= 3 and (len(same) >= 3 or sum(self.edge[x] for x in same) > 0.7 * len(same)) else 1
         for x in self.chain:
             self.recurs[x] = 2
 
