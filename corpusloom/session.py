@@ -20,14 +20,35 @@ def shared_dir(spark: SparkSession) -> str:
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir.rstrip("/")
+    by_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if by_context.isDefined():
+        return by_context.get().rstrip("/")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="corpusloom-")
         atexit.register(shutil.rmtree, _LOCAL["dir"], ignore_errors=True)
     return "file://" + _LOCAL["dir"]
 
 
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; what is there goes with clean(), or on a local disk when Python ends."""
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove every intermediate table made so far; results that still read one must have been written."""
+    while _MADE:
+        remove(spark, _MADE.pop())
+
+
+@atexit.register
+def _clean_local() -> None:
+    for p in _MADE:
+        if p.startswith(("file:/", "/")):
+            shutil.rmtree("/" + p.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
