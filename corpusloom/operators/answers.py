@@ -79,7 +79,7 @@ def class_bias(terms: Column, recall: Column, cls: Column) -> Column:
 def freshness(mode: Column, lexical: Column, coverage: Column, ordinal: Column, latest: Column) -> Column:
     share = 1 / (1 + F.greatest(latest - ordinal, F.lit(0)) / 7)
     weight = F.when(mode == "lookup", 0.03).when(mode == "recall", 0.12).otherwise(0.04)
-    return F.when((lexical >= 0.45) | (coverage >= 0.50), F.coalesce(share * weight, F.lit(0.0))).otherwise(0.0)
+    return F.when(ordinal.isNotNull() & latest.isNotNull() & ((lexical >= 0.45) | (coverage >= 0.50)), share * weight).otherwise(0.0)
 
 
 def temporal_match(asked: Column, own: Column) -> Column:

@@ -112,3 +112,20 @@ def descendants(tree: DataFrame, node: str, key: list[str]) -> DataFrame:
     """Each pair (*key, ancestor, node, distance) of the rows of hierarchy(); as rows, so that no root gathers an array."""
     return tree.filter("path is not null").select(*key, F.posexplode("path").alias("at", "ancestor"), F.col(node), "depth").filter("at < depth").select(
         *key, "ancestor", node, (F.col("depth") - F.col("at")).alias("distance"))
+
+
+def first_child_threads(df: DataFrame, node: str, parent: str, key: list[str], version: str | None = None) -> DataFrame:
+    """(*key, node, place) of the thread of each root: the root, then always the first child by name; place is the depth."""
+    edges = cut(clean_edges(df, node, parent, key, version), "edges")
+    known = edges.select("k", F.col("n").alias("p"))
+    child = edges.filter("p is not null").join(known, ["k", "p"], "left_semi")
+    first = child.groupBy("k", "p").agg(F.min("n").alias("n")).withColumn("first", F.lit(True))
+    has = child.select("k", "n", F.lit(True).alias("has"))
+    tree = edges.join(has, ["k", "n"], "left").join(first, ["k", "n", "p"], "left")
+    # Later children are made roots of their own, so that only true roots' trees hold the threads.
+    alone = cut(tree.select("k", "n", F.when(F.col("first"), F.col("p")).alias("p"), F.col("has").isNull().alias("top")), "edges")
+    rounds, _ = _rounds(alone.select("k", "n", "p"), with_path=False)
+    ended = reduce(DataFrame.unionByName, [r.filter("done") for r in rounds])
+    top = alone.filter("top").select("k", F.col("n").alias("anc"))
+    t = ended.join(top, ["k", "anc"], "left_semi")
+    return t.select(*_unpack(t, key, node), F.col("dist").alias("place"))

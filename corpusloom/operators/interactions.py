@@ -110,3 +110,7 @@ def failure_deltas(failed: DataFrame, terms) -> DataFrame:
     """(a, b, weight): .5 for each two terms of low-confidence queries that were given up; terms makes an array of the query text."""
     t = failed.filter("reason = 'low_confidence'").select("query_id", F.posexplode(terms(F.col("query_text"))).alias("i", "a"))
     return t.join(t.select("query_id", F.col("i").alias("j"), F.col("a").alias("b")), "query_id").filter("i < j").groupBy("a", "b").agg(F.sum(F.lit(0.5)).alias("weight"))
+
+
+def merge_decision(alignment: Column) -> Column:
+    return F.when(alignment >= 0.9, "merge").when(alignment >= 0.7, "review").otherwise("separate")

@@ -234,5 +234,6 @@ def compactness(n: Column) -> Column:
 
 def confidence(top: Column, second: Column, coverage: Column, matrix: Column) -> Column:
     clamp = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-    margin = F.coalesce(clamp(F.greatest(top - second, F.lit(0.0)) / F.greatest(top, F.lit(0.1))), F.lit(1.0))
+    # greatest() passes over nulls, so no second result must be told apart first.
+    margin = F.when(second.isNull(), 1.0).otherwise(clamp(F.greatest(top - second, F.lit(0.0)) / F.greatest(top, F.lit(0.1))))
     return F.when(top.isNull(), 0.0).otherwise(clamp(0.45 * clamp(top) + 0.35 * clamp(coverage) + 0.15 * margin + 0.05 * clamp(matrix)))

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.skew import split_cumulate
 
 WINDOW = 5
 
@@ -130,3 +131,21 @@ def projections(chunks: DataFrame, eigen: DataFrame) -> DataFrame:
     s = t.join(eigen, "token").groupBy("doc_id", "chunk_index", "component").agg(F.sum(F.col("n") * F.col("value")).alias("x"))
     norm = F.sqrt(F.sum(F.pow("x", 2)).over(Window.partitionBy("doc_id", "chunk_index")))
     return s.select("doc_id", "chunk_index", "component", F.when(norm > 1e-10, F.col("x") / norm).otherwise(0.0).alias("value"))
+
+
+def vocabulary(chunks: DataFrame) -> DataFrame:
+    """(token, token_id): tokens numbered from 0 in the order in which they are first seen, by document, chunk and place."""
+    seen = chunks.select("doc_id", "chunk_index", F.posexplode(T.tokens(F.col("content"))).alias("pos", "token")).groupBy("token").agg(F.min(F.struct("doc_id", "chunk_index", "pos")).alias("at"))
+    flat = seen.select("token", "at.doc_id", "at.chunk_index", "at.pos").withColumn("one", F.lit(1).cast("long"))
+    return split_cumulate(flat, [], [F.col("doc_id"), F.col("chunk_index"), F.col("pos")], "one", "token_id").select("token", "token_id")
+
+
+def capped_cooccurrence(chunks: DataFrame, cap: int = 10_000) -> DataFrame:
+    """(a, b, w) as cooccurrence(), but of each chunk only the pairs before the first that has a token numbered cap or more."""
+    ids = vocabulary(chunks)
+    p = chunks.select("doc_id", "chunk_index", F.posexplode(pairs(T.tokens(F.col("content")))).alias("ord", "p")).select("doc_id", "chunk_index", "ord", "p.*")
+    beyond = ids.filter(F.col("token_id") >= cap).select("token")
+    bad = p.select("doc_id", "chunk_index", "ord", F.explode(F.array("a", "b")).alias("token")).join(beyond, "token", "left_semi").groupBy("doc_id", "chunk_index").agg(F.min("ord").alias("first"))
+    kept = p.join(bad, ["doc_id", "chunk_index"], "left").filter(F.col("first").isNull() | (F.col("ord") < F.col("first")))
+    once = kept.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w"))
+    return once.unionByName(once.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))

@@ -62,3 +62,4 @@ from corpusloom.plans import graph_queries  # noqa: E402, F401
 from corpusloom.plans import upkeep_queries  # noqa: E402, F401
 from corpusloom.plans import answer_queries  # noqa: E402, F401
 from corpusloom.plans import learning_queries  # noqa: E402, F401
+from corpusloom.plans import detail_queries  # noqa: E402, F401

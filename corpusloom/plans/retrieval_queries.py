@@ -195,6 +195,6 @@ final AS (SELECT r.query_id, r.doc_id, source_path, doc_coverage, {_mix(_DMIX)}
     FROM rolled r LEFT JOIN docsc s ON s.query_id = r.query_id AND s.doc_id = r.doc_id) r),
 ranked AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS nxt FROM final WINDOW w AS (PARTITION BY query_id ORDER BY round(score, 9) DESC, source_path))
 SELECT query_id, doc_id, source_path, round(score, 6) AS score, CAST(rank AS INT) AS rank, round(least(greatest(0.45 * least(greatest(score, 0), 1) + 0.35 * least(doc_coverage, 1)
-    + 0.15 * coalesce(least(greatest(score - nxt, 0) / greatest(score, 0.1), 1), 1.0), 0), 1), 6) AS confidence FROM ranked WHERE rank <= 10""")
+    + 0.15 * CASE WHEN nxt IS NULL THEN 1 ELSE least(greatest(score - nxt, 0) / greatest(score, 0.1), 1) END, 0), 1), 6) AS confidence FROM ranked WHERE rank <= 10""")
 def q22(spark, d):
     return r6(index(spark, d).ranked_documents(asked(spark, d)), "score", "confidence")
