@@ -89,3 +89,13 @@ def dead_links(docs: DataFrame) -> DataFrame:
     stem = lambda c: F.lower(T.file_stem(T.canonical_path(c)))
     left = links.withColumn("path", T.canonical_path(F.col("target"))).join(keyed.select("path").distinct(), "path", "left_anti")
     return left.withColumn("stem", stem(F.col("target"))).join(docs.select(stem(F.col("source_path")).alias("stem")).distinct(), "stem", "left_anti").select("doc_id", "target")
+
+
+def hub_pages(docs: DataFrame, most: int) -> DataFrame:
+    """(folder, page, documents): a page of links for each folder; folders of more than most documents have none, as no page should hold them."""
+    folder = F.regexp_replace("source_path", "/[^/]*$", "")
+    f = docs.filter(F.contains("source_path", F.lit("/"))).select(folder.alias("folder"), "doc_id", "source_path", F.coalesce("title", F.lit("")).alias("title"))
+    small = f.groupBy("folder").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") <= most)
+    line = F.concat(F.lit("- [["), F.regexp_replace("source_path", r"\.md$", ""), F.lit("|"), "title", F.lit("]]"))
+    g = f.join(small, "folder").groupBy("folder", "documents").agg(F.array_sort(F.collect_list(F.struct(F.lower("title").alias("t"), "source_path", "doc_id", line.alias("line")))).alias("a"))
+    return g.select("folder", F.concat(F.lit("# "), "folder", F.lit("\n\n"), F.array_join(F.transform("a", lambda x: x["line"]), "\n")).alias("page"), "documents")

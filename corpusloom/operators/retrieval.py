@@ -174,6 +174,32 @@ class Index:
         return d.withColumn("confidence", confidence(F.col("score"), F.col("next_score"), F.col("doc_coverage"), F.lit(0.0))).select("query_id", "doc_id", "source_path", "score", "confidence", "rank")
 
 
+    def bundles(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
+        """(query_id, source_path, rank, chunk_id, place): the chunks shown of each ranked document, 6 of the first, 4 of the next two, else 2.
+
+        First the best chunk, then ranked chunks beside it or strong themselves, then chunks sampled evenly over the document, then in
+        order; place follows the document.
+        """
+        queries = cut(queries, "queries")
+        best = self.ranked_documents(queries, top_k).select("query_id", "source_path", "doc_id", F.col("rank").alias("doc_rank"), F.when(F.col("rank") == 1, 6).when(F.col("rank") <= 3, 4).otherwise(2).alias("most"))
+        f = cut(self.featured(queries, max(top_k, 10) * 32).join(best, ["query_id", "source_path"], "left_semi"), "featured")
+        f = f.withColumn("at", F.row_number().over(Window.partitionBy("query_id", "source_path").orderBy(-F.round("score", 9), "rank")))
+        index = F.col("chunk_id") % 100_000
+        first = f.filter("at = 1").select("query_id", "source_path", index.alias("own"))
+        strong = (F.col("coverage") >= 0.34) | (F.col("exactness") >= 0.40) | (F.col("entity") >= 0.50) | (F.col("metadata_overlap") >= 0.60)
+        ranked = f.join(first, ["query_id", "source_path"]).filter((F.col("at") == 1) | (F.abs(index - F.col("own")) <= 1) | strong).select(
+            "query_id", "source_path", "chunk_id", F.when(F.col("at") == 1, 0).otherwise(1).alias("phase"), F.col("at").cast("bigint").alias("ord"))
+        per = self.chunks.select(chunk_id(), "doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index")).alias("pos"), F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("n"))
+        own = best.join(per, "doc_id")
+        size = F.least("most", "n")
+        s = F.ceil((F.col("pos") - 1) * (size - 1) / F.greatest(F.col("n") - 1, F.lit(1)))
+        sampled = F.when(size == 1, F.col("pos") == 1).otherwise(F.floor(s * (F.col("n") - 1) / F.greatest(size - 1, F.lit(1))) == F.col("pos") - 1)
+        rest = own.select("query_id", "source_path", "chunk_id", F.when(sampled, 2).otherwise(3).alias("phase"), F.col("pos").cast("bigint").alias("ord"))
+        one = ranked.unionByName(rest).groupBy("query_id", "source_path", "chunk_id").agg(F.min(F.struct("phase", "ord")).alias("p")).join(best, ["query_id", "source_path"])
+        kept = one.withColumn("k", F.row_number().over(Window.partitionBy("query_id", "source_path").orderBy("p", "chunk_id"))).filter(F.col("k") <= F.col("most"))
+        return kept.select("query_id", "source_path", F.col("doc_rank").alias("rank"), "chunk_id", F.row_number().over(Window.partitionBy("query_id", "source_path").orderBy(F.col("chunk_id") % 100_000, "chunk_id")).alias("place"))
+
+
 def mixed(mix: dict[str, dict[str, float]]) -> Column:
     out = F.lit(None).cast("double")
     for mode, weights in mix.items():

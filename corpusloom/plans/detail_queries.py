@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import answers, chunking, hierarchy, interactions, retrieval, sync, vectors
+from corpusloom.operators import answers, chunking, graph, hierarchy, interactions, retrieval, sync, vectors
 from corpusloom.plans.answer_queries import _PROF, EVIDENCE, evidence
 from corpusloom.plans.graph_queries import COOC
 from corpusloom.plans.learning_queries import PAIRS, _pairs
 from corpusloom.plans.registry import query
-from corpusloom.plans.retrieval_queries import CHUNKS, FEATURES, RANK, _featured, chunks, index, r6
+from corpusloom.plans.retrieval_queries import _DMIX, CHUNKS, FEATURES, RANK, _featured, _mix, chunks, index, r6
 from corpusloom.plans.text_queries import TOKENS, asked, dates_sql, docs
 from corpusloom.session import cut, table
 
@@ -170,3 +170,51 @@ def x03(spark, d):
     return table(spark, d, "embeddings").select("vec_id", interactions.merge_decision(F.abs(F.get("embedding", F.lit(0)).cast("double")) * 5).alias("decision"))
 
 
+
+
+_RANKED = FEATURES + f""", ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_path ORDER BY round(score, 9) DESC, rank) AS pos FROM scored WHERE score > 0 OR overlap > 0),
+rolled AS (SELECT query_id, source_path, max(score) FILTER (pos = 1) AS best, coalesce(max(score) FILTER (pos = 2), 0) AS second, max(overlap) AS metadata, max(exact_bonus) AS exact_bonus, max(exactness) AS exactness, max(entity) AS entity,
+    max(coverage) AS coverage, arg_min(doc_id, pos) AS doc_id, any_value(mode) AS mode FROM ordered GROUP BY query_id, source_path),
+final AS (SELECT r.query_id, r.doc_id, source_path, {_mix(_DMIX)} + specificity AS score FROM (SELECT r.*, coalesce(lexical_doc, 0) AS lexical_doc, coalesce(doc_coverage, 0) AS doc_coverage, coalesce(specificity, 0) AS specificity
+    FROM rolled r LEFT JOIN docsc s ON s.query_id = r.query_id AND s.doc_id = r.doc_id) r),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, source_path) AS dr FROM final QUALIFY dr <= 10),
+bm AS (SELECT query_id, source_path, doc_id, dr, CASE WHEN dr = 1 THEN 6 WHEN dr <= 3 THEN 4 ELSE 2 END AS most FROM best),
+pri AS (SELECT query_id, source_path, chunk_id % 100000 AS own FROM ordered WHERE pos = 1),
+rk AS (SELECT o.query_id, o.source_path, chunk_id, CASE WHEN pos = 1 THEN 0 ELSE 1 END AS phase, pos AS ord FROM ordered o JOIN pri p ON p.query_id = o.query_id AND p.source_path = o.source_path
+    WHERE pos = 1 OR abs(chunk_id % 100000 - own) <= 1 OR coverage >= 0.34 OR exactness >= 0.4 OR entity >= 0.5 OR overlap >= 0.6),
+pos_in AS (SELECT chunk_id, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS pos, count(*) OVER (PARTITION BY doc_id) AS n FROM idc),
+own AS (SELECT *, least(most, n) AS size FROM bm JOIN pos_in USING (doc_id)),
+smp AS (SELECT query_id, source_path, list_distinct([CASE WHEN size = 1 THEN 0 ELSE s * (n - 1) // (size - 1) END FOR s IN range(0, size)]) AS ps, chunk_id, pos FROM own),
+un AS (SELECT * FROM rk UNION ALL SELECT query_id, source_path, chunk_id, CASE WHEN list_contains(ps, pos - 1) THEN 2 ELSE 3 END, pos FROM smp),
+mn AS (SELECT u.query_id, u.source_path, u.chunk_id, min({{'phase': phase, 'ord': ord}}) AS p FROM un u JOIN bm ON bm.query_id = u.query_id AND bm.source_path = u.source_path GROUP BY ALL),
+kp AS (SELECT mn.query_id, mn.source_path, mn.chunk_id, bm.dr, row_number() OVER (PARTITION BY mn.query_id, mn.source_path ORDER BY p, mn.chunk_id) AS k, most FROM mn JOIN bm ON bm.query_id = mn.query_id AND bm.source_path = mn.source_path QUALIFY k <= most)"""
+
+
+@query("q24_evidence_bundles", f"WITH {_RANKED} SELECT query_id, source_path, CAST(dr AS INT) AS rank, chunk_id, CAST(row_number() OVER (PARTITION BY query_id, source_path ORDER BY chunk_id % 100000, chunk_id) AS INT) AS place FROM kp")
+def q24(spark, d):
+    return index(spark, d).bundles(asked(spark, d))
+
+
+@query("a09_field_statistics", f"""SELECT count(*) AS documents, CAST(round(avg(len({TOKENS.format("coalesce(title, '')")})), 6) AS DOUBLE) AS title_length, CAST(round(avg(len({TOKENS.format('source_path')})), 6) AS DOUBLE) AS path_length,
+CAST(round(avg(len({TOKENS.format('text')})), 6) AS DOUBLE) AS body_length FROM documents WHERE trim(text) <> ''""")
+def a09(spark, d):
+    n = lambda c: F.round(F.avg(F.size(T.tokens(c))), 6)
+    return docs(spark, d).filter("trim(text) <> ''").agg(F.count("*").alias("documents"), n(F.coalesce("title", F.lit(""))).alias("title_length"), n(F.col("source_path")).alias("path_length"), n(F.col("text")).alias("body_length"))
+
+
+@query("a11_hub_pages", """WITH f AS (SELECT regexp_replace(source_path, '/[^/]*$', '') AS folder, doc_id, source_path, coalesce(title, '') AS title FROM documents WHERE contains(source_path, '/'))
+SELECT folder, md5('# ' || folder || chr(10) || chr(10) || string_agg('- [[' || regexp_replace(source_path, '\\.md$', '') || '|' || title || ']]', chr(10) ORDER BY lower(title), source_path, doc_id)) AS digest, count(*) AS documents FROM f GROUP BY folder HAVING count(*) <= 1000""")
+def a11(spark, d):
+    return graph.hub_pages(docs(spark, d), 1_000).select("folder", F.md5("page").alias("digest"), "documents")
+
+
+@query("j01_chunk_documents", f"WITH {CHUNKS} SELECT c.doc_id, CAST(chunk_index AS INT) AS chunk_index, d.lang, d.created_at IS NULL AS undated FROM chunks c LEFT JOIN documents d ON d.doc_id = c.doc_id")
+def j01(spark, d):
+    return chunks(spark, d).select("doc_id", "chunk_index").join(docs(spark, d).select("doc_id", "lang", F.col("created_at").isNull().alias("undated")), "doc_id", "left")
+
+
+@query("i09_intervals", "SELECT DISTINCT x AS job_interval, n * CASE right(x, 1) WHEN 'm' THEN 60 WHEN 'h' THEN 3600 ELSE 86400 END AS seconds FROM (SELECT total_files || CASE total_files % 3 WHEN 0 THEN 'm' WHEN 1 THEN 'h' ELSE 'd' END AS x, total_files AS n FROM operation_checkpoint WHERE total_files IS NOT NULL)")
+def i09(spark, d):
+    n = F.col("total_files")
+    x = F.concat(n.cast("string"), F.when(n % 3 == 0, "m").when(n % 3 == 1, "h").otherwise("d"))
+    return table(spark, d, "operation_checkpoint").filter("total_files is not null").select(x.alias("job_interval")).distinct().withColumn("seconds", sync.interval_seconds(F.col("job_interval")))

@@ -15,8 +15,8 @@ _ext = ", ".join(f"'{x}'" for x in files.EXTENSIONS)
 _skip = ", ".join(f"'{x}'" for x in files.SKIPPED)
 
 
-@query("s02_readable_paths", f"""SELECT file_path, (regexp_extract(n, '\\.([^.]+)$', 1) IN ({_ext}) OR starts_with(n, '.env')) AND NOT list_has_any(string_split(lower(file_path), '/'), [{_skip}]) AND n NOT IN ('.ds_store', '.vault_index.db') AS readable
-FROM (SELECT DISTINCT file_path, lower(regexp_extract(file_path, '([^/]*)$', 1)) AS n FROM wal_record WHERE file_path IS NOT NULL)""")
+@query("s02_readable_paths", f"""SELECT file_path, (lower(regexp_extract(n, '\\.([^.]+)$', 1)) IN ({_ext}) OR starts_with(n, '.env')) AND NOT list_has_any(string_split(file_path, '/'), [{_skip}]) AND n NOT IN ('.DS_Store', '.vault_index.db') AS readable
+FROM (SELECT DISTINCT file_path, regexp_extract(file_path, '([^/]*)$', 1) AS n FROM wal_record WHERE file_path IS NOT NULL)""")
 def s02(spark, d):
     return table(spark, d, "wal_record").filter("file_path is not null").select("file_path").distinct().withColumn("readable", files.is_readable(F.col("file_path")))
 

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 
 # What discovery reads and passes over.
-EXTENSIONS = ("md markdown mdx txt text rst org adoc json jsonl yaml yml toml ini cfg conf csv tsv log xml html htm py rs js ts sh sql pdf").split()
-SKIPPED = (".git node_modules target .venv venv __pycache__ .obsidian .trash dist build").split()
+EXTENSIONS = ("md markdown pdf txt canvas json jsonl js ts jsx tsx rs py sh zsh bash yaml yml toml csv sql html css xml env local mdx conf").split()
+SKIPPED = (".git .obsidian .entire node_modules target .next dist build coverage .venv venv vendor").split()
 
 
 def is_readable(path: Column) -> Column:
     """The extension is on the list (any case, or an .env file) and no folder of the path is passed over."""
-    name = F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
-    ext = F.regexp_extract(name, r"\.([^.]+)$", 1)
-    return (ext.isin(EXTENSIONS) | F.startswith(name, F.lit(".env"))) & ~F.arrays_overlap(F.split(F.lower(path), "/"), F.array(*[F.lit(x) for x in SKIPPED])) & ~name.isin(".ds_store", ".vault_index.db")
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    return (ext.isin(EXTENSIONS) | F.startswith(name, F.lit(".env"))) & ~F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in SKIPPED])) & ~name.isin(".DS_Store", ".vault_index.db")
 
 
 def glob_regex(pattern: str) -> str:
