@@ -15,14 +15,14 @@ CLASSES = {
     "summary": "summary overview digest intel weekly launch recap".split(),
     "review": ["review", "retro", "checkin", "check-in", "evening review"],
     "research": "research inspiration insights analysis study article".split(),
-    "project_note": "gtm notion wacli arvor supabase campaign growth auth".split(),
+    "project_note": "gtm notion supabase campaign growth auth".split(),
 }
 EPISODIC = "daily review report council log journal notes".split()
 AGGREGATE = "summary overview digest intel weekly launch recap review".split()
 # Query terms that ask for a class.
 ASKS = {
     "review": "review evening retro".split(), "research": "research insights analysis article future study".split(), "summary": "summary overview weekly".split(),
-    "project_note": "tracking migrado campaign launch supabase arvor wacli".split(),
+    "project_note": "tracking migrado campaign launch supabase".split(),
 }
 
 
