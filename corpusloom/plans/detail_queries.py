@@ -162,7 +162,7 @@ def i06(spark, d):
 
 @query("c04_windows")
 def c04(spark, d):
-    return chunking.chunks(docs(spark, d).filter("text not like '%#%'"), 128, 16).select("doc_id", "chunk_index", "token_count")
+    return chunking.chunks(docs(spark, d), 128, 16).select("doc_id", "chunk_index", "token_count")
 
 
 @query("x03_merge_decision", "SELECT vec_id, CASE WHEN s >= 0.9 THEN 'merge' WHEN s >= 0.7 THEN 'review' ELSE 'separate' END AS decision FROM (SELECT vec_id, abs(CAST(embedding[1] AS DOUBLE)) * 5 AS s FROM embeddings)")
