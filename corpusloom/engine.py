@@ -47,7 +47,7 @@ class Engine:
 
     def query(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
         """(query_id, doc_id, source_path, score, confidence, rank) for a batch (query_id, query_text); top_k from 1 to 20."""
-        return self.index().ranked_documents(queries, max(1, min(top_k, 20)))
+        return self.index().ranked_documents(queries, max(1, min(top_k, 20)), biased=True)
 
     def answer(self, queries: DataFrame) -> DataFrame:
         """(query_id, place, source_path, sentence)."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import answers
 from corpusloom.session import cut
 
 K1, B = 1.2, 0.75
@@ -153,10 +154,10 @@ class Index:
         q = queries.select("query_id", F.array_distinct(T.exact_terms(F.col("query_text"))).alias("terms"), T.fold(F.trim("query_text")).alias("folded"), T.query_mode(F.col("query_text")).alias("mode"))
         return features(self.candidates(queries, limit, scores).join(self.profile, "chunk_id").join(cut(q, "queries"), "query_id"))
 
-    def ranked_documents(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
+    def ranked_documents(self, queries: DataFrame, top_k: int = 10, biased: bool = False) -> DataFrame:
         """(query_id, doc_id, source_path, score, confidence, rank): candidates rescored, rolled up to documents by source path.
 
-        Graph, embedding and semantic scores are 0 here; add them as columns of the candidates to mix them in.
+        biased adds mode_bias(). Graph, embedding and semantic scores are 0.
         """
         queries = cut(queries, "queries")
         scores = cut(self.group_scores(queries), "scores")
@@ -166,9 +167,12 @@ class Index:
         d = f.groupBy("query_id", "source_path").agg(
             F.max(F.when(F.col("at") == 1, F.col("score"))).alias("best"), F.coalesce(F.max(F.when(F.col("at") == 2, F.col("score"))), F.lit(0.0)).alias("second"),
             F.max("metadata_overlap").alias("metadata"), F.max("exact_bonus").alias("exact_bonus"), F.max("exactness").alias("exactness"), F.max("entity").alias("entity"),
-            F.max("coverage").alias("coverage"), F.min_by("doc_id", "at").alias("doc_id"), F.first("mode").alias("mode"))
+            F.max("coverage").alias("coverage"), F.min_by("doc_id", "at").alias("doc_id"), F.min_by("title", "at").alias("title"), F.first("mode").alias("mode"))
         d = d.join(self.document_scores(queries, scores), ["query_id", "doc_id"], "left").fillna(0.0, ["lexical_doc", "doc_coverage", "specificity"]).withColumn("graph", F.lit(0.0))
         d = d.withColumn("score", mixed(DOCUMENT_MIX) + F.col("specificity"))
+        if biased:
+            latest = self.profile.agg(F.max(T.date_ordinal(T.date_parts(F.concat_ws(" ", "source_path", "title"))))).first()[0]
+            d = d.join(queries.select("query_id", "query_text"), "query_id").withColumn("score", F.col("score") + mode_bias(F.lit(latest).cast("bigint")))
         order = Window.partitionBy("query_id").orderBy(-F.round("score", 9), "source_path")
         d = d.withColumn("rank", F.row_number().over(order)).withColumn("next_score", F.lead("score").over(order)).filter(F.col("rank") <= top_k)
         return d.withColumn("confidence", confidence(F.col("score"), F.col("next_score"), F.col("doc_coverage"), F.lit(0.0))).select("query_id", "doc_id", "source_path", "score", "confidence", "rank")
@@ -200,6 +204,23 @@ class Index:
         return kept.select("query_id", "source_path", F.col("doc_rank").alias("rank"), "chunk_id", F.row_number().over(Window.partitionBy("query_id", "source_path").orderBy(F.col("chunk_id") % 100_000, "chunk_id")).alias("place"))
 
 
+def mode_bias(latest: Column) -> Column:
+    """What dates, kind and class of a rolled-up document add for its query, by mode; latest is the newest date of all documents."""
+    profile, asked = F.concat_ws(" ", "source_path", "title"), T.date_parts(F.col("query_text"))
+    own, recall = T.date_parts(profile), T.recall_intent(F.col("query_text"))
+    dated, lower = F.coalesce(own["year"].isNotNull(), F.lit(False)), F.lower(profile)
+    kind = answers.profile_features(lower, dated)
+    by_class = answers.class_bias(F.array_distinct(T.exact_terms(F.col("query_text"))), recall, answers.memory_class(lower, dated))
+    temporal = answers.temporal_match(asked, own)
+    clamp = lambda c: F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0))
+    identity = temporal * (0.18 * clamp("metadata") + 0.12 * clamp("exactness") + 0.05 * clamp("entity"))  # 0 without a date in the query
+    recalled = F.when(recall, 0.14 * kind["episodic"] + 0.12 * kind["session_note"] - 0.12 * kind["aggregate"] - 0.10 * kind["evergreen"]).otherwise(0.0)
+    fresh = answers.freshness(F.col("mode"), F.col("lexical_doc"), F.col("doc_coverage"), T.date_ordinal(own), latest)
+    weight = F.when(asked.isNotNull(), 0.40).when(F.col("mode") == "lookup", 0.02).when(F.col("mode") == "recall", 0.12).otherwise(0.05)
+    special = F.when(F.col("mode") == "lookup", F.greatest(by_class, F.lit(0.0))).when(F.col("mode") == "recall", recalled + by_class).otherwise(by_class)
+    return temporal * weight + identity + special + fresh
+
+
 def mixed(mix: dict[str, dict[str, float]]) -> Column:
     out = F.lit(None).cast("double")
     for mode, weights in mix.items():

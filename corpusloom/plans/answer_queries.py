@@ -89,7 +89,7 @@ def q29(spark, d):
 @query("q29_engine_metrics")
 def q29_engine(spark, d):
     c = _cases(spark, d)
-    return r6(answers.retrieval_metrics(c, index(spark, d).ranked_documents(c.select("query_id", "query_text"))), "hit_rate", "mrr")
+    return r6(answers.retrieval_metrics(c, index(spark, d).ranked_documents(c.select("query_id", "query_text"), biased=True)), "hit_rate", "mrr")
 
 
 @query("q29_nearest_rank", "SELECT q AS quantile, value FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM events) JOIN (SELECT unnest([0.5, 0.95, 0.99])::DOUBLE AS q) x ON k = ceil((n - 1) * q)")
@@ -107,10 +107,10 @@ ev AS (SELECT f.query_id, f.source_path, round(f.score, 6) AS score, d.text, q.q
     JOIN qs q ON q.query_id = f.query_id QUALIFY rank <= 5)"""
 
 
-def evidence(spark, d):
+def evidence(spark, d, biased=False):
     """The first five documents of each query, whole texts joined on after the ranking."""
     q = asked(spark, d)
-    best = index(spark, d).ranked_documents(q, 5).select("query_id", "doc_id", "source_path", F.round("score", 6).alias("score"), "rank")
+    best = index(spark, d).ranked_documents(q, 5, biased).select("query_id", "doc_id", "source_path", F.round("score", 6).alias("score"), "rank")
     return best.join(docs(spark, d).select("doc_id", "text"), "doc_id").join(q, "query_id")
 
 
@@ -123,7 +123,7 @@ def n01(spark, d):
 
 @query("n04_answer_sentences")
 def n04(spark, d):
-    return answers.selected_sentences(evidence(spark, d))
+    return answers.selected_sentences(evidence(spark, d, biased=True))
 
 
 @query("n06_simple_answer", f"WITH {EVIDENCE} SELECT query_id, md5(string_agg(source_path, chr(10) ORDER BY rank)) AS digest FROM ev WHERE rank <= 3 GROUP BY query_id")

@@ -195,6 +195,11 @@ def q24(spark, d):
     return index(spark, d).bundles(asked(spark, d))
 
 
+@query("q22_biased_documents")
+def q22_biased(spark, d):
+    return r6(index(spark, d).ranked_documents(asked(spark, d), biased=True), "score", "confidence")
+
+
 @query("a09_field_statistics", f"""SELECT count(*) AS documents, CAST(round(avg(len({TOKENS.format("coalesce(title, '')")})), 6) AS DOUBLE) AS title_length, CAST(round(avg(len({TOKENS.format('source_path')})), 6) AS DOUBLE) AS path_length,
 CAST(round(avg(len({TOKENS.format('text')})), 6) AS DOUBLE) AS body_length FROM documents WHERE trim(text) <> ''""")
 def a09(spark, d):
