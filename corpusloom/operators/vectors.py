@@ -1,11 +1,14 @@
 """Token co-occurrence and vector arithmetic: sparse sums as aggregates, dense work in the JVM's array functions."""
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators.skew import split_cumulate
+from corpusloom.session import cut
 
 WINDOW = 5
 
@@ -65,13 +68,18 @@ def lanczos(rows: np.ndarray, cols: np.ndarray, w: np.ndarray, n: int, k: int, s
     """The k largest eigenvalues and their vectors of a symmetric sparse matrix of n (at most 10,000) rows, by Lanczos with full reorthogonalisation."""
     order = np.argsort(rows, kind="stable")
     rows, cols, w = rows[order], cols[order], w[order]
+    return lanczos_by(lambda v: np.bincount(rows, weights=w * v[cols], minlength=n), n, k, steps, seed)
+
+
+def lanczos_by(times: Callable[[np.ndarray], np.ndarray], n: int, k: int, steps: int = 120, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """lanczos() of a matrix that is known by its product with a vector."""
     steps = min(steps, n)
     v = np.random.default_rng(seed).standard_normal(n)
     basis, alpha, beta = np.zeros((steps, n)), [], []
     v /= np.linalg.norm(v)
     for j in range(steps):
         basis[j] = v
-        u = np.bincount(rows, weights=w * v[cols], minlength=n)
+        u = times(v)
         alpha.append(float(u @ v))
         u -= basis[: j + 1].T @ (basis[: j + 1] @ u)
         u -= basis[: j + 1].T @ (basis[: j + 1] @ u)
@@ -88,24 +96,41 @@ def lanczos(rows: np.ndarray, cols: np.ndarray, w: np.ndarray, n: int, k: int, s
     return values[top], basis.T @ vectors[:, top]
 
 
-def eigenpairs(cooc: DataFrame, k: int = 12, cap: int = 10_000) -> DataFrame:
-    """(component, eigenvalue, token, value) of the co-occurrence among the cap most frequent tokens; ties by token.
+def components(cells: int) -> int:
+    """How many components a matrix of so many cells gets."""
+    return 12 if cells > 1_000_000 else 16 if cells > 250_000 else 24 if cells > 50_000 else 32
+
 
-    The matrix that comes to the driver has at most cap tokens, and no more than 200 neighbours each, the strongest: 32 MB at most.
+def eigenpairs(cooc: DataFrame, k: int | None = None, cap: int = 10_000, most: int = 2_000_000) -> DataFrame:
+    """(component, eigenvalue, token, value) of the co-occurrence among the cap most frequent tokens; ties by token. k by components() if not given.
+
+    A matrix of at most most cells (32 MB) comes to the driver; of a larger one only its products with a vector do, cap numbers each.
     """
     spark = cooc.sparkSession
+    cooc = cut(cooc, "cooccurrence")
+    k = components(cooc.count()) if k is None else k
     top = cooc.groupBy("a").agg(F.sum("w").alias("s")).orderBy(F.desc(F.round("s", 6)), "a").limit(cap)
     names = [r[0] for r in top.select("a").collect()]
+    n, k = len(names), min(k, max(len(names) - 1, 1))
     ids = spark.createDataFrame([(t, i) for i, t in enumerate(names)], "t string, i int")
-    m = cooc.join(ids.withColumnRenamed("t", "a").withColumnRenamed("i", "ia"), "a").join(ids.withColumnRenamed("t", "b").withColumnRenamed("i", "ib"), "b").filter("ia <= ib")
-    kept = m.withColumn("k", F.row_number().over(Window.partitionBy("ia").orderBy(F.desc("w"), "ib"))).filter("k <= 200").select("ia", "ib", "w").toPandas()
-    a, b, w = (kept[c].to_numpy() for c in ("ia", "ib", "w"))
-    off = a != b
-    values, vectors = lanczos(np.concatenate([a, b[off]]), np.concatenate([b, a[off]]), np.concatenate([w, w[off]]), len(names), min(k, max(len(names) - 1, 1)))
-    data = [(int(c), float(values[c]), names[i], float(vectors[i, c])) for c in range(len(values)) for i in range(len(names))]
+    m = cut(cooc.join(ids.withColumnRenamed("t", "a").withColumnRenamed("i", "ia"), "a").join(ids.withColumnRenamed("t", "b").withColumnRenamed("i", "ib"), "b").select("ia", "ib", "w"), "matrix")
+    if m.count() <= most:
+        kept = m.toPandas()
+        values, vectors = lanczos(*(kept[c].to_numpy() for c in ("ia", "ib", "w")), n, k)
+    else:
+        values, vectors = lanczos_by(lambda v: _product(m, v), n, k)
+    data = [(int(c), float(values[c]), names[i], float(vectors[i, c])) for c in range(len(values)) for i in range(n)]
     return spark.createDataFrame(data, "component int, eigenvalue double, token string, value double")
 
 
+def _product(m: DataFrame, v: np.ndarray) -> np.ndarray:
+    x = m.sparkSession.createDataFrame(list(enumerate(v.tolist())), "ib int, x double")
+    out = np.zeros(len(v))
+    for r in m.join(x, "ib").groupBy("ia").agg(F.sum(F.col("w") * F.col("x")).alias("y")).collect():
+        out[r.ia] = r.y
+    return out
+
+
 def related_pairs(cooc: DataFrame, scores: DataFrame, top: int, least: float = 0.05) -> DataFrame:
     """(query_id, a, b, relevance, rank): neighbours of a query's scored tokens (query_id, token, score), the best top of each query.
 

@@ -1,6 +1,8 @@
 """Nothing is left out: texts, cells, pages, records and formulas that were once cut off."""
 
-from corpusloom.operators import chunking, retrieval
+import numpy as np
+
+from corpusloom.operators import chunking, retrieval, vectors
 from corpusloom.plans.queries import Q
 
 
@@ -23,3 +25,14 @@ def test_dates_and_classes_count_in_the_ranking(spark):
     more = {k: r.score - plain[k] for k, r in got.items()}
     assert got[1, 1].rank == 1 and more[1, 1] > 0.40 + 0.04 / (1 + 35 / 7) - 1e-9  # the date, and freshness of 35 days
     assert abs(more[2, 3] - 0.14) < 1e-9 and abs(more[2, 2] - 0.04) < 1e-9  # asked for research; the newest of all
+
+
+def test_eigenpairs_of_tokens_with_many_neighbours(spark):
+    r = np.random.default_rng(3)
+    for n, most in ((260, 2_000_000), (12, 0)):  # on the driver, and as products in Spark
+        a = np.abs(r.standard_normal((n, n)))
+        a = a + a.T
+        cooc = spark.createDataFrame([(f"t{i}", f"t{j}", float(a[i, j])) for i in range(n) for j in range(n)], "a string, b string, w double")
+        got = {x.component: x.eigenvalue for x in vectors.eigenpairs(cooc, most=most).collect()}
+        want = np.sort(np.linalg.eigvalsh(a))[::-1]
+        assert len(got) == (24 if n == 260 else n - 1) and all(abs(got[c] - want[c]) < 1e-6 * want[0] for c in range(3))
