@@ -8,6 +8,8 @@ time of the runs that hold it, and a record looks up the block it lies in on eac
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import cut
+
 #: A window sorts at most 2^16 numbers of one source and path together; a longer history is cut into such stretches.
 STRETCH_BITS = 16
 
@@ -57,9 +59,15 @@ def ledger(first: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def low_water(first: DataFrame, done: DataFrame) -> DataFrame:
-    """(source_key, low_sequence): the oldest record of each source still open, that is, in no ledger row."""
-    return first.join(done.select("source_key", "wal_sequence"), ["source_key", "wal_sequence"], "left_anti").groupBy("source_key").agg(
-        F.min("wal_sequence").alias("low_sequence"))
+    """(source_key, low_sequence, low_ms): the lowest sequence of each source still open, that is, in no ledger row, and the mark.
+
+    low_ms is when the oldest open record arrived, or, where none is open, the newest of all: what arrives later, even with a
+    low sequence, lies at or above it. low_sequence is null where nothing is open.
+    """
+    marked = first.join(done.select("source_key", "wal_sequence", F.lit(True).alias("closed")).distinct(), ["source_key", "wal_sequence"], "left")
+    return marked.groupBy("source_key").agg(
+        F.min(F.when(F.col("closed").isNull(), F.col("wal_sequence"))).alias("low_sequence"),
+        F.coalesce(F.min(F.when(F.col("closed").isNull(), F.col("received_ms"))), F.max("received_ms")).alias("low_ms"))
 
 
 def unchanged(first: DataFrame) -> DataFrame:
@@ -80,11 +88,12 @@ def unchanged(first: DataFrame) -> DataFrame:
 def pending(first: DataFrame, done: DataFrame, low: DataFrame | None = None) -> DataFrame:
     """Records that the next run of each source must get: not in the ledger with this version, and not saved unchanged.
 
-    low, where given, is what low_water() said after the last run: records below it are not read again. A source without a
-    mark there has nothing open. Empty tables give no rows. Columns as in first_deliveries().
+    low, where given, is what low_water() said after the last run: records that arrived before its low_ms are not read again.
+    A source without a mark is new and read whole. Empty tables give no rows. Columns as in first_deliveries().
     """
     if low is not None:
-        first_open = first.join(low, "source_key").filter("wal_sequence >= low_sequence").drop("low_sequence")
+        mark = low.select("source_key", "low_ms")
+        first_open = first.join(mark, "source_key", "left").filter("low_ms is null or received_ms is null or received_ms >= low_ms").drop("low_ms")
     else:
         first_open = first
     hit = (F.col("f.source_key") == F.col("d.source_key")) & (F.col("f.wal_sequence") == F.col("d.wal_sequence")) & F.col("f.content_hash").eqNullSafe(F.col("d.version"))
@@ -93,6 +102,9 @@ def pending(first: DataFrame, done: DataFrame, low: DataFrame | None = None) ->
 
 
 def next_batch(records: DataFrame, checkpoints: DataFrame, segments: DataFrame) -> DataFrame:
-    """pending() with the ledger that the checkpoints and segments stand for."""
-    first = first_deliveries(records)
-    return pending(first, ledger(first, successful_runs(checkpoints, segments)))
+    """pending() with the ledger that the checkpoints and segments stand for, from the mark of each source's last run."""
+    first, runs = cut(first_deliveries(records), "first"), cut(successful_runs(checkpoints, segments), "runs")
+    done = cut(ledger(first, runs), "ledger")
+    last = runs.groupBy("source_key").agg(F.max("done_ms").alias("last_ms"))
+    seen = first.join(last, "source_key").filter("received_ms <= last_ms").drop("last_ms")
+    return pending(first, done, low_water(seen, done))

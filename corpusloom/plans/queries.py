@@ -53,7 +53,7 @@ GROUP BY source_key""")
 def p6_low_water(spark, d):
     first = incremental.first_deliveries(table(spark, d, "wal_record"))
     done = incremental.ledger(first, incremental.successful_runs(table(spark, d, "operation_checkpoint"), table(spark, d, "segment_descriptor")))
-    return incremental.low_water(first, done)
+    return incremental.low_water(first, done).filter("low_sequence is not null").select("source_key", "low_sequence")
 
 
 from corpusloom.plans import text_queries  # noqa: E402, F401  (they register themselves)

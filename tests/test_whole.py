@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from corpusloom.operators import chunking, retrieval, vectors
+from corpusloom.operators import chunking, incremental, retrieval, vectors
 from corpusloom.plans.queries import Q
 
 
@@ -36,3 +36,15 @@ def test_eigenpairs_of_tokens_with_many_neighbours(spark):
         got = {x.component: x.eigenvalue for x in vectors.eigenpairs(cooc, most=most).collect()}
         want = np.sort(np.linalg.eigvalsh(a))[::-1]
         assert len(got) == (24 if n == 260 else n - 1) and all(abs(got[c] - want[c]) < 1e-6 * want[0] for c in range(3))
+
+
+def test_records_after_the_mark(spark):
+    cols = "source_key string, wal_sequence bigint, received_ms bigint, file_path string, content_hash string"
+    old = [("a", 1, 10, "x", "h1"), ("a", 5, 20, "x", "h5"), ("b", 1, 10, "y", "h1")]
+    ledger = [("a", 1, "h1"), ("b", 1, "h1")]
+    done = spark.createDataFrame(ledger, "source_key string, wal_sequence bigint, version string")
+    low = incremental.low_water(spark.createDataFrame(old, cols), done)  # a: 5 is open; b: nothing
+    new = [("a", 3, 30, "z", "h3"), ("b", 2, 30, "w", "h2"), ("b", 0, 31, "v", "h0"), ("c", 1, 5, "u", "h1"), ("c", 2, None, "t", "h2")]
+    got = incremental.pending(spark.createDataFrame(old + new, cols), done, low)
+    assert {(r.source_key, r.wal_sequence) for r in got.collect()} == {("a", 5), ("a", 3), ("b", 2), ("b", 0), ("c", 1), ("c", 2)}
+    assert "low_ms" not in got.columns
