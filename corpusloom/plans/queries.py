@@ -27,6 +27,15 @@ def p4_hierarchy(spark, d):
     return tree.withColumn("path", F.concat_ws("/", "path"))
 
 
+@query("p4_descendants", _P4 + """, n AS (SELECT conversation_id, node_id, count(*) AS c FROM up GROUP BY ALL)
+SELECT u.conversation_id, u.anc AS ancestor, u.node_id, CAST(n.c - coalesce(m.c, 0) AS INT) AS distance FROM up u JOIN n ON n.conversation_id = u.conversation_id AND n.node_id = u.node_id
+LEFT JOIN n m ON m.conversation_id = u.conversation_id AND m.node_id = u.anc
+WHERE NOT EXISTS (SELECT 1 FROM up v JOIN up o ON o.conversation_id = v.conversation_id AND o.node_id = v.anc AND o.anc = o.node_id WHERE v.conversation_id = u.conversation_id AND v.node_id = u.node_id)""")
+def p4_descendants(spark, d):
+    tree = hierarchy.hierarchy(table(spark, d, "chatgpt_node"), "node_id", "parent", ["conversation_id"], "exported_at")
+    return hierarchy.descendants(tree, "node_id", ["conversation_id"])
+
+
 _P6_FIRST = """first AS (SELECT source_key, wal_sequence, min(received_ms) AS received_ms, min(file_path) AS file_path, min(content_hash) AS content_hash
     FROM wal_record WHERE source_key IS NOT NULL AND wal_sequence IS NOT NULL GROUP BY source_key, wal_sequence),
 newest AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY updated_unix_ms DESC, generation DESC NULLS LAST, processed_files DESC NULLS LAST) AS k

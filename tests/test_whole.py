@@ -48,3 +48,10 @@ def test_records_after_the_mark(spark):
     got = incremental.pending(spark.createDataFrame(old + new, cols), done, low)
     assert {(r.source_key, r.wal_sequence) for r in got.collect()} == {("a", 5), ("a", 3), ("b", 2), ("b", 0), ("c", 1), ("c", 2)}
     assert "low_ms" not in got.columns
+
+
+def test_descendants_of_whole_tables(spark, tmp_path):
+    rows = [("c", "r", None), ("c", "a", "r"), ("c", "b", "a"), ("c", "x", "y"), ("c", "y", "x"), ("c", "z", "y"), ("d", "a", "gone")]
+    spark.createDataFrame([(*r, 1.0) for r in rows], "conversation_id string, node_id string, parent string, exported_at double").write.parquet(f"{tmp_path}/chatgpt_node.parquet")
+    got = {(r.conversation_id, r.ancestor, r.node_id, r.distance) for r in Q["p4_descendants"](spark, str(tmp_path)).collect()}
+    assert got == {("c", "r", "a", 1), ("c", "r", "b", 2), ("c", "a", "b", 1)}
