@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.skew import split_cumulate
 from corpusloom.session import cut
 
 LINK, BACKLINK, RESTART, STEPS = 1.0, 0.35, 0.25, 3
@@ -92,10 +93,12 @@ def dead_links(docs: DataFrame) -> DataFrame:
 
 
 def hub_pages(docs: DataFrame, most: int) -> DataFrame:
-    """(folder, page, documents): a page of links for each folder; folders of more than most documents have none, as no page should hold them."""
+    """(folder, number, page, documents): pages of links for each folder, numbered from 1, of at most most documents each."""
     folder = F.regexp_replace("source_path", "/[^/]*$", "")
-    f = docs.filter(F.contains("source_path", F.lit("/"))).select(folder.alias("folder"), "doc_id", "source_path", F.coalesce("title", F.lit("")).alias("title"))
-    small = f.groupBy("folder").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") <= most)
     line = F.concat(F.lit("- [["), F.regexp_replace("source_path", r"\.md$", ""), F.lit("|"), "title", F.lit("]]"))
-    g = f.join(small, "folder").groupBy("folder", "documents").agg(F.array_sort(F.collect_list(F.struct(F.lower("title").alias("t"), "source_path", "doc_id", line.alias("line")))).alias("a"))
-    return g.select("folder", F.concat(F.lit("# "), "folder", F.lit("\n\n"), F.array_join(F.transform("a", lambda x: x["line"]), "\n")).alias("page"), "documents")
+    f = docs.filter(F.contains("source_path", F.lit("/"))).select(folder.alias("folder"), "doc_id", "source_path", F.coalesce("title", F.lit("")).alias("title"))
+    f = f.select("folder", F.lower("title").alias("t"), "source_path", "doc_id", line.alias("line"), F.lit(1).cast("long").alias("one"))
+    placed = split_cumulate(f, ["folder"], [F.col("t"), F.col("source_path"), F.col("doc_id")], "one", "place")
+    g = placed.groupBy("folder", (F.floor(F.col("place") / most) + 1).alias("number")).agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("a"))
+    head = F.concat(F.lit("# "), "folder", F.when(F.col("number") > 1, F.concat(F.lit(" ("), "number", F.lit(")"))).otherwise(""), F.lit("\n\n"))
+    return g.select("folder", "number", F.concat(head, F.array_join(F.transform("a", lambda x: x["line"]), "\n")).alias("page"), F.size("a").cast("long").alias("documents"))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from corpusloom.operators import chunking, incremental, retrieval, vectors
+from corpusloom.operators import chunking, graph, incremental, retrieval, vectors
 from corpusloom.plans.queries import Q
 
 
@@ -55,3 +55,10 @@ def test_descendants_of_whole_tables(spark, tmp_path):
     spark.createDataFrame([(*r, 1.0) for r in rows], "conversation_id string, node_id string, parent string, exported_at double").write.parquet(f"{tmp_path}/chatgpt_node.parquet")
     got = {(r.conversation_id, r.ancestor, r.node_id, r.distance) for r in Q["p4_descendants"](spark, str(tmp_path)).collect()}
     assert got == {("c", "r", "a", 1), ("c", "r", "b", 2), ("c", "a", "b", 1)}
+
+
+def test_hub_pages_of_large_folders(spark):
+    docs = spark.createDataFrame([(i, f"big/{i:02}.md", f"t{i:02}") for i in range(25)] + [(99, "small/a.md", None), (100, "top.md", "x")], "doc_id bigint, source_path string, title string")
+    got = {(r.folder, r.number): r for r in graph.hub_pages(docs, 10).collect()}
+    assert {k: r.documents for k, r in got.items()} == {("big", 1): 10, ("big", 2): 10, ("big", 3): 5, ("small", 1): 1}
+    assert [x for k in (1, 2, 3) for x in got["big", k].page.split("\n")[2:]] == [f"- [[big/{i:02}|t{i:02}]]" for i in range(25)]
