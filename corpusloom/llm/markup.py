@@ -33,7 +33,7 @@ _FORTH = str.maketrans({"<": _LT, ">": _GT, "&": _AMP})
 
 _ENTITY = re.compile(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 _CODE = re.compile(r"^[ ]{0,3}(?P<fence>`{3,}|~{3,})[^\n`]*$|\\begin\{(?P<env>verbatim|lstlisting|minted)\*?\}|<(?P<tag>pre|code|syntaxhighlight|nowiki)\b[^<>]*>|(?P<tick>`+)", re.M | re.I)
-_FORMULA = re.compile(r"\\begin\{(equation|align|gather|multline|eqnarray|displaymath|math)(\*?)\}|\$\$|\\\[|\\\(|\$(?=[^\s$\d])[^$\n]{1,400}?(?<=[^\s\\$])\$(?!\w)|\$(?=\d)[^$\n]{0,400}?[\\^_=][^$\n]{0,400}?(?<=[^\s\\$])\$(?!\w)")
+_FORMULA = re.compile(r"\\begin\{(equation|align|gather|multline|eqnarray|displaymath|math)(\*?)\}|\$\$|\\\[|\\\(|\$(?=[^\s$\d])[^$\n]+(?<=[^\s\\$])\$(?!\w)|\$(?=\d)(?=[^$\n]*[\\^_=])[^$\n]+(?<=[^\s\\$])\$(?!\w)")
 _MATHS = re.compile(r"[\\^_=+*/<>{}|-]|^\w{1,3}$")
 
 
@@ -110,11 +110,14 @@ def _set_formulas_aside(text: str, store: _Store) -> str:
         if m[1] or found in ends:
             close = f"\\end{{{m[1]}{m[2]}}}" if m[1] else ends[found]
             e = store.find(text, close, at)
-            if e >= 0 and e - at <= 4_000 and (body := text[at:e].strip()):
+            if e >= 0 and (body := text[at:e].strip()):
                 store.langs.add("latex")
                 body = re.sub(r"\\label\{[^{}]*\}", "", body).strip()
                 out.append(store.put("formula", body) if found == "\\(" else "\n" + store.put("display", body) + "\n")
                 at = e + len(close)
+            elif e >= 0:  # an empty one: its close opens nothing
+                out.append(text[m.start() : e + len(close)])
+                at = e + len(close)
             else:
                 out.append(found)
         elif _MATHS.search(found[1:-1]):
