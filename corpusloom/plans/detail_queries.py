@@ -7,7 +7,7 @@ from corpusloom.operators import answers, chunking, graph, hierarchy, interactio
 from corpusloom.plans.answer_queries import _PROF, EVIDENCE, evidence
 from corpusloom.plans.graph_queries import COOC
 from corpusloom.plans.learning_queries import PAIRS, _pairs
-from corpusloom.plans.registry import query
+from corpusloom.plans.registry import SQL, query
 from corpusloom.plans.retrieval_queries import _DMIX, CHUNKS, FEATURES, RANK, _featured, _mix, chunks, index, r6
 from corpusloom.plans.text_queries import TOKENS, asked, dates_sql, docs
 from corpusloom.session import cut, table
@@ -98,6 +98,12 @@ def m02(spark, d):
     return r6(vectors.capped_cooccurrence(chunks(spark, d), 1_000), "w")
 
 
+# As many tokens as the reference's matrix has; m02_capped_cooccurrence shows the cap on a small one.
+@query("m02_whole_cooccurrence", SQL["m02_capped_cooccurrence"].replace("token_id >= 1000", "token_id >= 10000"))
+def m02_whole(spark, d):
+    return r6(vectors.capped_cooccurrence(chunks(spark, d)), "w")
+
+
 @query("m04_triplets", f"WITH {COOC} SELECT count(*) AS cells, count(*) FILTER (a = b) AS diagonal, CAST(round(sum(w), 4) AS DOUBLE) AS mass FROM cooc")
 def m04(spark, d):
     return vectors.cooccurrence(chunks(spark, d)).agg(F.count("*").alias("cells"), F.count(F.when(F.col("a") == F.col("b"), 1)).alias("diagonal"), F.round(F.sum("w"), 4).alias("mass"))

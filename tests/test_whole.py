@@ -62,3 +62,10 @@ def test_hub_pages_of_large_folders(spark):
     got = {(r.folder, r.number): r for r in graph.hub_pages(docs, 10).collect()}
     assert {k: r.documents for k, r in got.items()} == {("big", 1): 10, ("big", 2): 10, ("big", 3): 5, ("small", 1): 1}
     assert [x for k in (1, 2, 3) for x in got["big", k].page.split("\n")[2:]] == [f"- [[big/{i:02}|t{i:02}]]" for i in range(25)]
+
+
+def test_cooccurrence_of_over_a_thousand_tokens(spark, tmp_path):
+    text = " ".join(f"w{i:04}x" for i in range(1_500))
+    spark.createDataFrame([(1, "p.md", "t", text)], "doc_id bigint, source_path string, title string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = {r.a for r in Q["m02_whole_cooccurrence"](spark, str(tmp_path)).collect()}
+    assert "w1400x" in seen and len(seen) == 1_500
