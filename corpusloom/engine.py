@@ -17,7 +17,7 @@ class Engine:
         self._index: tuple[int, retrieval.Index] | None = None
 
     def _generation(self) -> int:
-        return int(sync.get_text(self.spark, f"{self.root}/CURRENT") or 0)
+        return sync.state(self.spark, self.root)["generation"]
 
     def documents(self) -> DataFrame:
         found = sync.published(self.spark, self.root, "documents")
@@ -35,9 +35,7 @@ class Engine:
         return self._publish(self.documents().filter(~inside).unionByName(docs.select("doc_id", "source_path", "title", "text")))
 
     def _publish(self, docs: DataFrame) -> int:
-        n = self._generation() + 1
-        sync.publish(self.spark, self.root, n, {"documents": docs})
-        return n
+        return sync.publish(self.spark, self.root, {"documents": docs})
 
     def index(self) -> retrieval.Index:
         n = self._generation()

@@ -1,9 +1,12 @@
 """Snapshots of sources and what changed between them, incremental upkeep of derived tables, published generations."""
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import get_text, put_text
+from corpusloom.session import get_text, listed, put_new
 
 
 def snapshot(records: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -51,14 +54,40 @@ def interval_seconds(c: Column) -> Column:
     return n * F.when(F.rtrim(c).endswith("m"), 60).when(F.rtrim(c).endswith("h"), 3600).otherwise(86400)
 
 
-def publish(spark: SparkSession, root: str, generation: int, tables: dict[str, DataFrame]) -> None:
-    """Write every table of a generation, then turn the pointer: readers see the whole of one generation."""
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], added: bool = False) -> int:
+    """Write the tables as the next generation and give its number.
+
+    Each goes to a folder of its own that no other run writes to; last comes the generation's marker, a small file that names the
+    folders of every table. What a run that fails before that leaves behind is seen by nobody and overwritten by nobody, and of two
+    runs that want the same number one fails. With added, the rows are added to those of the generation before; tables not given
+    stay as they are.
+    """
+    now, folder = state(spark, root), f"data/{uuid.uuid4().hex}"
+    names = {n: list(p) for n, p in now["tables"].items()}
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/gen={generation}/{name}")
-    put_text(spark, f"{root}/CURRENT", str(generation))
+        df.write.mode("errorifexists").parquet(f"{root}/{folder}/{name}")
+        names[name] = [*(names.get(name, []) if added else []), f"{folder}/{name}"]
+    n = int(max([f"{now['generation']:010d}", *listed(spark, f"{root}/generations")])) + 1  # one that no marker, whole or not, has
+    put_new(spark, f"{root}/generations/{n:010d}", json.dumps({"generation": n, "tables": names, "whole": True}))
+    return n
+
+
+def state(spark: SparkSession, root: str) -> dict:
+    """The newest generation that is whole: {generation, tables: {name: folders}}; 0 and no tables before the first.
+
+    A marker that a run could not finish is passed over, and so is one of whose folders any is not there: the generation before counts.
+    """
+    for name in reversed(listed(spark, f"{root}/generations")):
+        try:
+            s = json.loads(get_text(spark, f"{root}/generations/{name}") or "")
+        except ValueError:
+            continue
+        if s.get("whole") and all("_SUCCESS" in listed(spark, f"{root}/{p}") for ps in s["tables"].values() for p in ps):
+            return s
+    return {"generation": 0, "tables": {}}
 
 
 def published(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    """The table of the generation that the pointer names; None before the first."""
-    now = get_text(spark, f"{root}/CURRENT")
-    return None if now is None else spark.read.parquet(f"{root}/gen={int(now)}/{name}")
+    """The table of the newest whole generation; None where there is none."""
+    paths = state(spark, root)["tables"].get(name)
+    return spark.read.parquet(*[f"{root}/{p}" for p in paths]) if paths else None

@@ -16,13 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests), one of this machine."""
+    """The folder of spark.checkpoint.dir; only where that is unset and all executors are in this process (tests), one of this machine."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir.rstrip("/")
     by_context = spark.sparkContext._jsc.sc().getCheckpointDir()
     if by_context.isDefined():
         return by_context.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="corpusloom-")
         atexit.register(shutil.rmtree, _LOCAL["dir"], ignore_errors=True)
@@ -59,17 +61,20 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return back
 
 
-def put_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file through Hadoop's file systems, whole or not at all."""
+def put_new(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file that must not exist yet, through Hadoop's file systems; of two writers one fails."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    tmp, to = jvm.org.apache.hadoop.fs.Path(path + ".tmp"), jvm.org.apache.hadoop.fs.Path(path)
-    fs = to.getFileSystem(conf)
-    out = fs.create(tmp, True)
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(conf).create(to, False)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(to):
-        fs.delete(to, False)
-    fs.rename(tmp, to)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, in order; none if there is no such folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
 
 def get_text(spark: SparkSession, path: str) -> str | None:

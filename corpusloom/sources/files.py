@@ -2,6 +2,7 @@
 
 import re
 
+from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,11 +57,30 @@ def discover(spark: SparkSession, root: str, ignore: list[str] | None = None) ->
 
 
 def read_only(spark: SparkSession, sql: str) -> DataFrame:
-    """The result of a query; anything that is not one SELECT or WITH is refused."""
-    body = re.sub(r"\A(?:\s*--[^\n]*\n)*\s*", "", sql).rstrip().rstrip(";")
-    if not re.match(r"(?i)(?:select|with)\b", body) or ";" in body:
-        raise ValueError("only a single SELECT or WITH is read")
-    return spark.sql(body)
+    """The result of one query. Spark's own parser says what it is: any part that writes, defines or sets something is refused,
+    also one led by WITH."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except ParseException as e:
+        raise ValueError("only a single query is read") from e
+    if found := _not_read(plan):
+        raise ValueError(f"only a query is read, not {found}")
+    return spark.sql(sql)
+
+
+def _not_read(plan) -> str | None:
+    """The name of a part of a logical plan that does more than read."""
+    name = plan.getClass().getName()
+    own = name.rpartition(".")[2]
+    if ".catalyst.plans.logical." not in name and ".catalyst.analysis." not in name or re.search(
+            "Command|Insert|Statement|Create|Drop|Alter|Delete|Update|Merge|Write|Append|Overwrite|Truncate|Set[A-Z]|Cache|Call|Execute|Load|Refresh|Repair|Rename|Replace|Script|Show|Describe", own):
+        return own
+    for kids in (plan.children(), plan.innerChildren(), plan.subqueries()):
+        for k in range(kids.size()):
+            kid = kids.apply(k)
+            if hasattr(kid, "getClass") and (found := _not_read(kid) if ".plans." in kid.getClass().getName() or ".analysis." in kid.getClass().getName() else None):
+                return found
+    return None
 
 
 def row_documents(df: DataFrame, name: str, key: str, title: str | None, metadata: list[str], content: list[str]) -> DataFrame:

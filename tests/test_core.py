@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -116,9 +117,9 @@ def test_sync_and_generations(spark, tmp_path):
     assert {tuple(r) for r in sync.replaced(old, new, diff, ["k"]).collect()} == {tuple(r) for r in new.collect()}
     root = f"file://{tmp_path}/store"
     assert sync.published(spark, root, "t") is None
-    sync.publish(spark, root, 1, {"t": old})
-    sync.publish(spark, root, 2, {"t": new})
+    assert sync.publish(spark, root, {"t": old}) == 1 and sync.publish(spark, root, {"t": new}) == 2
     assert sync.published(spark, root, "t").count() == 4
+    assert sync.publish(spark, root, {"t": old}, added=True) == 3 and sync.published(spark, root, "t").count() == 7
     df = spark.createDataFrame([("folder/a/x", "folder", "folder/a"), ("folder/ab", "folder", "folder/a"), ("codex://s", "codex", "")], "p string, k string, r string")
     assert [r[0] for r in df.select(sync.belongs(F.col("p"), F.col("k"), F.col("r"))).collect()] == [True, False, True]
     assert one(spark, sync.interval_seconds(F.col("t")), t="2h") == 7200 and one(spark, sync.interval_seconds(F.col("t")), t="soon") is None
@@ -149,3 +150,30 @@ def test_core_needs_no_llm():
     for f in root.rglob("*.py"):
         if "llm" not in f.parts:
             assert not re.search(r"corpusloom\.llm|from \.+llm", f.read_text()), f
+
+
+def test_a_write_that_dies_leaves_the_generation_before(spark, tmp_path, monkeypatch):
+    root, t = f"file://{tmp_path}/store", spark.range(3)
+    sync.publish(spark, root, {"t": t})
+
+    def die(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(sync, "put_new", die)
+        sync.publish(spark, root, {"t": spark.range(9)})
+    assert sync.published(spark, root, "t").count() == 3
+    (tmp_path / "store" / "generations" / "0000000002").write_text('{"generation": 2, "tab')  # half a marker
+    assert sync.state(spark, root)["generation"] == 1 and sync.published(spark, root, "t").count() == 3
+    assert sync.publish(spark, root, {"t": spark.range(9)}) == 3 and sync.published(spark, root, "t").count() == 9
+    import shutil
+    shutil.rmtree(tmp_path / "store" / sync.state(spark, root)["tables"]["t"][0])
+    assert sync.published(spark, root, "t").count() == 3
+
+
+@pytest.mark.parametrize("sql", ["INSERT INTO t_ro VALUES (1)", "WITH x AS (SELECT 1 a) INSERT INTO t_ro SELECT * FROM x", "-- note\nWITH x AS (SELECT 1 a) FROM x INSERT INTO t_ro SELECT *",
+                                 "DROP TABLE t_ro", "SET a=1", "SELECT 1; DROP TABLE t_ro", "CACHE TABLE v", "CREATE TABLE q AS SELECT 1", "TRUNCATE TABLE t_ro"])
+def test_only_queries_are_read(spark, sql):
+    with pytest.raises(Exception):
+        files.read_only(spark, sql)
+    assert files.read_only(spark, "-- note\nWITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 5) SELECT * FROM r").count() == 5
