@@ -8,7 +8,6 @@ starts. Every block of items is packed by one task as the rows come by; only siz
 import bisect
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -52,57 +51,88 @@ def least(sizes: list[int], capacity: int) -> int:
     return best
 
 
-def _fillings(up: list[int], counts: dict[int, int], room: int, budget: int) -> list[tuple[int, ...]]:
-    """Undominated sets of the sizes left (up: all sizes, ascending; counts: how many are left of each) that fit into room, fullest
-    first; of very many, those met within budget steps of a search that takes large sizes first."""
-    found: set[tuple[int, ...]] = set()
-    steps = 0
+def _fillings(up: list[int], counts: dict[int, int], room: int) -> Iterator[tuple[int, ...]]:
+    """All undominated sets of the sizes left (up: all sizes, ascending; counts: how many are left of each) that fit into room,
+    fullest first. They are made one by one, as they are asked for.
 
-    def go(k: int, left: int, chosen: tuple[int, ...]) -> None:
-        nonlocal steps
-        steps += 1
-        if steps > budget:
-            return
-        k = min(k, bisect.bisect_right(up, left))
-        while k and not counts[up[k - 1]]:
-            k -= 1
-        if not k:
-            found.add(chosen)
-            return
-        s = up[k - 1]
-        for n in range(min(counts[s], left // s), -1, -1):
-            go(k - 1, left - n * s, chosen + (s,) * n)
-
-    go(len(up), room, ())
-
-    def dominated(f: tuple[int, ...]) -> bool:
-        """Some of the chosen could be replaced by one larger size that is left out and still fits."""
-        slack = room - sum(f)
-        most = 4 if len(f) <= 8 else 2 if len(f) <= 16 else 1  # fewer together where there are many: the test only saves work
-        for t in {sum(c) for n in range(min(len(f), most) + 1) for c in combinations(f, n)}:
-            k = bisect.bisect_right(up, t)
-            while k < len(up) and up[k] <= t + slack:
-                if counts[up[k]] > f.count(up[k]):
-                    return True
-                k += 1
-        return False
-
-    kept = [f for f in found if not dominated(f)]
-    return sorted(kept or found, key=lambda f: (-sum(f), len(f), f))
-
-
-def complete(sizes: list[int], capacity: int, budget: int = 4_000) -> list[list[int]]:
-    """Containers of sizes, none of which exceeds capacity. Optimal if it ends within budget fillings tried, which is a time bound,
-    not a bound on items; else the best packing met, never worse than best fit decreasing."""
+    reach[k] has bit t set if some of the first k sizes sum to t, so that no step of the search for a sum is in vain.
+    """
+    upto = bisect.bisect_right(up, room)
+    left = [s for s in up[:upto] if counts[s]]
+    mask, reach = (1 << room + 1) - 1, [1]
+    for s in left:
+        r = reach[-1]
+        for _ in range(min(counts[s], room // s)):
+            more = (r | r << s) & mask
+            if more == r:
+                break
+            r = more
+        reach.append(r)
+    free = 0
+    for s in left:
+        free |= 1 << s
+
+    def sets(k: int, total: int) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield ()
+        for j in range(k if total else 0, 0, -1):  # left[j - 1] is the largest of the set
+            if not reach[j] >> total & 1:
+                break
+            s = left[j - 1]
+            for n in range(min(counts[s], total // s), 0, -1):
+                if reach[j - 1] >> total - n * s & 1:
+                    for rest in sets(j - 1, total - n * s):
+                        yield (s,) * n + rest
+
+    def dominated(f: tuple[int, ...], slack: int) -> bool:
+        """Another size would fit beside the chosen, or some of them could be replaced by one that is left out, no smaller than
+        their sum, and still fits."""
+        out, one, two, some = free, 0, 0, 0
+        for s in f:
+            two |= two << s | some << s
+            some |= some << s | 1 << s
+            one |= 1 << s
+        for s in set(f):
+            if counts[s] <= f.count(s):
+                out &= ~(1 << s)
+        if slack and (out >> 1 & (1 << slack) - 1 or one & _within(out >> 1, slack - 1)):
+            return True
+        return bool(two & _within(out, slack))
+
+    r = reach[-1]
+    while r:
+        total = r.bit_length() - 1
+        r ^= 1 << total
+        for f in sets(len(left), total):
+            if not dominated(f, room - total):
+                yield f
+
+
+def _within(bits: int, slack: int) -> int:
+    """Bit t is set if any of the bits t to t + slack is."""
+    width = 1
+    while width <= slack:
+        step = min(width, slack + 1 - width)
+        bits |= bits >> step
+        width += step
+    return bits
+
+
+def completed(sizes: list[int], capacity: int, budget: int = 4_000) -> tuple[list[list[int]], bool]:
+    """(containers of sizes, none of which exceeds capacity; whether no packing has fewer).
+
+    budget bounds the fillings tried, and so the time, not the items: where it runs out, the best packing met so far is given,
+    never worse than best fit decreasing, and the second value is False unless it meets the lower bound.
+    """
     best, low = best_fit(sizes, capacity), least(sizes, capacity)
     total, steps, waste = sum(sizes), 0, 0
     if len(best) <= low:
-        return best
+        return best, True
     counts = dict(Counter(sizes))
     up = sorted(counts)
     left, top = len(sizes), len(up) - 1
-    # Each level of the stack: the untried fillings of a container, the fullest last, and where the largest size stood.
-    stack: list[tuple[list[tuple[int, ...]], int]] = []
+    # Each level of the stack: the untried fillings of a container, the fullest first, its largest size, and where that stood.
+    stack: list[tuple[Iterator[tuple[int, ...]], int, int]] = []
     done: list[tuple[int, ...]] = []
 
     def open_one() -> None:
@@ -111,10 +141,9 @@ def complete(sizes: list[int], capacity: int, budget: int = 4_000) -> list[list[
         while not counts[up[top]]:
             top -= 1
         s = up[top]
-        counts[s] -= 1
-        fill = _fillings(up, counts, capacity - s, 200)
-        counts[s] += 1
-        stack.append(([(s, *f) for f in reversed(fill)], was))
+        rest = dict(counts)  # the fillings are made later, when other containers have been tried and undone
+        rest[s] -= 1
+        stack.append((_fillings(up[: top + 1], rest, capacity - s), s, was))
 
     open_one()
     while stack and steps < budget and len(best) > low:
@@ -124,18 +153,17 @@ def complete(sizes: list[int], capacity: int, budget: int = 4_000) -> list[list[
                 counts[s] += 1
             waste -= capacity - sum(back)
             left += len(back)
-        fill, was = stack[-1]
-        if not fill:
+        fill, s, was = stack[-1]
+        take = next(fill, None)
+        steps += 1
+        # Fillings come fullest first: once one wastes too much, the others of its level do too.
+        if take is None or waste + capacity - s - sum(take) > (len(best) - 1) * capacity - total:
             top = was
             stack.pop()
             continue
-        steps += 1
-        take = fill.pop()
-        if waste + capacity - sum(take) > (len(best) - 1) * capacity - total:
-            fill.clear()  # the others waste more
-            continue
-        for s in take:
-            counts[s] -= 1
+        take = (s, *take)
+        for x in take:
+            counts[x] -= 1
         done.append(take)
         waste += capacity - sum(take)
         left -= len(take)
@@ -143,17 +171,33 @@ def complete(sizes: list[int], capacity: int, budget: int = 4_000) -> list[list[
             open_one()
         else:
             best = [list(b) for b in done]
-    return best
+    return best, len(best) <= low or not stack
+
+
+def complete(sizes: list[int], capacity: int, budget: int = 4_000) -> list[list[int]]:
+    return completed(sizes, capacity, budget)[0]
 
 
 def packed(df: DataFrame, key: str, text: str, capacity: int, block: int = 4_096, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, piece, container, place, n_tokens): the container of each row's text and the tokens that stand before it there.
+    Columns of df beside key and text are not read.
 
     Sizes are tokens of the vocabulary. A text is whole (piece 0) unless it is larger than the capacity: then its pieces, cut
     at natural boundaries without overlap, are items of their own. Null and empty texts are items of no tokens and take the first
     container of their block. Containers are named by the partition, block and number; a block holds up to block items of one
-    partition, so that one container in some hundreds may stay partly empty at the end of a block.
+    partition, so that one container in some hundreds may stay partly empty at the end of a block. A block is filled by completed().
     """
+    kind = df.schema[key].dataType.simpleString()
+    return _blocks(df, key, text, capacity, block, vocabulary, f"`{key}` {kind}, piece int, container string, place int, n_tokens int", False)
+
+
+def block_report(df: DataFrame, key: str, text: str, capacity: int, block: int = 4_096, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(block, items, tokens, least, best_fit, containers, proved) of each block of packed(): the lower bound, what best fit decreasing
+    needs, what is used, and whether no packing of the block has fewer."""
+    return _blocks(df, key, text, capacity, block, vocabulary, "block string, items int, tokens bigint, least int, best_fit int, containers int, proved boolean", True)
+
+
+def _blocks(df: DataFrame, key: str, text: str, capacity: int, block: int, vocabulary: str, schema: str, report: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, no = encoder(vocabulary), TaskContext.get().partitionId(), 0
@@ -162,7 +206,14 @@ def packed(df: DataFrame, key: str, text: str, capacity: int, block: int = 4_096
 
         def out() -> pa.RecordBatch:
             nonlocal no
-            bins = complete([n for _, _, n in items if n], capacity) or [[]]
+            sizes = [n for _, _, n in items if n]
+            bins, proved = completed(sizes, capacity)
+            if report:
+                row = (f"{part:06d}-{no:06d}", len(sizes), sum(sizes), least(sizes, capacity), len(best_fit(sizes, capacity)), len(bins), proved)
+                no += 1
+                return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()))],
+                                                  names=["block", "items", "tokens", "least", "best_fit", "containers", "proved"])
+            bins = bins or [[]]
             slots: dict[int, list[tuple[int, int]]] = {}
             for b, sizes in enumerate(bins):
                 at = 0
@@ -193,6 +244,5 @@ def packed(df: DataFrame, key: str, text: str, capacity: int, block: int = 4_096
         if items:
             yield out()
 
-    kind = df.schema[key].dataType.simpleString()
     src = df.select(F.col(key).alias(key), F.col(text).cast("string").alias("_text"))
-    return src.mapInArrow(run, f"`{key}` {kind}, piece int, container string, place int, n_tokens int")
+    return src.mapInArrow(run, schema)

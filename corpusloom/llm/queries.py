@@ -80,6 +80,12 @@ def p9_pack(spark, d):
     return packing.packed(table(spark, d, "documents"), "doc_id", "text", CAPACITY)
 
 
+@query("p9_blocks")
+def p9_blocks(spark, d):
+    """Small containers, blocks of few items: here best fit decreasing often misses the bound, and completion does better or proves it right."""
+    return packing.block_report(table(spark, d, "documents"), "doc_id", "text", 768, block=48)
+
+
 @query("p10_found")
 def p10_found(spark, d):
     cut = splitting.split_texts(table(spark, d, "documents"), "doc_id", "text", LIMIT, OVERLAP, with_text=False)

@@ -7,6 +7,7 @@ the overlap fits; the boundaries left over, the strongest, are where the text is
 
 import heapq
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -134,9 +135,9 @@ def pieces(enc: Encoder, text: str, limit: int, overlap: int) -> list[tuple[int,
         if before[a] >= 0:
             heapq.heappush(heap, (parts[a][2], size[before[a]] + n, before[a], a))
     out: list[tuple[int, int, int, int]] = []
-    spans = [(parts[k][0], end[k]) for k in range(len(parts)) if alive[k]]
+    spans = deque((parts[k][0], end[k]) for k in range(len(parts)) if alive[k])
     while spans:
-        own, stop = spans.pop(0)
+        own, stop = spans.popleft()
         start = _tail(enc, text, out[-1][1], own, overlap) if out else own
         n = enc.count(text[start:stop])
         while n > limit and start < own:
@@ -144,7 +145,7 @@ def pieces(enc: Encoder, text: str, limit: int, overlap: int) -> list[tuple[int,
             n = enc.count(text[start:stop])
         if n > limit:  # tokens of neighbouring segments are rarely more than the sum; if so, cut where it fits
             mid = _reach(enc, text, own, stop, limit)
-            spans[:0] = [(own, mid), (mid, stop)]
+            spans.extendleft([(mid, stop), (own, mid)])
             continue
         out.append((start, own, stop, n))
     return out

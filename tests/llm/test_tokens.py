@@ -108,6 +108,37 @@ def test_completion_is_optimal_on_small_cases():
         assert packing.least(sizes, 100) <= len(bins) == optimum(sizes, 100)
 
 
+def test_completion_beats_best_fit():
+    def sizes(seed):
+        r = random.Random(seed)
+        return [r.randint(60, 400) for _ in range(r.randint(18, 30))]
+
+    assert len(packing.best_fit(sizes(19), 1000)) == 7 and [len(packing.completed(sizes(19), 1000)[0]), packing.completed(sizes(19), 1000)[1]] == [6, True]
+    won = [len(packing.best_fit(s, 1000)) - len(packing.complete(s, 1000)) for s in map(sizes, range(100))]
+    assert min(won) == 0 and sum(won) >= 5
+
+
+def test_fillings_are_whole_and_fullest_first():
+    r = random.Random(3)
+    for _ in range(60):
+        counts = {s: r.randint(1, 2) for s in r.sample(range(1, 30), r.randint(1, 6))}
+        up, room = sorted(counts), r.randint(5, 60)
+        got = list(packing._fillings(up, counts, room))
+        items = [s for s in up for _ in range(counts[s])]
+        subsets = {tuple(sorted((items[k] for k in range(len(items)) if m >> k & 1), reverse=True)) for m in range(1 << len(items))}
+        fit = {f for f in subsets if sum(f) <= room}
+        assert set(got) <= fit and [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+        # What is left out is dominated by one that is there: each of its items, or several together, by an item that is larger.
+        assert all(f in got or any(sum(g) >= sum(f) for g in got) for f in fit)
+
+
+def test_block_report(spark):
+    df = spark.createDataFrame([(k, "word " * (20 + 7 * k % 60)) for k in range(90)] + [(None, None)], "k long, t string")
+    rows = packing.block_report(df.coalesce(1), "k", "t", 128, block=30).collect()
+    assert sum(r.items for r in rows) == 90 and all(r.least <= r.containers <= r.best_fit and (r.proved or r.containers > r.least) for r in rows)
+    assert packing.block_report(df.limit(0), "k", "t", 128).count() == 0
+
+
 def test_packed_rows(spark):
     df = spark.createDataFrame([(k, "word " * (k % 90)) for k in range(300)] + [(900, None), (901, ""), (902, "word " * 1000)], "k long, t string")
     got = packing.packed(df.coalesce(1), "k", "t", 128, block=100).collect()
