@@ -89,6 +89,20 @@ def get_text(spark: SparkSession, path: str) -> str | None:
     return text
 
 
+def make(spark: SparkSession, path: str) -> None:
+    """A folder, and those above it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Give a file or folder a new name, at which nothing may be."""
+    jvm = spark._jvm
+    a, b = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(to)
+    if not a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(a, b):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -3,10 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.streaming.drain import drain
+from corpusloom.streaming.drain import replay
 
 
-def trajectory_stream(events: DataFrame, gap: str = "1 day", lateness: str = "36500 days") -> DataFrame:
+def trajectory_stream(events: DataFrame, gap: str = "1 day", lateness: str = "1 hour") -> DataFrame:
     """(user_id, started, ended, events, clicks, dwell, abandoned) of each session of events (user_id, ts, event_type, value).
 
     Late events join their session until the watermark, lateness behind the newest event, has passed its end by the gap.
@@ -19,6 +19,6 @@ def trajectory_stream(events: DataFrame, gap: str = "1 day", lateness: str = "36
     return s.drop("session_window")
 
 
-def trajectories(spark: SparkSession, events: DataFrame, gap: str = "1 day") -> DataFrame:
-    """trajectory_stream() of a bounded stream, to its end."""
-    return drain(spark, events, lambda e: trajectory_stream(e, gap), {"ts": "9990-01-01 00:00:00"}, "trajectories")
+def trajectories(spark: SparkSession, events: DataFrame, gap: str = "1 day", lateness: str = "1 hour", root: str | None = None) -> DataFrame:
+    """trajectory_stream() of a bounded table of events, to its end; see replay(). Events without a time are left out, as they end no session."""
+    return replay(spark, events.filter("ts is not null"), lambda e: trajectory_stream(e, gap, lateness), "ts", {"ts": "9990-01-01 00:00:00"}, "trajectories", root)

@@ -1,12 +1,14 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.engine import Engine
 from corpusloom.functions import text as T
 from corpusloom.operators import answers, interactions, vectors
-from corpusloom.session import clean, cut
-from corpusloom.streaming.trajectories import trajectories
+from corpusloom.session import clean, cut, move
+from corpusloom.streaming import drain
+from corpusloom.streaming.trajectories import trajectories, trajectory_stream
 
 DOC = "doc_id bigint, source_path string, title string, text string, n_path int"
 
@@ -77,12 +79,33 @@ def test_quantised_and_cosine(spark):
 
 def test_trajectories_stream_with_late_events(spark, tmp_path):
     t = dt.datetime(2026, 1, 1, 8)
-    rows = [(1, t, "click", 4.0), (1, t + dt.timedelta(hours=5), "error", None), (1, t + dt.timedelta(days=3), "purchase", 1.0), (2, t, "view", None)]
-    schema = "user_id long, ts timestamp, event_type string, value double"
-    for k in (2, 3, 0, 1):  # the newest first
-        spark.createDataFrame([rows[k]], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
-    got = trajectories(spark, spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events")).collect()
-    assert sorted((r.user_id, r.events, r.clicks, r.abandoned) for r in got) == [(1, 1, 0, False), (1, 2, 1, True), (2, 1, 0, False)]
+    rows = [(1, t, "click", 4.0), (1, t + dt.timedelta(hours=5), "error", None), (1, t + dt.timedelta(days=3), "purchase", 1.0), (2, t, "view", None), (3, None, "view", None)]
+    df = spark.createDataFrame([rows[k] for k in (2, 3, 4, 0, 1)], "user_id long, ts timestamp, event_type string, value double")  # the newest first
+    want = [(1, 1, 0, False), (1, 2, 1, True), (2, 1, 0, False)]
+    said = lambda got: sorted((r.user_id, r.events, r.clicks, r.abandoned) for r in got.collect())
+    assert said(trajectories(spark, df)) == want and said(trajectories(spark, df.limit(0))) == []
+
+
+def test_a_stream_that_dies_is_taken_up(spark, tmp_path, monkeypatch):
+    t = dt.datetime(2026, 1, 1)
+    df = spark.createDataFrame([(k % 7, t + dt.timedelta(days=k), "click", 1.0) for k in range(80)], "user_id long, ts timestamp, event_type string, value double")
+    build, marker = (lambda e: trajectory_stream(e, "2 days")), {"ts": "9990-01-01 00:00:00"}
+    seen = []
+    want = sorted(map(str, drain.replay(spark, df, build, "ts", marker, progress=seen).collect()))
+    held, gone = zip(*seen)
+    assert len(seen) == 5 and max(held) < 20 and all(gone[:-1])  # each step closes sessions, and the state stays small
+    root, moves = f"file://{tmp_path}/replay", []
+
+    def dying(*a):
+        if len(moves) == 2:
+            raise RuntimeError("killed")
+        moves.append(move(*a))
+
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(drain, "move", dying)
+        drain.replay(spark, df, build, "ts", marker, root=root)
+    for _ in range(2):  # taken up, then found done
+        assert sorted(map(str, drain.replay(spark, df, build, "ts", marker, root=root).collect())) == want
 
 
 def test_written_tables_are_removed(spark):
