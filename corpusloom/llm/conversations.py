@@ -1,16 +1,18 @@
 """Conversations from message rows by keyed streaming state with event-time watermarks.
 
-The state of a key (agent, session, file, stretch of line numbers) gathers lines as they come, in any order, and drops lines
-delivered again. A key closes when the watermark has passed its last line by the timeout, and its segment is emitted. A
-bounded input ends with a marker row from beyond all time, which closes what is still open. Segments are bounded by the
-stretch, so a session of any size is spread over many keys; validation and ordering then work on segments, not lines.
+The state of a key (agent, session, file, stretch of line numbers) gathers the numbers and speakers of lines as they arrive, in any
+order, and drops lines delivered again. Event time is the time of arrival: a key closes when the watermark has passed its last
+arrival by the timeout, and its segment is emitted; a line that comes later still opens the key once more, and validation puts the
+segments of a key together. Texts do not go through the state; they are joined to the messages of whole conversations. Segments are
+bounded by the stretch, so a session of any size is spread over many keys, and validation and ordering work on segments, not lines.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.skew import split_cumulate
-from corpusloom.session import cut, new_path, remove
+from corpusloom.session import cut
+from corpusloom.streaming.drain import replay
 
 #: Lines of one file that one key's state holds.
 STRETCH = 1_024
@@ -19,9 +21,6 @@ USER, ASSISTANT = ("user", "human"), ("assistant", "agent", "model")
 #: What shows: neither white space, control, format and private characters, nor blank letters.
 VISIBLE = "[^\\\\s\\\\p{Z}\\\\p{C}\\u115F\\u1160\\u2800\\u3164\\uFFA0\\uFE00-\\uFE0F]".replace("\\\\", "\\")
 
-_LINE = "agent string, session_id string, file string, line_no int, code int, at timestamp, ingested_at timestamp, text string"
-
-
 def moment(c: str) -> Column:
     """A timestamp from ISO notation in any zone, or from a number of seconds or milliseconds; else null."""
     s = F.trim(F.col(c))
@@ -50,38 +49,26 @@ def droid_lines(df: DataFrame, with_text: bool = False) -> DataFrame:
     return _lines(df, "droid", "file_path", F.coalesce(F.col("type") == "message", F.lit(False)), "message.role", "message.content", with_text)
 
 
-def open_segments(lines: DataFrame, timeout: str, lateness: str) -> DataFrame:
-    """The stateful operator, for a stream of lines: (agent, session_id, file, stretch, lines, at, ingested_at), emitted when a key closes."""
-    event = F.coalesce("at", "ingested_at", F.lit("1970-01-01").cast("timestamp"))
-    return (lines.withColumn("event_time", event).withWatermark("event_time", lateness)
-            .groupBy(F.session_window("event_time", timeout), "agent", "session_id", "file", F.expr(f"(line_no - 1) div {STRETCH}").alias("stretch"))
-            .agg(F.collect_set(F.struct("line_no", "code", "text")).alias("lines"), F.min("at").alias("at"), F.min("ingested_at").alias("ingested_at"))
+def open_segments(lines: DataFrame, timeout: str = "1 day", lateness: str = "1 hour") -> DataFrame:
+    """The stateful operator, for a stream of lines with arrived: (agent, session_id, file, stretch, lines, at, ingested_at), emitted when
+    a key has had no line for the timeout. Arrivals may come to the stream out of order by the lateness."""
+    return (lines.withWatermark("arrived", lateness)
+            .groupBy(F.session_window("arrived", timeout), "agent", "session_id", "file", F.expr(f"(line_no - 1) div {STRETCH}").alias("stretch"))
+            .agg(F.collect_set(F.struct("line_no", "code")).alias("lines"), F.min("at").alias("at"), F.min("ingested_at").alias("ingested_at"))
             .drop("session_window"))
 
 
-def drained(spark: SparkSession, streams: list[DataFrame], timeout: str = "30 days", lateness: str = "36500 days") -> DataFrame:
-    """The segments of bounded streams, all of them: runs the stream until it has read everything, then closes every key.
-
-    State, offsets and segments are in the shared folder; a run that fails is taken up where its checkpoint stands. With the
-    default lateness no line of the past comes too late, in whatever order the files are read.
-    """
-    marks, out, state = (new_path(spark, f"conversation-{x}") for x in ("marks", "segments", "state"))
-    spark.createDataFrame([], _LINE).write.parquet(marks)
-    lines = spark.readStream.schema(_LINE).parquet(marks)
-    for s in streams:
-        lines = lines.unionByName(s)
-    segments = open_segments(lines, timeout, lateness)
+def arrivals(lines: DataFrame) -> DataFrame:
+    """lines with arrived: when a line came in, or, where that is not known, when it was written, or the beginning of time."""
+    return lines.withColumn("arrived", F.coalesce("ingested_at", "at", F.lit("1970-01-01").cast("timestamp")))
 
-    def run() -> None:
-        segments.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(
-            availableNow=True).start().awaitTermination()
 
-    run()
-    end = spark.sql("select '' agent, '' session_id, '' file, 1 line_no, 0 code, timestamp'9990-01-01 00:00:00' at, timestamp'9990-01-01 00:00:00' ingested_at, cast(null as string) text")
-    end.coalesce(1).write.mode("append").parquet(marks)
-    run()
-    remove(spark, state)
-    return spark.read.schema(segments.schema).parquet(out)
+def replayed(lines: DataFrame, timeout: str = "1 day", lateness: str = "1 hour", root: str | None = None, progress: list | None = None) -> DataFrame:
+    """The segments of a table of lines, all of them: the table is read in the order of arrival, see drain.replay(). A run with a root of its
+    own that fails is taken up by the next with the same root."""
+    rows = arrivals(lines.drop("text"))
+    marker = {"agent": "", "session_id": "", "file": "", "line_no": 1, "code": 0, "arrived": "9990-01-01 00:00:00"}
+    return replay(lines.sparkSession, rows, lambda s: open_segments(s, timeout, lateness), "arrived", marker, "conversations", root, progress=progress)
 
 
 def _closed(segments: DataFrame) -> DataFrame:
@@ -134,12 +121,15 @@ def verdicts(segments: DataFrame) -> DataFrame:
     return v.select("*", (F.col("empty") | F.coalesce("starts_wrong", F.lit(False)) | F.coalesce("unanswered", F.lit(False)) | F.col("incomplete")).alias("broken"))
 
 
-def messages(segments: DataFrame) -> DataFrame:
-    """(agent, session_id, seq, role, text, file, line_no): the messages of the sessions that are not broken, seq from 0."""
+def messages(segments: DataFrame, lines: DataFrame) -> DataFrame:
+    """(agent, session_id, seq, role, text, file, line_no): the messages of the sessions that are not broken, seq from 0; lines are those
+    that the segments were made of, with their texts. A line given twice with different texts has the first in order."""
     good = verdicts(segments).filter("not broken").select("agent", "session_id")
     segs = _ordered(_closed(segments)).filter("turns <> ''").join(good, ["agent", "session_id"], "left_semi").withColumn("n", F.size("messages").cast("long"))
     placed = split_cumulate(segs.select("agent", "session_id", "file_at", "file", "stretch", "messages", "n"), ["agent", "session_id"],
                             [F.col("file_at"), F.col("file"), F.col("stretch")], "n", "before")
-    return placed.select("agent", "session_id", "file", "before", F.posexplode("messages").alias("k", "m")).select(
-        "agent", "session_id", (F.col("before") + F.col("k")).alias("seq"), F.when(F.col("m.code") == 1, "user").otherwise("assistant").alias("role"),
-        "m.text", "file", "m.line_no")
+    one = placed.select("agent", "session_id", "file", "before", F.posexplode("messages").alias("k", "m")).select(
+        "agent", "session_id", "file", "m.line_no", "m.code", (F.col("before") + F.col("k")).alias("seq"))
+    line = ["agent", "session_id", "file", "line_no", "code"]
+    texts = lines.filter("code > 0").groupBy(*line).agg(F.min("text").alias("text"))
+    return one.join(texts, line).select("agent", "session_id", "seq", F.when(F.col("code") == 1, "user").otherwise("assistant").alias("role"), "text", "file", "line_no")

@@ -97,13 +97,8 @@ def p10_pieces(spark, d):
     return splitting.split_texts(table(spark, d, "documents"), "doc_id", "text", LIMIT, OVERLAP)
 
 
-def _segments(spark, d, with_text):
-    streams = []
-    for name, form in (("codex_session", conversations.codex_lines), ("droid_session", conversations.droid_lines)):
-        schema = table(spark, d, name).schema
-        # A pattern may stand for one file as well as for a folder; a stream takes no path that is a file.
-        streams.append(form(spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]"), with_text))
-    return conversations.drained(spark, streams)
+def _session_lines(spark, d, with_text):
+    return conversations.codex_lines(table(spark, d, "codex_session"), with_text).unionByName(conversations.droid_lines(table(spark, d, "droid_session"), with_text))
 
 
 _P5 = r"""WITH lines AS (SELECT DISTINCT 'codex' AS agent, session_id, rollout_path AS file, line_no, timestamp AS ts,
@@ -122,12 +117,21 @@ turns AS (SELECT agent, session_id, coalesce(string_agg(who, '' ORDER BY file_at
 @query("p5_found", _P5 + """
 SELECT agent, session_id FROM turns WHERE turns = '' OR turns LIKE 'a%' OR turns LIKE '%uu%' OR turns LIKE '%u' OR incomplete""")
 def p5_found(spark, d):
-    return conversations.verdicts(_segments(spark, d, False)).filter("broken").select("agent", "session_id")
+    return conversations.verdicts(conversations.replayed(_session_lines(spark, d, False))).filter("broken").select("agent", "session_id")
 
 
-@query("p5_conversations")
+_TEXT = "array_to_string([x.text FOR x IN {}.content IF x.text IS NOT NULL], chr(10))"
+
+
+@query("p5_conversations", _P5 + f""",
+told AS (SELECT DISTINCT 'codex' AS agent, session_id, rollout_path AS file, line_no, lower(trim(payload.role)) AS role, {_TEXT.format('payload')} AS text FROM codex_session
+    UNION ALL SELECT DISTINCT 'droid', session_id, file_path, line_no, lower(trim(message.role)), {_TEXT.format('message')} FROM droid_session)
+SELECT t.agent, t.session_id, row_number() OVER (PARTITION BY t.agent, t.session_id ORDER BY f.file_at, t.file, t.line_no) - 1 AS seq, CASE t.who WHEN 'u' THEN 'user' ELSE 'assistant' END AS role, told.text, t.file, t.line_no
+FROM (SELECT DISTINCT agent, session_id, file, line_no, role, who FROM timed WHERE who IS NOT NULL) t JOIN files f USING (agent, session_id, file) JOIN turns USING (agent, session_id) JOIN told ON told.agent = t.agent AND told.session_id = t.session_id AND told.file = t.file AND told.line_no = t.line_no AND told.role = t.role
+WHERE NOT (turns = '' OR turns LIKE 'a%' OR turns LIKE '%uu%' OR turns LIKE '%u' OR incomplete)""")
 def p5_conversations(spark, d):
-    return conversations.messages(_segments(spark, d, True))
+    lines = _session_lines(spark, d, True)
+    return conversations.messages(conversations.replayed(lines), lines)
 
 
 def _scans(spark, d):

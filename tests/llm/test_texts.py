@@ -171,18 +171,31 @@ def test_conversations_against_brute_force(spark, tmp_path):
     r.shuffle(have)
     for part in range(3):
         spark.createDataFrame(have[part::3], LINES).coalesce(1).write.mode("append").parquet(f"{tmp_path}/lines")
-    stream = lambda text: C.codex_lines(spark.readStream.schema(spark.read.parquet(f"{tmp_path}/lines").schema).parquet(f"{tmp_path}/lines"), text)
+    lines = C.codex_lines(spark.read.parquet(f"{tmp_path}/lines"), True)
     bad, talk = brute(have)
-    got = C.verdicts(C.drained(spark, [stream(False)])).collect()
+    seen = []
+    segments = C.replayed(lines, progress=seen)
+    got = C.verdicts(segments).collect()
     assert {x.session_id for x in got} == set(talk) and {x.session_id for x in got if x.broken} == bad and 0 < len(bad) < len(talk) and "hot" not in bad
+    assert len(seen) >= 3 and seen[0][1] > len(talk) and max(held for held, _ in seen) < len(talk) / 4  # closed on the way, not at the end
     told = {}
-    for m in sorted(C.messages(C.drained(spark, [stream(True)])).collect(), key=lambda m: (m.session_id, m.seq)):
-        assert m.seq == len(told.setdefault(m.session_id, ""))
+    for m in sorted(C.messages(segments, lines).collect(), key=lambda m: (m.session_id, m.seq)):
+        assert m.seq == len(told.setdefault(m.session_id, "")) and m.text
         told[m.session_id] += "u" if m.role == "user" else "a"
     assert told == {s: t for s, t in talk.items() if s not in bad}
 
 
-def test_no_lines(spark, tmp_path):
-    spark.createDataFrame([], LINES).write.parquet(f"{tmp_path}/none")
-    s = C.codex_lines(spark.readStream.schema(spark.read.parquet(f"{tmp_path}/none").schema).parquet(f"{tmp_path}/none"))
-    assert C.verdicts(C.drained(spark, [s])).count() == 0
+def test_lines_that_come_late_and_twice(spark):
+    at = lambda d: dt.datetime(2026, 1, 1) + dt.timedelta(days=d)
+    row = lambda s, n, role, text, day: (s, "f", n, "response_item", str(1_770_000_000_000 + n), (None, None, "message", role, [("text", text), ("text", None)]), at(day), "x")
+    rows = [row("a", 1, "user", "q", 0), row("a", 3, "user", "q2", 1), row("a", 4, "agent", "r2", 1), row("a", 2, "Model", "r1", 60), row("a", 2, "Model", "r1", 70), row("b", 1, "human", "q", 5)]
+    lines = C.codex_lines(spark.createDataFrame(rows, LINES), True)
+    segments = C.replayed(lines, "2 days")
+    assert [(m.seq, m.role, m.text) for m in C.messages(segments, lines).orderBy("seq").collect()] == [(0, "user", "q"), (1, "assistant", "r1"), (2, "user", "q2"), (3, "assistant", "r2")]
+    assert {r.session_id for r in C.verdicts(segments).filter("unanswered").collect()} == {"b"}
+
+
+def test_no_lines(spark):
+    lines = C.codex_lines(spark.createDataFrame([], LINES), True)
+    segments = C.replayed(lines)
+    assert C.verdicts(segments).count() == 0 and C.messages(segments, lines).count() == 0
