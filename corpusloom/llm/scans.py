@@ -2,19 +2,17 @@
 
 States are body, header (running headers and footers), page number and break. What a line shows of itself and of its place is a
 handful of layout features, independent given the state; the model's tables start from stated beliefs and are fitted to all
-texts by Viterbi training. Paragraphs are put together from the body lines, words broken over line ends rejoined. A rare word
+texts by Viterbi training until they settle. Features are worked out once a text and kept as a byte a line. Paragraphs are put together from the body lines, words broken over line ends rejoined. A rare word
 that becomes a far more frequent one of the corpus when a known confusion of characters is undone counts as misread.
 """
 
-import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
-from itertools import product
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.session import cut
@@ -34,14 +32,26 @@ _START = {
     "breaks": [[0.9995, 0.0005], [0.45, 0.55], [0.45, 0.55], [0.99, 0.01]],
     "edge": [[0.85, 0.15], [0.5, 0.5], [0.5, 0.5], [0.9, 0.1]],
 }
-_SHAPE = {"first": (1, 4), "next": (4, 4), "kind": (4, 6), "recurs": (4, 3), "breaks": (4, 2), "edge": (4, 2)}
-#: The beliefs weigh as much as this many times all lines, so that what few lines show is not drowned by what most do.
-BELIEF = 2.0
+#: So many symbols are there; one for each combination of features.
+CHAIN = 72
+#: The fitted tables: the features are believed to be independent, but fitted together, as what recurs in a text is mostly short.
+_SHAPE = {"first": (1, 4), "next": (4, 4), "seen": (4, CHAIN)}
+
+
+def beliefs() -> dict[str, list]:
+    seen = [[a * b * c * d for a in _START["kind"][k] for b in _START["recurs"][k] for c in _START["breaks"][k] for d in _START["edge"][k]] for k in range(4)]
+    return {"first": _START["first"], "next": _START["next"], "seen": seen}
+
+
+#: A row of beliefs weighs as much as this many lines (or texts), however many there are: with a corpus of any size the lines decide.
+BELIEF = 500.0
+#: Training ends when no share moves by more than this, or after so many rounds.
+SETTLED, ROUNDS = 0.002, 12
 
 # The confusions of characters in recognised text, as seen -> as meant.
 CONFUSED = {
     "0": "o", "1": "li", "5": "s", "8": "b", "9": "gq", "6": "b", "|": "li", "@": "a", "!": "li", "$": "s", "3": "e", "4": "a", "2": "z", "7": "t", "rn": "m", "m": ("rn", "in"), "cl": "d", "ii": "u",
-    "ri": "n", "vv": "w", "c": "eo", "e": "c", "b": "h", "h": "b", "l": "it", "i": "l", "u": "n", "n": "u", "f": "t", "t": "f", "a": "o", "o": "ac", "li": "h", "lm": "im", "d": ("cl",), "w": ("vv",), "q": "g", "g": "q", "y": "v", "v": "y",
+    "ri": "n", "vv": "w", "c": "eo", "e": "c", "b": "h", "h": "b", "l": "it", "i": "l", "u": "n", "n": "u", "f": "t", "t": "f", "a": "o", "o": "ac", "li": "h", "lm": ("im",), "d": ("cl",), "w": ("vv",), "q": "g", "g": "q", "y": "v", "v": "y",
 }
 SOLID = set("0123456789|@!$")  # no letters, so a word with one of them inside needs less proof
 
@@ -103,8 +113,8 @@ def _chains(numbers: list[tuple[int, str, int]]) -> set[int]:
     return out
 
 
-class Page:
-    """The lines of a text and their features."""
+class Lines:
+    """The lines of a text, as they stand and without the space around them."""
 
     def __init__(self, text: str):
         raw: list[tuple[str, bool]] = []
@@ -112,10 +122,17 @@ class Page:
             raw += [(x, k > 0 and j == 0) for j, x in enumerate(part.split("\n"))]
         # A form feed at a line end leaves an empty line, which is no break of its own.
         self.lines, self.feed = [x for x, _ in raw], [f for _, f in raw]
-        bare = self.bare = [unicodedata.normalize("NFC", x.strip()) for x in self.lines]
-        n = len(bare)
-        sizes = sorted(len(x) for x in bare if x)
+        self.bare = [x if x.isascii() else unicodedata.normalize("NFC", x) for x in map(str.strip, self.lines)]
+        sizes = sorted(len(x) for x in self.bare if x)
         self.width = sizes[int(0.9 * (len(sizes) - 1))] if sizes else 0
+
+
+class Page(Lines):
+    """Lines with their features."""
+
+    def __init__(self, text: str):
+        super().__init__(text)
+        bare, n = self.bare, len(self.bare)
         filled = [k for k in range(n) if bare[k]]
         self.after = dict(zip(filled, filled[1:]))
         self.before = dict(zip(filled[1:], filled))
@@ -190,92 +207,114 @@ class Page:
                 if not self.bare[k][:1].islower():
                     self.breaks[k] = True
 
-    def symbols(self) -> list[tuple[int, int, int, int]]:
-        return [(self.kind[k], self.recurs[k], int(self.breaks[k]), int(self.edge[k])) for k in range(len(self.lines))]
+    def symbols(self) -> bytes:
+        """A byte a line: its features, and CHAIN more for one that counts pages."""
+        return bytes(12 * kind + 4 * recurs + 2 * breaks + edge + CHAIN * (k in self.chain)
+                     for k, (kind, recurs, breaks, edge) in enumerate(zip(self.kind, self.recurs, self.breaks, self.edge)))
 
 
 class Model:
     def __init__(self, tables: dict[str, list]):
-        log = lambda row: [math.log(max(v, 1e-12)) for v in row]
-        self.first = log(tables["first"])
-        self.next = [log(r) for r in tables["next"]]
-        parts = [[log(r) for r in tables[n]] for n in ("kind", "recurs", "breaks", "edge")]
-        self.seen = {s: [sum(p[state][v] for p, v in zip(parts, s)) for state in range(4)] for s in product(range(6), range(3), range(2), range(2))}
-
-    def label(self, symbols: list[tuple[int, int, int, int]]) -> list[int]:
-        """The likeliest states (Viterbi)."""
-        if not symbols:
-            return []
-        score = [f + e for f, e in zip(self.first, self.seen[symbols[0]])]
-        back: list[list[int]] = []
-        for s in symbols[1:]:
-            e, step, new = self.seen[s], [], []
-            for j in range(4):
-                v, i = max((score[i] + self.next[i][j], -i) for i in range(4))
-                step.append(-i)
-                new.append(v + e[j])
-            back.append(step)
-            score = new
-        state = max(range(4), key=lambda j: score[j])
-        out = [state]
-        for step in reversed(back):
-            out.append(state := step[state])
-        return out[::-1]
-
-
-def fit(df: DataFrame, text: str, rounds: int = 1) -> dict[str, list]:
-    """The model's tables after so many rounds of Viterbi training over all texts; what comes to the driver is 64 sums a round."""
-    tables = {k: [list(r) for r in v] if k != "first" else list(v) for k, v in _START.items()}
-    size = {k: a * b for k, (a, b) in _SHAPE.items()}
+        log = {k: np.log(np.maximum(np.array(v, dtype=float), 1e-12)) for k, v in tables.items()}
+        self.first, self.next, self.seen = log["first"].reshape(4), log["next"], log["seen"].T.copy()
+
+    def labels(self, texts: list[bytes], cells: int = 1_000_000) -> list[bytes]:
+        """The likeliest states of the lines of each text (Viterbi), many texts of like length at a time."""
+        out: list[bytes] = [b""] * len(texts)
+        order = sorted((k for k in range(len(texts)) if texts[k]), key=lambda k: len(texts[k]))
+        at = 0
+        while at < len(order):
+            size = len(texts[order[at]])
+            some = [k for k in order[at : at + max(1, cells // size)] if len(texts[k]) <= max(1.25 * size, size + 8)]
+            at += len(some)
+            for k, states in zip(some, self._viterbi([texts[k] for k in some])):
+                out[k] = states
+        return out
+
+    def _viterbi(self, texts: list[bytes]) -> list[bytes]:
+        n, most = len(texts), max(map(len, texts))
+        codes = np.full((most, n), -1, np.int16)
+        for k, t in enumerate(texts):
+            codes[: len(t), k] = np.frombuffer(t, np.uint8) % CHAIN
+        score, back = self.first + self.seen[codes[0]], np.empty((most, n, 4), np.int8)
+        for t in range(1, most):
+            ways = score[:, :, None] + self.next
+            best = ways.argmax(axis=1)
+            new = np.take_along_axis(ways, best[:, None, :], axis=1)[:, 0, :] + self.seen[codes[t]]
+            on = (codes[t] >= 0)[:, None]
+            # Beyond a text's end the states stand still.
+            back[t], score = np.where(on, best, np.arange(4)), np.where(on, new, score)
+        state, rows = score.argmax(axis=1), np.arange(n)
+        states = np.empty((most, n), np.uint8)
+        for t in range(most - 1, -1, -1):
+            states[t] = state
+            if t:
+                state = back[t, rows, state]
+        return [states[: len(t), k].tobytes() for k, t in enumerate(texts)]
+
+    def label(self, symbols: bytes) -> bytes:
+        return self.labels([symbols])[0]
+
+
+def tabled(sums: dict[tuple[str, int], float]) -> dict[str, list]:
+    """The model's tables from counts, with the beliefs as BELIEF further lines of each row."""
+    out, believed = {}, beliefs()
+    for name, (a, b) in _SHAPE.items():
+        n = np.array([sums.get((name, k), 0) for k in range(a * b)], float).reshape(a, b) + BELIEF * np.array(believed[name], float).reshape(a, b)
+        rows = (n / n.sum(axis=1, keepdims=True)).tolist()
+        out[name] = rows[0] if name == "first" else rows
+    return out
+
+
+def fit(symbols: DataFrame, column: str, rounds: int = ROUNDS) -> dict[str, list]:
+    """The model's tables after Viterbi training over the symbols of all texts; what comes to the driver is 308 sums a round."""
+    tables = beliefs()
     for _ in range(rounds):
         def count(batches: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:
-            model, c = Model(tables), Counter()
+            model, c = Model(tables), {n: np.zeros(a * b, np.int64) for n, (a, b) in _SHAPE.items()}
             for b in batches:
-                for t in b.column(0):
-                    if not (t := t.as_py()):
-                        continue
-                    sym = Page(t).symbols()
-                    lab = model.label(sym)
-                    c["first", lab[0]] += 1
-                    for i, j in zip(lab, lab[1:]):
-                        c["next", 4 * i + j] += 1
-                    for s, x in zip(sym, lab):
-                        for name, v in zip(("kind", "recurs", "breaks", "edge"), s):
-                            c[name, x * _SHAPE[name][1] + v] += 1
-            yield pa.RecordBatch.from_pydict({"name": pa.array([k[0] for k in c], pa.string()), "at": pa.array([k[1] for k in c], pa.int32()), "n": pa.array(list(c.values()), pa.int64())})
-
-        sums = {(r[0], r[1]): r[2] for r in df.select(F.col(text).cast("string")).mapInArrow(count, "name string, at int, n bigint").groupBy("name", "at").agg(F.sum("n")).collect()}
-        new = {}
-        for name, (a, b) in _SHAPE.items():
-            rows = []
-            whole = sum(sums.get((name, k), 0) for k in range(size[name]))
-            for i in range(a):
-                n = [sums.get((name, i * b + j), 0) for j in range(b)]
-                belief = _START[name] if name == "first" else _START[name][i]
-                weight = max(BELIEF * sum(n), 0.002 * whole, 1.0)
-                rows.append([(x + weight * p) / (sum(n) + weight) for x, p in zip(n, belief)])
-            new[name] = rows[0] if name == "first" else rows
+                texts = [t for t in b.column(0).to_pylist() if t]
+                for sym, lab in zip(texts, model.labels(texts)):
+                    x, y = np.frombuffer(sym, np.uint8) % CHAIN, np.frombuffer(lab, np.uint8).astype(np.int64)
+                    c["first"][y[0]] += 1
+                    c["next"] += np.bincount(4 * y[:-1] + y[1:], minlength=16)
+                    c["seen"] += np.bincount(y * CHAIN + x, minlength=4 * CHAIN)
+            names = [n for n in c for _ in c[n]]
+            yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string()), "at": pa.array([k for v in c.values() for k in range(len(v))], pa.int32()),
+                                              "n": pa.array(np.concatenate(list(c.values())), pa.int64())})
+
+        sums = {(r[0], r[1]): r[2] for r in symbols.select(column).mapInArrow(count, "name string, at int, n bigint").groupBy("name", "at").agg(F.sum("n")).collect()}
+        new = tabled(sums)
+        moved = max(float(np.abs(np.array(new[n]) - np.array(tables[n])).max()) for n in _SHAPE)
         tables = new
+        if moved <= SETTLED:
+            break
     return tables
 
 
 _WRAPPED_AT = 120
 
 
-def reassemble(text: str, model: Model) -> tuple[str, list[str], str]:
-    """(paragraphs parted by blank lines, kinds of noise found but misread words, the headers taken out)."""
-    page = Page(text)
-    lab = model.label(page.symbols())
+def repair(text: str, model: Model) -> tuple[str, list[str], str]:
+    """reassemble() of one text by a model."""
+    symbols = Page(text).symbols()
+    return reassemble(text, symbols, model.label(symbols))
+
+
+def reassemble(text: str, symbols: bytes, lab: bytes) -> tuple[str, list[str], str]:
+    """(paragraphs parted by blank lines, kinds of noise found but misread words, the headers taken out), by the states of the lines."""
+    page = Lines(text)
     noise, out, gone = set(), [], []
     wrapped = 0 < page.width <= _WRAPPED_AT
     prev, gap = -1, False
     for k, state in enumerate(lab):
         line = page.bare[k]
         if state in (HEADER, PAGE) and line:
-            if state == HEADER or k in page.number and page.number[k][2]:
+            number = _number(line)
+            if state == HEADER or number and number[2]:
                 noise.add("header")
-                gone.append(page.number[k][2] if k in page.number else line)
-            if state == PAGE or k in page.chain:
+                gone.append(number[2] if number else line)
+            if state == PAGE or symbols[k] >= CHAIN:  # a header may hold the number too
                 noise.add("page_number")
             continue
         if not line:
@@ -304,75 +343,94 @@ _WORD = r"[\p{L}\p{M}\p{N}|@!$]*\p{L}[\p{L}\p{M}\p{N}|@$]*"
 _LIGATURE = "[ﬀ-ﬆ]"
 
 
-def _meant(word: str) -> set[str]:
-    """Words that undoing one or two confusions of word gives."""
-    def once(w: str) -> set[str]:
-        out = set()
-        for k in range(len(w)):
-            for n in (1, 2):
-                for to in CONFUSED.get(w[k : k + n], ()) if k + n <= len(w) else ():
-                    out.add(w[:k] + to + w[k + n :])
-        return out
+#: By the confusions above: characters that stand for one stroke, and those made of several.
+_STROKES = ("itf17|!reoa03@4yq95$2", "llllllllcccccccvggssz")
+_PARTS = (("m", "lll"), ("n", "ll"), ("u", "ll"), ("h", "ll"), ("b", "ll"), ("8", "ll"), ("6", "ll"), ("d", "cl"), ("w", "vv"))
+
+
+def _key(c: Column) -> Column:
+    """Alike for words that confusions of characters turn into each other: each character is written as the strokes that it shares with others."""
+    c = F.translate(c, *_STROKES)
+    for a, b in _PARTS:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def undone(word: str, meant: str) -> bool:
+    """Whether undoing two confusions of word gives meant, or one and any number of those of characters that are no letters."""
+    n, m = len(word), len(meant)
+    solid = bool(set(word) & SOLID)
+
+    def go(i: int, j: int, left: int) -> bool:
+        while i < n and j < m and word[i] == meant[j]:
+            if left and any(to != word[i : i + k] and meant.startswith(to, j) and go(i + k, j + len(to), left - (k > 1 or word[i] not in SOLID))
+                            for k in (1, 2) for to in CONFUSED.get(word[i : i + k], ())):
+                return True
+            i, j = i + 1, j + 1
+        if i == n or j == m:
+            return i == n and j == m
+        for k in (1, 2):
+            for to in CONFUSED.get(word[i : i + k], ()) if i + k <= n else ():
+                cost = 0 if k == 1 and word[i] in SOLID else 1
+                if cost <= left and meant.startswith(to, j) and go(i + k, j + len(to), left - cost):
+                    return True
+        return False
 
-    one = once(word)
-    if set(word) & SOLID:
-        # letters stand for each of the other characters, then one confusion more
-        solid = {word}
-        for c in SOLID & set(word):
-            solid = {w.replace(c, to) for w in solid for to in CONFUSED[c]}
-        one |= solid | {x for s in solid for x in once(s)}
-    return {w for w in one | {x for w in one if len(word) <= 24 for x in once(w)} if w != word and len(w) >= 3 and not set(w) & SOLID}
+    return word != meant and go(0, 0, 1 if solid else 2)
 
 
 def misread_words(words: DataFrame, least: int = 4, ratio: int = 8) -> DataFrame:
     """(word, meant) of the rare words of (doc, word) rows that are misread forms of frequent ones.
 
-    A word of letters alone must be ratio times as rare as what it may have been, which must be in least texts; one with a digit
-    or sign inside need only be rarer. Frequencies are of texts, over all of them.
+    A word of letters alone must be ratio times as rare as what it may have been; one with a digit or sign inside need only be
+    rarer. What it may have been must be in least texts, or its own spelling is as doubtful. Frequencies are of texts, over all of
+    them. Rare and frequent words meet on their strokes (_key), and only those that do are compared, whatever their length.
     """
     vocab = cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "lexicon")
 
-    def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w, n, m = [], [], []
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for c in sorted(_meant(x)) if len(x) <= 40 else ():
-                    w.append(x)
-                    n.append(y)
-                    m.append(c)
-            yield pa.RecordBatch.from_pydict({"word": pa.array(w, pa.string()), "n": pa.array(n, pa.int64()), "meant": pa.array(m, pa.string())})
+            yield b.filter(pa.array([undone(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], pa.bool_()))
 
     # What is in more texts than a ratio-th of the most frequent word cannot be rare beside any.
     most = vocab.agg(F.max("n")).first()[0] or 0
-    rare = vocab.filter((F.col("n") <= most / ratio) | F.col("word").rlike(r"[0-9|@!$]")).filter(F.length("word") >= 3)
-    guesses = rare.mapInArrow(guess, "word string, n bigint, meant string").join(
-        vocab.filter((F.col("n") >= least) & ~F.col("word").rlike(r"[0-9|@!$]")).select(F.col("word").alias("meant"), F.col("n").alias("known")), "meant")
-    solid = F.col("word").rlike(r"[0-9|@!$]")
-    sure = guesses.filter((solid & (F.col("known") > F.col("n"))) | (F.col("known") >= ratio * F.col("n")))
-    return sure.groupBy("word").agg(F.max_by("meant", F.struct("known", "meant")).alias("meant"))
+    signs = r"[0-9|@!$]"
+    rare = vocab.filter((F.col("n") <= most / ratio) | F.col("word").rlike(signs)).filter(F.length("word") >= 3).select("word", "n", _key(F.col("word")).alias("strokes"))
+    known = vocab.filter((F.col("n") >= least) & (F.length("word") >= 3) & ~F.col("word").rlike(signs)).select(F.col("word").alias("meant"), F.col("n").alias("known"), _key(F.col("word")).alias("strokes"))
+    sure = (F.col("word").rlike(signs) & (F.col("known") > F.col("n"))) | (F.col("known") >= ratio * F.col("n"))
+    pairs = rare.join(known, "strokes").filter(sure & (F.col("word") != F.col("meant"))).select("word", "meant", "known")
+    right = pairs.mapInArrow(check, "word string, meant string, known bigint")
+    return right.groupBy("word").agg(F.max(F.struct("known", "meant")).alias("m")).select("word", "m.meant")
 
 
-def repaired(df: DataFrame, key: str, text: str, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
+def repaired(df: DataFrame, key: str, text: str, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Two tables: (key, text, noise, headers) of each row, and (key, word, meant) of the misread words in each.
 
     text: the paragraphs, parted by blank lines, without headers, page numbers and broken words; misread words are still in it,
     see corrected(). noise: which of hyphen, header, page_number were found. Null text gives null and no noise, blank text the
     empty text. Rows stay as they are, repeated ones too; rows with a null key are left out of the second table.
     """
-    src = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    tables = fit(src, "t", rounds)
+    kind = df.schema[key].dataType.simpleString()
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if t is None else Page(t).symbols() for t in b.column(1).to_pylist()], pa.binary())], names=["k", "t", "s"])
+
+    src = cut(df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(look, f"k {kind}, t string, s binary"), "symbols")
+    tables = fit(src, "s", rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(tables)
         for b in batches:
-            done = [(None, [], None) if x is None else reassemble(x, model) for x in b.column(1).to_pylist()]
+            syms = [x or b"" for x in b.column(2).to_pylist()]
+            done = [(None, [], None) if x is None else reassemble(x, s, y) for x, s, y in zip(b.column(1).to_pylist(), syms, model.labels(syms))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.list_(pa.string())), pa.array([d[2] for d in done], pa.string())], names=["k", "text", "noise", "headers"])
 
-    kind = df.schema[key].dataType.simpleString()
     texts = cut(src.mapInArrow(run, f"k {kind}, text string, noise array<string>, headers string"), "paragraphs")
     every = F.concat_ws("\n", "text", "headers")
     # Ligatures are misread characters by themselves; they are written out before words are looked up.
     words = texts.filter("k is not null").select("k", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(_plain(every)), F.lit(_WORD), F.lit(0)))).alias("word"))
+    words = cut(words, "words")
     wrong = words.join(misread_words(words), "word").select("k", "word", "meant")
     tied = texts.filter("k is not null").select("k", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(every), F.lit(rf"[\p{{L}}\p{{M}}]*{_LIGATURE}[\p{{L}}\p{{M}}ﬀ-ﬆ]*"), F.lit(0)))).alias("word"))
     both = wrong.unionByName(tied.select("k", "word", _plain(F.col("word")).alias("meant")))
@@ -391,8 +449,16 @@ def noise(texts: DataFrame, wrong: DataFrame, key: str) -> DataFrame:
     return kinds.unionByName(wrong.select(key, F.lit("misread").alias("noise"))).distinct()
 
 
+def cased(meant: str | None, as_in: str) -> str:
+    """meant in the case of the word that it replaces: capitals, a capital at the start, or small; without a meaning the word itself."""
+    letters = [c for c in as_in if c.isalpha()]
+    if meant is None:
+        return as_in
+    return meant.upper() if len(letters) > 1 and all(c.isupper() for c in letters) else meant[:1].upper() + meant[1:] if as_in[:1].isupper() else meant
+
+
 def corrected(texts: DataFrame, wrong: DataFrame, key: str) -> DataFrame:
-    """(key, text, noise): the texts with misread words put right; case follows the misread word's first letter."""
+    """(key, text, noise): the texts with misread words put right; for their case see cased()."""
     fixes = wrong.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("word", "meant"))).alias("fixes"))
     rows = texts.join(fixes, key, "left").select(F.col(key).alias("k"), "text", "noise", F.to_json("fixes").alias("fixes"))
 
@@ -408,7 +474,7 @@ def corrected(texts: DataFrame, wrong: DataFrame, key: str) -> DataFrame:
                     t = re.sub(_LIGATURE, lambda m: unicodedata.normalize("NFKC", m[0]), t)
                 if t and f:
                     fix = json.loads(f)
-                    t = word.sub(lambda m: (lambda x: x if x is None else x.capitalize() if m[0][:1].isupper() else x)(fix.get(m[0].lower())) or m[0], t)
+                    t = word.sub(lambda m: cased(fix.get(m[0].lower()), m[0]), t)
                 done.append(t)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, pa.string()), b.column(2)], names=["k", "text", "noise"])
 

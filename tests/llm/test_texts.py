@@ -89,10 +89,10 @@ def scan(r, header=None, number=None, hyphen=False, pages=4):
 @pytest.mark.parametrize("header,number,hyphen", [(None, None, False), ("The Lengthy Volume", None, False), (None, "- {} -", False), ("A RUNNING HEAD", "{}", True), (None, None, True), (None, "Page {} of 11", True)])
 def test_scans(header, number, hyphen):
     want = {k for k, v in (("header", header), ("page_number", number), ("hyphen", hyphen)) if v}
-    model = scans.Model(scans._START)
+    model = scans.Model(scans.beliefs())
     for seed in range(8):
         text, paragraphs = scan(random.Random(seed), header, number, hyphen)
-        got, noise, _ = scans.reassemble(text, model)
+        got, noise, _ = scans.repair(text, model)
         assert set(noise) == want
         assert " ".join(got.split()) == " ".join(" ".join(paragraphs).split())
 
@@ -102,7 +102,7 @@ def test_things_that_only_resemble_noise():
     body = text.split("\n\n")
     decoys = ["Rows 43-\n52 stay open.", "2255", "Open points", "Read- and write-heavy notes, 2025-\n2026 only.", "As follows -", "Open points", "Total 412", "Total 412"]
     mixed = "\n\n".join(x for pair in zip(body, decoys + [""] * len(body)) for x in pair if x)
-    assert scans.reassemble(mixed, scans.Model(scans._START))[1] == []
+    assert scans.repair(mixed, scans.Model(scans.beliefs()))[1] == []
 
 
 def test_misread_words_and_nulls(spark):
