@@ -28,12 +28,12 @@ WIKI_TAGS = {"ref", "references", "gallery", "nowiki", "noinclude", "includeonly
 
 # Private characters stand for what must not be read again: set-aside parts, and characters that were entities.
 _OPEN, _SHUT, _LT, _GT, _AMP = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
-_BACK = str.maketrans({_LT: "<", _GT: ">", _AMP: "&"})
 _FORTH = str.maketrans({"<": _LT, ">": _GT, "&": _AMP})
 
 _ENTITY = re.compile(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 _CODE = re.compile(r"^[ ]{0,3}(?P<fence>`{3,}|~{3,})[^\n`]*$|\\begin\{(?P<env>verbatim|lstlisting|minted)\*?\}|<(?P<tag>pre|code|syntaxhighlight|nowiki)\b[^<>]*>|(?P<tick>`+)", re.M | re.I)
 _FORMULA = re.compile(r"\\begin\{(equation|align|gather|multline|eqnarray|displaymath|math)(\*?)\}|\$\$|\\\[|\\\(|\$(?=[^\s$\d])[^$\n]+(?<=[^\s\\$])\$(?!\w)|\$(?=\d)(?=[^$\n]*[\\^_=])[^$\n]+(?<=[^\s\\$])\$(?!\w)")
+_GAPS = re.compile(r"\n{3,}")
 _MATHS = re.compile(r"[\\^_=+*/<>{}|-]|^\w{1,3}$")
 
 
@@ -142,6 +142,7 @@ class _Reader(HTMLParser):
         self.chars: dict[int, int] = {}
         self.linked: dict[int, int] = {}
         self.framed: dict[int, bool] = {}
+        self.shaped: set[int] = set()  # source lines with an item, cell or heading outside the frames
         self.at: list[tuple[int, int]] = []  # (index into out, source line)
 
     def _put(self, s: str) -> None:
@@ -166,6 +167,8 @@ class _Reader(HTMLParser):
             self.link += 1
         if tag in ("ul", "ol"):
             self.lists.append(tag)
+        if not self.aside and (tag in ("li", "td", "th", "dt", "dd") or re.fullmatch("h[1-6]", tag)):
+            self.shaped.add(line)
         if tag == "li":
             self._put("\n" + "  " * max(0, len(self.lists) - 1) + "- ")
         elif tag in ("td", "th"):
@@ -250,7 +253,7 @@ def threshold(values: list[float]) -> float:
 def _regions(r: _Reader) -> set[int]:
     """Source lines outside the content: of the cluster with little text a tag, and in a frame of the page or nearly all links.
 
-    Lines without tags, and lines whose text a heading, item, cell, code or formula makes meaningful, are content.
+    Lines without tags are content, and so are lines with a heading, item or cell outside the frames, whatever they link to.
     """
     if not r.tags:
         return set()
@@ -258,39 +261,51 @@ def _regions(r: _Reader) -> set[int]:
     ratio = [math.log1p(r.chars.get(k, 0) / max(1, r.tags.get(k, 0))) for k in range(1, last + 1)]
     soft = smoothed(ratio)
     t = threshold(soft)
-    return {k for k in r.tags if soft[k - 1] <= t and (r.framed.get(k) or r.chars.get(k, 0) and r.linked.get(k, 0) > 0.8 * r.chars[k] and r.tags[k] >= 6)}
+    return {k for k in r.tags if soft[k - 1] <= t and (r.framed.get(k) or k not in r.shaped and r.chars.get(k, 0) and r.linked.get(k, 0) > 0.8 * r.chars[k] and r.tags[k] >= 6)}
 
 
+def _hints(s: str | None) -> tuple[str, ...]:
+    """Strings parted by | of which a text must hold one; none for None, which stands for a bar."""
+    return ("|",) if s is None else tuple(s.split("|"))
+
+
+def _held(text: str, hints: tuple[str, ...]) -> bool:
+    for h in hints:
+        if h in text:
+            return True
+    return not hints
+
+
+def _marks(flags: int, *pairs: tuple[str | None, str]) -> list:
+    return [(_hints(h), re.compile(p, flags)) for h, p in pairs]
+
+
+# A pattern is looked for only where one of the strings before it is in the text: it cannot match without.
 _LINE_MARKS = {
-    "markdown": [
-        re.compile(p, re.M)
-        for p in (
-            r"^ {0,3}#{1,6}[ \t]+\S", r"^(?![ \t]*(?:[-=|]|\Z))[^\n]*\S[^\n]*\n(?:={3,}|-{3,})[ \t]*$", r"(?<![\\*])\*\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*\*(?!\*)",
-            r"(?<![\w\\])__(?=[^\s_])[^_\n]+?(?<=[^\s_])__(?!\w)", r"~~(?=\S)[^~\n]+?(?<=\S)~~", r"(?<![\w*\\])\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*(?![\w*])",
-            r"(?<![\w\\])_(?=[^\s_])[^_\n]+?(?<=[^\s_])_(?!\w)", r"!?\[[^\[\]\n]*\]\([^()\s]+(?:[ \t]+\"[^\"\n]*\")?\)", r"(?<!\[)\[[^\[\]\n]+\] ?\[[^\[\]\n^][^\[\]\n]*\](?!\])",
-            r"^ {0,3}\[[^\[\]\n]+\]:[ \t]+\S", r"\[\^[^\[\]\s]+\]", r"^ {0,3}>(?:[ \t]|$)", r"^[ \t]*[-*+] \[[ xX]\] ", r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*$",
-        )
-    ],
-    "wiki": [
-        re.compile(p, re.M | re.I)
-        for p in (
-            r"\[\[[^\[\]\n]+\]\]", r"\{\{[^{}\n|]+(?:\|[^{}]*)?\}\}", r"^(={2,6})(?!=)[ \t]*\S(?:[^\n]*\S)?[ \t]*(?<!=)\1[ \t]*$", r"(?<!')'''?(?=[^\s'])[^\n]+?(?<=[^\s'])'''?(?!')",
-            r"^\{\|", r"^\|\}[ \t]*$", r"(?<!\])\[(?:https?|ftp)://[^\s\[\]]+[ \t]+[^\[\]\n]+\](?![(\[])", r"^#REDIRECT\b", r"__(?:NO)?TOC__",
-        )
-    ],
-    "latex": [
-        re.compile(p, re.M)
-        for p in (
-            r"\\(?:begin|end)\{[A-Za-z]+\*?\}", r"\\(?:part|chapter|(?:sub)*section|(?:sub)?paragraph)\*?\{", r"^[ \t]*\\item\b",
-            r"\\(?:emph|text[a-z]{2}|underline|footnote|cite[a-z]*|label|ref|eqref|url|href|caption|title|author|date|usepackage|documentclass|includegraphics|newcommand|input|include|bibliography)\*?[\[{]",
-            r"\\(?:maketitle|tableofcontents|noindent|centering|hline|newpage|bigskip|medskip)\b",
-        )
-    ],
+    "markdown": _marks(
+        re.M,
+        ("#", r"^ {0,3}#{1,6}[ \t]+\S"), ("\n===|\n---", r"^(?![ \t]*(?:[-=|]|\Z))[^\n]*\S[^\n]*\n(?:={3,}|-{3,})[ \t]*$"), ("**", r"(?<![\\*])\*\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*\*(?!\*)"),
+        ("__", r"(?<![\w\\])__(?=[^\s_])(?!(?:NO)?TOC__)[^_\n]+?(?<=[^\s_])__(?!\w)"), ("~~", r"~~(?=\S)[^~\n]+?(?<=\S)~~"), ("*", r"(?<![\w*\\])\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*(?![\w*])"),
+        ("_", r"(?<![\w\\])_(?=[^\s_])[^_\n]+?(?<=[^\s_])_(?!\w)"), ("](", r"!?\[[^\[\]\n]*\]\([^()\s]+(?:[ \t]+\"[^\"\n]*\")?\)"), ("][|] [", r"(?<!\[)\[[^\[\]\n]+\] ?\[[^\[\]\n^][^\[\]\n]*\](?!\])"),
+        ("]:", r"^ {0,3}\[[^\[\]\n]+\]:[ \t]+\S"), ("[^", r"\[\^[^\[\]\s]+\]"), (">", r"^ {0,3}>(?:[ \t]|$)"), ("[ ] |[x] |[X] ", r"^[ \t]*[-*+] \[[ xX]\] "),
+        (None, r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*$"),
+    ),
+    "wiki": _marks(
+        re.M | re.I,
+        ("[[", r"\[\[[^\[\]\n]+\]\]"), ("{{", r"\{\{[^{}\n|]+(?:\|[^{}]*)?\}\}"), ("==", r"^(={2,6})(?!=)[ \t]*\S(?:[^\n]*\S)?[ \t]*(?<!=)\1[ \t]*$"), ("''", r"(?<!')'''?(?=[^\s'])[^\n]+?(?<=[^\s'])'''?(?!')"),
+        (None, r"^\{\|"), (None, r"^\|\}[ \t]*$"), ("://", r"(?<!\])\[(?:https?|ftp)://[^\s\[\]]+[ \t]+[^\[\]\n]+\](?![(\[])"), ("#", r"^#REDIRECT\b"), ("__", r"__(?:NO)?TOC__"),
+    ),
+    "latex": _marks(
+        re.M,
+        ("\\", r"\\(?:begin|end)\{[A-Za-z]+\*?\}"), ("\\", r"\\(?:part|chapter|(?:sub)*section|(?:sub)?paragraph)\*?\{"), ("\\", r"^[ \t]*\\item\b"),
+        ("\\", r"\\(?:emph|text[a-z]{2}|underline|footnote|cite[a-z]*|label|ref|eqref|url|href|caption|title|author|date|usepackage|documentclass|includegraphics|newcommand|input|include|bibliography)\*?[\[{]"),
+        ("\\", r"\\(?:maketitle|tableofcontents|noindent|centering|hline|newpage|bigskip|medskip)\b"),
+    ),
 }
 
 
-def _subs(*pairs: tuple[str, object, int]) -> list:
-    return [(re.compile(p, flags), to) for p, to, flags in pairs]
+def _subs(*rules: tuple[str | None, str, object, int]) -> list:
+    return [(_hints(h), re.compile(p, flags), to) for h, p, to, flags in rules]
 
 
 def _template(m: re.Match) -> str:
@@ -306,24 +321,24 @@ def _target(m: re.Match) -> str:
 
 _CLEAN = {
     "wiki": _subs(
-        (r"^#REDIRECT\s*", "", re.M | re.I), (r"\{\{[^{}\n|]+\}\}", "", 0), (r"\{\{([^{}]*)\}\}", _template, 0), (r"!?\[\[([^\[\]\n]+)\]\]", _target, 0),
-        (r"^(={2,6})(?!=)[ \t]*(\S(?:[^\n]*?\S)?)[ \t]*\1[ \t]*$", lambda m: f"\n{'#' * len(m[1])} {m[2]}\n", re.M), (r"'''(?=\S)([^\n]+?)'''", r"\1", 0), (r"(?<!')''(?=[^\s'])([^\n]+?)''(?!')", r"\1", 0),
-        (r"^\{\|[^\n]*$|^\|\}[ \t]*$|^\|-[^\n]*$", "", re.M), (r"^[|!](?![}-])[ \t]*([^\n]*)$", lambda m: "| " + re.sub(r"\s*(?:\|\||!!)\s*", " | ", m[1]), re.M),
-        (r"\[(?:https?|ftp)://[^\s\[\]]+[ \t]+([^\[\]\n]+)\]", r"\1", re.I), (r"^(\*+)(?:[ \t]+|(?=\[\[|''))", lambda m: "  " * (len(m[1]) - 1) + "- ", re.M), (r"__(?:NO)?TOC__", "", 0),
+        ("#", r"^#REDIRECT\s*", "", re.M | re.I), ("{{", r"\{\{[^{}\n|]+\}\}", "", 0), ("{{", r"\{\{([^{}]*)\}\}", _template, 0), ("[[", r"!?\[\[([^\[\]\n]+)\]\]", _target, 0),
+        ("==", r"^(={2,6})(?!=)[ \t]*(\S(?:[^\n]*?\S)?)[ \t]*\1[ \t]*$", lambda m: f"\n{'#' * len(m[1])} {m[2]}\n", re.M), ("'''", r"'''(?=\S)([^\n]+?)'''", r"\1", 0), ("''", r"(?<!')''(?=[^\s'])([^\n]+?)''(?!')", r"\1", 0),
+        (None, r"^\{\|[^\n]*$|^\|\}[ \t]*$|^\|-[^\n]*$", "", re.M), ("", r"^[|!](?![}-])[ \t]*([^\n]*)$", lambda m: "| " + re.sub(r"\s*(?:\|\||!!)\s*", " | ", m[1]), re.M),
+        ("://", r"\[(?:https?|ftp)://[^\s\[\]]+[ \t]+([^\[\]\n]+)\]", r"\1", re.I), ("*", r"^(\*+)(?:[ \t]+|(?=\[\[|''))", lambda m: "  " * (len(m[1]) - 1) + "- ", re.M), ("__", r"__(?:NO)?TOC__", "", 0),
     ),
     "latex": _subs(
-        (r"\\(sub)*(?:section|chapter|paragraph)\*?\{([^{}\n]*)\}", lambda m: "\n" + "#" * (1 + m[0].count("sub")) + f" {m[2]}\n", 0), (r"^[ \t]*\\item(?:\[([^\]]*)\])?[ \t]*", lambda m: "- " + (m[1] or ""), re.M),
-        (r"\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?", "", 0), (r"~?\\cite[a-z]*(?:\[[^\]\n]*\])*\{([^{}\n]*)\}", r" [\1]", 0), (r"\\footnote\{([^{}]*)\}", r" (\1)", 0),
-        (r"\\(?:label|ref|eqref|usepackage|documentclass|includegraphics|input|include|bibliography)(?:\[[^\]\n]*\])?\{[^{}\n]*\}", "", 0), (r"\\(?:emph|text[a-z]{2}|underline|caption|title|author|date|url)\{([^{}]*)\}", r"\1", 0),
-        (r"\\(?:maketitle|tableofcontents|noindent|centering|hline|newpage|bigskip|medskip)\b", "", 0), (r"[ \t]*(?<!\\)&[ \t]*([^\n]*?)[ \t]*\\\\[ \t]*$", r" | \1", re.M),
+        ("\\", r"\\(sub)*(?:section|chapter|paragraph)\*?\{([^{}\n]*)\}", lambda m: "\n" + "#" * (1 + m[0].count("sub")) + f" {m[2]}\n", 0), ("\\", r"^[ \t]*\\item(?:\[([^\]]*)\])?[ \t]*", lambda m: "- " + (m[1] or ""), re.M),
+        ("\\", r"\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?", "", 0), ("\\", r"~?\\cite[a-z]*(?:\[[^\]\n]*\])*\{([^{}\n]*)\}", r" [\1]", 0), ("\\", r"\\footnote\{([^{}]*)\}", r" (\1)", 0),
+        ("\\", r"\\(?:label|ref|eqref|usepackage|documentclass|includegraphics|input|include|bibliography)(?:\[[^\]\n]*\])?\{[^{}\n]*\}", "", 0), ("\\", r"\\(?:emph|text[a-z]{2}|underline|caption|title|author|date|url)\{([^{}]*)\}", r"\1", 0),
+        ("\\", r"\\(?:maketitle|tableofcontents|noindent|centering|hline|newpage|bigskip|medskip)\b", "", 0), ("&", r"[ \t]*(?<!\\)&[ \t]*([^\n]*?)[ \t]*\\\\[ \t]*$", r" | \1", re.M),
     ),
     "markdown": _subs(
-        (r"^ {0,3}(#{1,6})[ \t]+([^\n]*?)[ \t]*#*[ \t]*$", r"\n\1 \2\n", re.M), (r"^(?![ \t]*(?:[-=|]|\Z))([^\n]*\S[^\n]*)\n={3,}[ \t]*$", r"\n# \1\n", re.M), (r"^(?![ \t]*(?:[-=|]|\Z))([^\n]*\S[^\n]*)\n-{3,}[ \t]*$", r"\n## \1\n", re.M),
-        (r"^ {0,3}\[(?!\^)[^\[\]\n]+\]:[ \t]+\S[^\n]*\n?", "", re.M), (r"^ {0,3}\[\^([^\[\]\s]+)\]:[ \t]*", r"(\1) ", re.M), (r"\[\^[^\[\]\s]+\]", "", 0),
-        (r"!?\[([^\[\]\n]*)\]\([^()\s]+(?:[ \t]+\"[^\"\n]*\")?\)", r"\1", 0), (r"(?<!\[)\[([^\[\]\n]+)\] ?\[[^\[\]\n]*\](?!\])", r"\1", 0), (r"(?<![\\*])\*\*(?=[^\s*])([^*\n]+?)\*\*(?!\*)", r"\1", 0),
-        (r"(?<![\w\\])__(?=[^\s_])([^_\n]+?)__(?!\w)", r"\1", 0), (r"~~(?=\S)([^~\n]+?)~~", r"\1", 0), (r"(?<![\w*\\])\*(?=[^\s*])([^*\n]+?)(?<=[^\s*])\*(?![\w*])", r"\1", 0),
-        (r"(?<![\w\\])_(?=[^\s_])([^_\n]+?)(?<=[^\s_])_(?!\w)", r"\1", 0), (r"^ {0,3}(?:>[ \t]?)+", "", re.M), (r"^([ \t]*)[-*+] \[([ xX])\] ", r"\1- ", re.M), (r"^([ \t]*)[*+] ", r"\1- ", re.M),
-        (r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*$\n?", "", re.M), (r"^[ \t]*\|[ \t]*(.*?)[ \t]*\|[ \t]*$", r"\1", re.M), (r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$", "", re.M),
+        ("#", r"^ {0,3}(#{1,6})[ \t]+([^\n]*?)[ \t]*#*[ \t]*$", r"\n\1 \2\n", re.M), ("\n===", r"^(?![ \t]*(?:[-=|]|\Z))([^\n]*\S[^\n]*)\n={3,}[ \t]*$", r"\n# \1\n", re.M), ("\n---", r"^(?![ \t]*(?:[-=|]|\Z))([^\n]*\S[^\n]*)\n-{3,}[ \t]*$", r"\n## \1\n", re.M),
+        ("]:", r"^ {0,3}\[(?!\^)[^\[\]\n]+\]:[ \t]+\S[^\n]*\n?", "", re.M), ("]:", r"^ {0,3}\[\^([^\[\]\s]+)\]:[ \t]*", r"(\1) ", re.M), ("[^", r"\[\^[^\[\]\s]+\]", "", 0),
+        ("](", r"!?\[([^\[\]\n]*)\]\([^()\s]+(?:[ \t]+\"[^\"\n]*\")?\)", r"\1", 0), ("][|] [", r"(?<!\[)\[([^\[\]\n]+)\] ?\[[^\[\]\n]*\](?!\])", r"\1", 0), ("**", r"(?<![\\*])\*\*(?=[^\s*])([^*\n]+?)\*\*(?!\*)", r"\1", 0),
+        ("__", r"(?<![\w\\])__(?=[^\s_])(?!(?:NO)?TOC__)([^_\n]+?)__(?!\w)", r"\1", 0), ("~~", r"~~(?=\S)([^~\n]+?)~~", r"\1", 0), ("*", r"(?<![\w*\\])\*(?=[^\s*])([^*\n]+?)(?<=[^\s*])\*(?![\w*])", r"\1", 0),
+        ("_", r"(?<![\w\\])_(?=[^\s_])([^_\n]+?)(?<=[^\s_])_(?!\w)", r"\1", 0), (">", r"^ {0,3}(?:>[ \t]?)+", "", re.M), ("[ ] |[x] |[X] ", r"^([ \t]*)[-*+] \[([ xX])\] ", r"\1- ", re.M), ("* |+ ", r"^([ \t]*)[*+] ", r"\1- ", re.M),
+        (None, r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*$\n?", "", re.M), (None, r"^[ \t]*\|[ \t]*(.*?)[ \t]*\|[ \t]*$", r"\1", re.M), ("", r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$", "", re.M),
     ),
 }
 
@@ -333,8 +348,13 @@ def clean(text: str | None) -> tuple[str | None, list[str]]:
     if text is None:
         return None, []
     store = _Store()
-    t = re.sub("[\ue000-\ue004]", "", text).replace("\r\n", "\n").replace("\r", "\n")
-    t = _set_formulas_aside(_set_code_aside(t, store), store)
+    t = text
+    for old, new in ((_OPEN, ""), (_SHUT, ""), (_LT, ""), (_GT, ""), (_AMP, ""), ("\r\n", "\n"), ("\r", "\n")):
+        t = t.replace(old, new)
+    if _held(t, ("`", "~~~", "<", "\\begin")):
+        t = _set_code_aside(t, store)
+    if _held(t, ("$", "\\")):
+        t = _set_formulas_aside(t, store)
 
     def decode(m: re.Match) -> str:
         name = m[1]
@@ -343,7 +363,8 @@ def clean(text: str | None) -> tuple[str | None, list[str]]:
         store.langs.add("html")
         return html.unescape(m[0]).translate(_FORTH)
 
-    t = _ENTITY.sub(decode, t).replace("&", _AMP)
+    if "&" in t:
+        t = _ENTITY.sub(decode, t).replace("&", _AMP)
     if "<" in t:
         r = _Reader(store)
         r.feed(t)
@@ -356,22 +377,34 @@ def clean(text: str | None) -> tuple[str | None, list[str]]:
             t = "".join(r.out)
     flat = t.replace(_AMP, "&")
     for lang, marks in _LINE_MARKS.items():
-        if any(p.search(flat) for p in marks):
+        if any(_held(flat, h) and p.search(flat) for h, p in marks):
             store.langs.add(lang)
     t = flat
     for lang in ("wiki", "latex", "markdown"):
         if lang in store.langs:
-            for p, to in _CLEAN[lang]:
-                t = p.sub(to, t)
-    t = re.sub(f"{_OPEN}h([1-6]){_SHUT}\\s*([^\n]*)", lambda m: f"{'#' * int(m[1])} {m[2]}" if m[2].strip() else "", t)
+            for h, p, to in _CLEAN[lang]:
+                if _held(t, h):
+                    t = p.sub(to, t)
+    if _OPEN in t:
+        t = re.sub(f"{_OPEN}h([1-6]){_SHUT}\\s*([^\n]*)", lambda m: f"{'#' * int(m[1])} {m[2]}" if m[2].strip() else "", t)
 
     def back(m: re.Match) -> str:
         kind, body = store.parts[int(m[1])]
         return {"block": f"\n```\n{body}\n```\n", "display": f"\n$${body}$$\n", "formula": f"${body}$", "inline": body}[kind]
 
-    t = re.sub(r"[ \t]+\n", "\n", t)
-    t = re.sub(f"{_OPEN}(\\d+){_SHUT}", back, re.sub(r"\n{3,}", "\n\n", t)).translate(_BACK)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"^\s*\| ", "", t, flags=re.M)).strip() if store.langs else t.strip(), sorted(store.langs)
+    if " \n" in t or "\t\n" in t:
+        t = re.sub(r"(?<![ \t])[ \t]+\n", "\n", t)
+    if "\n\n\n" in t:
+        t = _GAPS.sub("\n\n", t)
+    if _OPEN in t:
+        t = re.sub(f"{_OPEN}(\\d+){_SHUT}", back, t)
+    for private, plain in ((_LT, "<"), (_GT, ">"), (_AMP, "&")):
+        t = t.replace(private, plain)
+    if store.langs:
+        if "| " in t:
+            t = re.sub(r"^\s*\| ", "", t, flags=re.M)
+        t = _GAPS.sub("\n\n", t)
+    return t.strip(), sorted(store.langs)
 
 
 def cleaned(df: DataFrame, key: str, text: str) -> DataFrame:
