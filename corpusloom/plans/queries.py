@@ -21,10 +21,20 @@ def p4_found(spark, d):
     return hierarchy.cycle_nodes(table(spark, d, "chatgpt_node"), "node_id", "parent", ["conversation_id"], "exported_at")
 
 
-@query("p4_hierarchy")
+@query("p4_hierarchy", _P4 + """, dist AS (SELECT conversation_id, node_id, count(*) AS c, bool_or(anc = node_id) AS cyc FROM up GROUP BY ALL),
+bad AS (SELECT DISTINCT u.conversation_id, u.node_id FROM up u JOIN dist d ON d.conversation_id = u.conversation_id AND d.node_id = u.anc AND d.cyc),
+kin AS (SELECT u.conversation_id, u.anc, count(*) AS c FROM up u WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.conversation_id = u.conversation_id AND b.node_id = u.node_id) GROUP BY ALL),
+cur AS (SELECT conversation_id, max(current_node) AS node_id FROM chatgpt_node WHERE current_node IS NOT NULL GROUP BY conversation_id),
+way AS (SELECT u.conversation_id, u.node_id, arg_min(u.anc, coalesce(d.c, 0)) AS root, string_agg(u.anc, '/' ORDER BY coalesce(d.c, 0)) AS names FROM up u LEFT JOIN dist d ON d.conversation_id = u.conversation_id AND d.node_id = u.anc GROUP BY ALL)
+SELECT o.conversation_id, o.node_id, o.parent, CASE WHEN b.node_id IS NULL THEN coalesce(w.root, o.node_id) END AS root, CASE WHEN b.node_id IS NULL THEN coalesce(d.c, 0) END AS depth,
+    CASE WHEN b.node_id IS NULL THEN coalesce(w.names || '/', '') || o.node_id END AS path, CASE WHEN b.node_id IS NULL THEN coalesce(k.c, 0) END AS n_descendants, coalesce(d.cyc, FALSE) AS in_cycle,
+    b.node_id IS NOT NULL AND NOT d.cyc AS below_cycle, b.node_id IS NULL AND (c.node_id IS NOT NULL OR EXISTS (SELECT 1 FROM up x JOIN cur ON cur.conversation_id = x.conversation_id AND cur.node_id = x.node_id
+        WHERE x.conversation_id = o.conversation_id AND x.anc = o.node_id AND NOT EXISTS (SELECT 1 FROM bad y WHERE y.conversation_id = x.conversation_id AND y.node_id = x.node_id))) AS on_current_branch
+FROM one o LEFT JOIN dist d USING (conversation_id, node_id) LEFT JOIN bad b USING (conversation_id, node_id) LEFT JOIN way w USING (conversation_id, node_id)
+LEFT JOIN kin k ON k.conversation_id = o.conversation_id AND k.anc = o.node_id LEFT JOIN cur c ON c.conversation_id = o.conversation_id AND c.node_id = o.node_id""")
 def p4_hierarchy(spark, d):
     tree = hierarchy.hierarchy(table(spark, d, "chatgpt_node"), "node_id", "parent", ["conversation_id"], "exported_at", "current_node")
-    return tree.withColumn("path", F.concat_ws("/", "path"))
+    return tree.withColumn("path", F.array_join("path", "/"))
 
 
 @query("p4_descendants", _P4 + """, n AS (SELECT conversation_id, node_id, count(*) AS c FROM up GROUP BY ALL)
