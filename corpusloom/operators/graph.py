@@ -52,8 +52,8 @@ def spread(edge: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
     """
     s = seeds.filter("score > 0").groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     total = s.groupBy("query_id").agg(F.sum("score").alias("total"))
-    restart = s.join(total, "query_id").select("query_id", "doc_id", (F.col("score") / F.col("total")).alias("mass"))
-    share = edge.join(edge.groupBy("src").agg(F.sum("w").alias("out")), "src").select(F.col("src").alias("doc_id"), "dst", (F.col("w") / F.col("out")).alias("p"))
+    restart = cut(s.join(total, "query_id").select("query_id", "doc_id", (F.col("score") / F.col("total")).alias("mass")), "restart")
+    share = cut(edge.join(edge.groupBy("src").agg(F.sum("w").alias("out")), "src").select(F.col("src").alias("doc_id"), "dst", (F.col("w") / F.col("out")).alias("p")), "share")
     now = restart
     for _ in range(STEPS):
         moved = now.join(share, "doc_id", "left").select("query_id", F.coalesce("dst", "doc_id").alias("doc_id"), (F.col("mass") * (1 - RESTART) * F.coalesce("p", F.lit(1.0))).alias("mass"))

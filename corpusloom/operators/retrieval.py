@@ -1,12 +1,14 @@
 """Index and ranking as joins and aggregates over a batch of queries; every stage is keyed by query, so batches of any size run alike."""
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import answers
+from corpusloom.operators import answers, graph, spectral, vectors
+from corpusloom.operators.skew import salted_join
 from corpusloom.session import cut
 
 K1, B = 1.2, 0.75
@@ -23,8 +25,16 @@ DOCUMENT_MIX = {
 }
 
 
+#: Chunk numbers that a document has: more than a text of two gigabytes has sections with content.
+CHUNKS_OF = 1 << 24
+
+
 def chunk_id() -> Column:
-    return (F.col("doc_id") * 100_000 + F.col("chunk_index")).alias("chunk_id")
+    return (F.col("doc_id") * CHUNKS_OF + F.col("chunk_index")).alias("chunk_id")
+
+
+def document_of(chunk: str = "chunk_id") -> Column:
+    return F.expr(f"{chunk} div {CHUNKS_OF}").alias("doc_id")
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -64,49 +74,111 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(T.exact_terms(F.col("query_text")))).alias("term"))
 
 
+class Asked:
+    """A batch of queries (query_id, query_text): its terms, their alternatives in the corpus and the scores these give, written once."""
+
+    def __init__(self, index: "Index", queries: DataFrame):
+        self.index = index
+        self.texts = cut(queries.select("query_id", "query_text", F.array_distinct(T.exact_terms(F.col("query_text"))).alias("terms"), T.fold(F.trim("query_text")).alias("folded"), T.query_mode(F.col("query_text")).alias("mode"),
+                                             T.recall_intent(F.col("query_text")).alias("recall"), T.date_parts(F.col("query_text")).alias("asked_date")), "queries")
+        self.terms = cut(self.texts.select("query_id", F.explode("terms").alias("term")), "terms")
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        """(query_id, token): all words, as they stand and folded."""
+        q = F.col("query_text")
+        return cut(self.texts.select("query_id", F.explode(F.array_distinct(F.concat(T.tokens(q), T.folded_tokens(q)))).alias("token")), "tokens")
+
+    @cached_property
+    def alternatives(self) -> DataFrame:
+        """(query_id, grp, token, idf, df) of the alternatives that the corpus has."""
+        alts = self.terms.select("query_id", F.col("term").alias("grp"), F.explode(T.alternatives(F.col("term"))).alias("token"))
+        return cut(alts.join(self.index.vocab, "token").select("query_id", "grp", "token", idf(F.lit(self.index.n_chunks), F.col("df")).alias("idf"), "df"), "alternatives")
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        norm = K1 * (1 - B + B * F.col("length") / self.index.average)
+        hit = self.index._probed(self.alternatives).withColumn("score", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm))
+        # Plain doubles keep this a hash aggregate; the largest struct would have to be sorted for.
+        return cut(hit.groupBy("query_id", "grp", "chunk_id").agg(F.max("score").alias("score"), F.max_by("idf", "score").alias("idf")), "scores")
+
+
+def seed_scores(candidates: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score): where a walk begins, from the first 64 candidates of each query."""
+    s = 0.75 * F.col("lexical") + 0.15 * F.col("semantic") + 0.10 * F.col("coverage")
+    return candidates.filter("rank <= 64").groupBy("query_id", document_of()).agg(F.max(s).alias("score"))
+
+
+def rolled_up(featured: DataFrame) -> DataFrame:
+    """A row for each query and source path: its best and second chunk's score, and the greatest of every feature."""
+    f = featured.withColumn("at", F.row_number().over(Window.partitionBy("query_id", "source_path").orderBy(-F.round("score", 9), "rank")))
+    most = [F.max(c).alias(n) for c, n in (("metadata_overlap", "metadata"), *((x, x) for x in ("exact_bonus", "exactness", "entity", "coverage", "graph")))]
+    return f.groupBy("query_id", "source_path").agg(
+        F.max(F.when(F.col("at") == 1, F.col("score"))).alias("best"), F.coalesce(F.max(F.when(F.col("at") == 2, F.col("score"))), F.lit(0.0)).alias("second"), *most,
+        F.min_by("doc_id", "at").alias("doc_id"), F.min_by("title", "at").alias("title"), F.min_by("kind", "at").alias("kind"), F.min_by("chunk_id", "at").alias("best_chunk"))
+
+
 @dataclass
 class Index:
-    """Written tables of the corpus, built once and read by every batch of queries."""
+    """Written tables of the corpus, made once and read by every batch of queries.
+
+    post: (token, chunk_id, tf, length), ordered by token and chunk, so that a token in every chunk is spread over many files.
+    vocab: (token, df). meta: (term, chunk_id, doc_id) and terms: (term, doc_id), the words of paths and titles. profile: profiles() of the chunks.
+    """
 
     chunks: DataFrame
     post: DataFrame
-    lens: DataFrame
+    vocab: DataFrame
     meta: DataFrame
+    terms: DataFrame
     profile: DataFrame
     n_chunks: int
     average: float
     n_docs: int
+    n_post: int
+    latest: int | None
+
+    @staticmethod
+    def tables(chunks: DataFrame) -> dict[str, DataFrame]:
+        """The tables of chunks, not yet written."""
+        tokens = chunks.select(chunk_id(), T.tokens(F.col("content")).alias("ts"))
+        post = tokens.select("chunk_id", F.size("ts").cast("bigint").alias("length"), F.explode("ts").alias("token")).groupBy("token", "chunk_id", "length").agg(F.count(F.lit(1)).alias("tf"))
+        meta = metadata_postings(chunks)
+        paths = chunks.groupBy("source_path").agg(F.count(F.lit(1)).alias("n_path"))
+        return {"chunks": chunks, "post": post.repartitionByRange("token", "chunk_id").sortWithinPartitions("token", "chunk_id"),  # row groups hold few tokens, so a query's are found by their bounds
+                "meta": meta, "terms": meta.select("term", "doc_id").distinct(), "profile": profiles(chunks).join(paths, "source_path")}
+
+    @classmethod
+    def over(cls, tables: dict[str, DataFrame]) -> "Index":
+        """The index of written tables(), with the statistics that ranking needs."""
+        post, profile = tables["post"], tables["profile"]
+        vocab = cut(post.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "vocabulary")
+        n, docs, latest = profile.agg(F.count(F.lit(1)), F.count_distinct("doc_id"), F.max("ordinal")).first()
+        n_post, total = post.agg(F.count(F.lit(1)), F.sum("tf")).first()
+        return cls(tables["chunks"], post, vocab, tables["meta"], tables["terms"], profile, n, max((total or 0) / n, 1.0) if n else 1.0, docs, n_post, latest)
 
     @classmethod
     def build(cls, chunks: DataFrame) -> "Index":
-        chunks = cut(chunks, "chunks")
-        post = cut(postings(chunks).repartitionByRange("token").sortWithinPartitions("token"), "postings")  # row groups hold few tokens, so a query's are found by their bounds
-        lens, meta = cut(lengths(chunks), "lengths"), cut(metadata_postings(chunks), "metadata")
-        n, total = lens.agg(F.count(F.lit(1)), F.sum("length")).first()
-        paths = chunks.groupBy("source_path").agg(F.count(F.lit(1)).alias("n_path"))
-        return cls(chunks, post, lens, meta, cut(profiles(chunks).join(paths, "source_path"), "profiles"), n, max(total / n, 1.0) if n else 1.0, chunks.agg(F.count_distinct("doc_id")).first()[0])
+        return cls.over({n: cut(df, n) for n, df in cls.tables(cut(chunks, "chunks")).items()})
 
-    def _alternatives(self, queries: DataFrame) -> DataFrame:
-        """(query_id, grp, token, idf) of the alternatives that the corpus has."""
-        alts = query_terms(queries).select("query_id", F.col("term").alias("grp"), F.explode(T.alternatives(F.col("term"))).alias("token"))
-        df = self.post.join(alts.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        return alts.join(df.select("token", idf(F.lit(self.n_chunks), F.col("df")).alias("idf")), "token")
+    def asked(self, queries: DataFrame) -> "Asked":
+        """What a batch of queries asks for; worked out once, if the same frame is given again."""
+        if getattr(self, "_asked", (None, None))[0] is not queries:
+            self._asked = (queries, Asked(self, queries))
+        return self._asked[1]
 
     def group_scores(self, queries: DataFrame) -> DataFrame:
         """(query_id, grp, chunk_id, score, idf): BM25 of the best alternative of each query term in each chunk."""
-        hit = self.post.join(self._alternatives(queries), "token").join(self.lens, "chunk_id")
-        norm = K1 * (1 - B + B * F.col("length") / self.average)
-        score = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-        # Plain doubles keep this a hash aggregate; the largest struct would have to be sorted for.
-        return hit.withColumn("score", score).groupBy("query_id", "grp", "chunk_id").agg(F.max("score").alias("score"), F.max_by("idf", "score").alias("idf"))
+        return self.asked(queries).scores
 
     def total_idf(self, queries: DataFrame) -> DataFrame:
-        per = self._alternatives(queries).groupBy("query_id", "grp").agg(F.max("idf").alias("w"))
+        per = self.asked(queries).alternatives.groupBy("query_id", "grp").agg(F.max("idf").alias("w"))
         return per.groupBy("query_id").agg(F.sum("w").alias("total_idf"))
 
     def metadata_weights(self, queries: DataFrame) -> DataFrame:
         """(query_id, term, numeric, weight)."""
-        w = query_terms(queries).join(self.meta.join(query_terms(queries).select("term").distinct(), "term", "left_semi").select("term", "doc_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term", "left")
+        terms = self.asked(queries).terms
+        w = terms.join(self.terms.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term", "left")
         numeric = F.col("term").rlike("^[0-9]+$")
         return w.select("query_id", "term", numeric.alias("numeric"), ((F.log((F.lit(max(self.n_docs, 1)) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1) * F.when(numeric, 2.5).otherwise(1.0)).alias("weight"))
 
@@ -118,82 +190,127 @@ class Index:
             F.sum("weight").alias("w"), F.count(F.lit(1)).alias("hits"), F.count(F.when(F.col("numeric"), 1)).alias("numeric_hits"))
         return m.join(total, "query_id").select("query_id", "chunk_id", (F.col("w") / F.col("total")).alias("metadata"), "hits", "numeric_hits")
 
-    def candidates(self, queries: DataFrame, limit: int = 320, scores: DataFrame | None = None) -> DataFrame:
-        """(query_id, chunk_id, lexical, coverage, metadata, prefilter, tier, rank) of the best limit chunks of each query.
+    def semantic_scores(self, boosts: DataFrame, most: int = 32) -> DataFrame:
+        """(query_id, chunk_id, semantic): the best of the most highest boosts (query_id, token, boost) that a chunk holds; ties by token."""
+        top = boosts.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(-F.round("boost", 9), "token"))).filter(F.col("k") <= most)
+        df = top.join(self.vocab, "token").select("query_id", "token", "boost", "df")
+        return self._probed(df).groupBy("query_id", "chunk_id").agg(F.max("boost").alias("semantic"))
 
-        Tier 0 matches all numbers of a query with three or more; tier 1 the rest. Ties go by chunk.
+    def _probed(self, wanted: DataFrame) -> DataFrame:
+        """The postings of the tokens of wanted (token, df, ..): those of hot tokens are salted, so that no token is one task's."""
+        return salted_join(self.post, wanted, ["token"], "df", self.n_post).drop("df")
+
+    def scored(self, queries: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
+        """(query_id, chunk_id, lexical, coverage, metadata, semantic, prefilter, tier) of all chunks that a query reaches.
+
+        Tier 0 matches all numbers of a query with three or more; tier 1 has a term of the query; tier 2 only learned ones.
         """
-        acc = (scores if scores is not None else self.group_scores(queries)).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("bm25"), F.sum("idf").alias("matched"), F.count(F.lit(1)).alias("groups"))
+        w, zero_, none = self.metadata_weights(queries), F.lit(0.0), F.lit(0).cast("long")
+        columns = ("bm25", "matched", "groups", "metadata", "hits", "numeric_hits", "semantic")
+        row = lambda *v: ["query_id", "chunk_id", *(x.alias(n) for x, n in zip(v, columns))]
+        one = F.lit(1).cast("long")
+        # What speaks for a chunk, one row each, so that one aggregate, with partial sums before its shuffle, does for joins of the kinds.
+        all_ = self.group_scores(queries).select(*row(F.col("score"), F.col("idf"), one, zero_, none, none, zero_)).unionByName(
+            w.join(self.meta, "term").select(*row(zero_, zero_, none, F.col("weight"), one, F.col("numeric").cast("long"), zero_)))
+        if semantic is not None:
+            all_ = all_.unionByName(semantic.select(*row(zero_, zero_, none, zero_, none, none, F.col("semantic"))))
+        acc = cut(all_.groupBy("query_id", "chunk_id").agg(*[(F.max if n == "semantic" else F.sum)(n).alias(n) for n in columns]), "reached")
         most = acc.groupBy("query_id").agg(F.max("bm25").alias("most"))
-        size = query_terms(queries).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_groups"), F.count(F.when(F.col("term").rlike("^[0-9]+$"), 1)).alias("n_numeric"))
-        per = size.join(most, "query_id", "left").join(self.total_idf(queries), "query_id", "left")
-        both = acc.join(self.metadata_scores(queries), ["query_id", "chunk_id"], "full").join(per, "query_id")
+        size = self.asked(queries).terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_groups"), F.count(F.when(F.col("term").rlike("^[0-9]+$"), 1)).alias("n_numeric"))
+        per = size.join(most, "query_id", "left").join(self.total_idf(queries), "query_id", "left").join(w.groupBy("query_id").agg(F.sum("weight").alias("total")), "query_id", "left")
         zero = lambda c: F.coalesce(c, F.lit(0.0))
         share = lambda a, b: zero(F.when(F.col(b) > 0, F.col(a) / F.col(b)))
         lexical = F.least(F.greatest(0.72 * share("bm25", "most") + 0.28 * share("matched", "total_idf"), F.lit(0.0)), F.lit(1.0))
-        c = both.select("query_id", "chunk_id", lexical.alias("lexical"), F.least(zero(F.col("groups") / F.col("n_groups")), F.lit(1.0)).alias("coverage"), zero(F.col("metadata")).alias("metadata"),
-                        F.when((F.col("n_numeric") >= 3) & (F.coalesce("numeric_hits", F.lit(0)) == F.col("n_numeric")), 0).otherwise(1).alias("tier"))
-        c = c.withColumn("prefilter", 0.8 * F.col("lexical") + 0.4 * F.col("metadata"))
+        c = acc.join(per, "query_id").select(
+            "query_id", "chunk_id", lexical.alias("lexical"), F.least(zero(F.col("groups") / F.col("n_groups")), F.lit(1.0)).alias("coverage"), share("metadata", "total").alias("metadata"), "semantic",
+            F.when((F.col("n_numeric") >= 3) & (F.col("numeric_hits") == F.col("n_numeric")), 0).when(F.col("groups") + F.col("hits") > 0, 1).otherwise(2).alias("tier"))
+        return c.withColumn("prefilter", 0.8 * F.col("lexical") + 0.4 * F.col("metadata") + 0.1 * F.col("semantic"))
+
+    def candidates(self, queries: DataFrame, limit: int = 320, semantic: DataFrame | None = None) -> DataFrame:
+        """scored() with rank, the best limit chunks of each query: by tier, then prefilter. Ties go by chunk."""
         w = Window.partitionBy("query_id").orderBy("tier", -F.round("prefilter", 9), "chunk_id")
-        return c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-
-    def document_scores(self, queries: DataFrame, scores: DataFrame | None = None) -> DataFrame:
-        """(query_id, doc_id, lexical_doc, doc_coverage, specificity): shares of a query's terms in a document and its metadata."""
-        doc = (F.col("chunk_id") / 100_000).cast("bigint")
-        content = (scores if scores is not None else self.group_scores(queries)).select("query_id", "grp", doc.alias("doc_id")).distinct().groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("content"))
-        meta = query_terms(queries).join(self.meta.select("term", "doc_id").distinct(), "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("meta"))
-        n = query_terms(queries).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        return self.scored(queries, semantic).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+
+    def document_scores(self, queries: DataFrame, among: DataFrame | None = None) -> DataFrame:
+        """(query_id, doc_id, lexical_doc, doc_coverage, specificity): shares of a query's terms in a document and its metadata; among,
+        (query_id, doc_id), are the only documents wanted, if given."""
+        terms, hit = self.asked(queries).terms, self.group_scores(queries).select("query_id", "grp", document_of())
+        only = (lambda df: df.join(among, ["query_id", "doc_id"], "left_semi")) if among is not None else (lambda df: df)
+        content = only(hit).distinct().groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("content"))
+        meta = only(terms.join(self.terms, "term")).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("meta"))
+        n = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
         s = content.join(meta, ["query_id", "doc_id"], "full").join(n, "query_id")
         a, b = F.coalesce("meta", F.lit(0)), F.coalesce("content", F.lit(0))
         cov = F.greatest(a, b) / F.col("n")
         return s.select("query_id", "doc_id", ((2 * a + b) / (3 * F.col("n"))).alias("lexical_doc"), cov.alias("doc_coverage"),
                         F.when(cov >= 0.99, 0.18).when(cov >= 0.75, 0.08).otherwise(0.0).alias("specificity"))
 
-    def featured(self, queries: DataFrame, limit: int = 320, scores: DataFrame | None = None) -> DataFrame:
-        """candidates() with the features of each, rescored."""
-        q = queries.select("query_id", F.array_distinct(T.exact_terms(F.col("query_text"))).alias("terms"), T.fold(F.trim("query_text")).alias("folded"), T.query_mode(F.col("query_text")).alias("mode"))
-        return features(self.candidates(queries, limit, scores).join(self.profile, "chunk_id").join(cut(q, "queries"), "query_id"))
-
-    def ranked_documents(self, queries: DataFrame, top_k: int = 10, biased: bool = False) -> DataFrame:
-        """(query_id, doc_id, source_path, score, confidence, rank): candidates rescored, rolled up to documents by source path.
-
-        biased adds mode_bias(). Graph, embedding and semantic scores are 0.
+    def linked(self, candidates: DataFrame, edges: DataFrame, top_k: int = 10) -> DataFrame:
+        """candidates with graph: where walks over edges (src, dst, w) from the documents of the first 64 lead, as a share of the best; and the
+        first chunks of the documents reached best, where they are not there yet, after all others."""
+        c = cut(candidates, "candidates")
+        reached = cut(graph.spread(edges, seed_scores(c), max(top_k, 10) * 4), "reached")
+        own = c.withColumn("doc_id", document_of()).join(reached, ["query_id", "doc_id"], "left").withColumn("graph", F.coalesce("graph", F.lit(0.0))).drop("doc_id")
+        w = Window.partitionBy("query_id").orderBy(-F.round("graph", 9), "doc_id")
+        most = reached.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= max(top_k, 10) * 2)
+        first = self.profile.groupBy("doc_id").agg(F.min("chunk_id").alias("chunk_id")).join(most, "doc_id")
+        new = first.join(c.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+        zero = F.lit(0.0)
+        return own.unionByName(new.select("query_id", "chunk_id", zero.alias("lexical"), zero.alias("coverage"), zero.alias("metadata"), zero.alias("semantic"), F.lit(2).alias("tier"), zero.alias("prefilter"),
+                                          (F.lit(1_000_000) + F.col("at")).cast("int").alias("rank"), "graph"))
+
+    def featured(self, queries: DataFrame, top_k: int = 10, model: "spectral.Model | None" = None, edges: DataFrame | None = None) -> DataFrame:
+        """The candidates of each query, max(top_k, 10) * 32 and those that the graph adds, with their features, rescored. Without a model the
+        semantic and embedding scores are 0, without edges the graph score."""
+        a = self.asked(queries)
+        semantic = self.semantic_scores(model.boosts(a.tokens, top_k)) if model is not None else None
+        c = self.candidates(queries, max(top_k, 10) * 32, semantic)
+        c = self.linked(c, edges, top_k) if edges is not None else c.withColumn("graph", F.lit(0.0))
+        c = c.join(self.profile, "chunk_id").join(a.texts, "query_id")
+        if model is not None:
+            c = c.join(model.projected(a.tokens).withColumnRenamed("vec", "qvec"), "query_id", "left").join(model.chunk_vectors, "chunk_id", "left")
+            c = c.withColumn("embedding", F.coalesce(F.greatest(vectors.cosine(F.col("qvec"), F.col("vec")), F.lit(0.0)), F.lit(0.0))).drop("qvec", "vec")
+        return features(c)
+
+    def ranked_documents(self, queries: DataFrame, top_k: int = 10, model: "spectral.Model | None" = None, edges: DataFrame | None = None, parts: bool = False) -> DataFrame:
+        """(query_id, doc_id, source_path, score, confidence, rank): candidates rescored, rolled up to documents by source path, with mode_bias().
+
+        With parts also (doc_coverage, next_score, matrix) of which the confidence is made. A query without a term that the corpus has gives no row.
         """
         queries = cut(queries, "queries")
-        scores = cut(self.group_scores(queries), "scores")
-        f = self.featured(queries, max(top_k, 10) * 32, scores)
-        w = Window.partitionBy("query_id", "source_path").orderBy(-F.round("score", 9), "rank")
-        f = f.withColumn("at", F.row_number().over(w))
-        d = f.groupBy("query_id", "source_path").agg(
-            F.max(F.when(F.col("at") == 1, F.col("score"))).alias("best"), F.coalesce(F.max(F.when(F.col("at") == 2, F.col("score"))), F.lit(0.0)).alias("second"),
-            F.max("metadata_overlap").alias("metadata"), F.max("exact_bonus").alias("exact_bonus"), F.max("exactness").alias("exactness"), F.max("entity").alias("entity"),
-            F.max("coverage").alias("coverage"), F.min_by("doc_id", "at").alias("doc_id"), F.min_by("title", "at").alias("title"), F.first("mode").alias("mode"))
-        d = d.join(self.document_scores(queries, scores), ["query_id", "doc_id"], "left").fillna(0.0, ["lexical_doc", "doc_coverage", "specificity"]).withColumn("graph", F.lit(0.0))
-        d = d.withColumn("score", mixed(DOCUMENT_MIX) + F.col("specificity"))
-        if biased:
-            latest = self.profile.agg(F.max(T.date_ordinal(T.date_parts(F.concat_ws(" ", "source_path", "title"))))).first()[0]
-            d = d.join(queries.select("query_id", "query_text"), "query_id").withColumn("score", F.col("score") + mode_bias(F.lit(latest).cast("bigint")))
+        f = self.featured(queries, top_k, model, edges)
+        d = cut(rolled_up(f), "rolled")
+        d = d.join(self.document_scores(queries, d.select("query_id", "doc_id").distinct()), ["query_id", "doc_id"], "left").fillna(0.0, ["lexical_doc", "doc_coverage", "specificity"])
+        if model is not None:
+            d = d.join(model.projected(self.asked(queries).tokens).withColumnRenamed("vec", "qvec"), "query_id", "left").join(model.document_vectors, "doc_id", "left")
+            d = d.withColumn("embedding", F.coalesce(F.greatest(vectors.cosine(F.col("qvec"), F.col("vec")), F.lit(0.0)), F.lit(0.0))).drop("qvec", "vec")
+        else:
+            d = d.withColumn("embedding", F.lit(0.0))
+        d = d.join(self.asked(queries).texts, "query_id")
+        d = d.withColumn("score", mixed(DOCUMENT_MIX) + F.col("specificity") + mode_bias(F.lit(self.latest).cast("bigint")))
         order = Window.partitionBy("query_id").orderBy(-F.round("score", 9), "source_path")
         d = d.withColumn("rank", F.row_number().over(order)).withColumn("next_score", F.lead("score").over(order)).filter(F.col("rank") <= top_k)
-        return d.withColumn("confidence", confidence(F.col("score"), F.col("next_score"), F.col("doc_coverage"), F.lit(0.0))).select("query_id", "doc_id", "source_path", "score", "confidence", "rank")
-
+        d = d.withColumn("matrix", F.lit(model.confidence if model is not None else 0.0))
+        d = d.withColumn("confidence", confidence(F.col("score"), F.col("next_score"), F.col("doc_coverage"), F.col("matrix")))
+        return d.select("query_id", "doc_id", "source_path", "score", "confidence", "rank", *(["doc_coverage", "next_score", "matrix"] if parts else []))
 
-    def bundles(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
+    def bundles(self, queries: DataFrame, top_k: int = 10, model: "spectral.Model | None" = None, edges: DataFrame | None = None) -> DataFrame:
         """(query_id, source_path, rank, chunk_id, place): the chunks shown of each ranked document, 6 of the first, 4 of the next two, else 2.
 
         First the best chunk, then ranked chunks beside it or strong themselves, then chunks sampled evenly over the document, then in
         order; place follows the document.
         """
         queries = cut(queries, "queries")
-        best = self.ranked_documents(queries, top_k).select("query_id", "source_path", "doc_id", F.col("rank").alias("doc_rank"), F.when(F.col("rank") == 1, 6).when(F.col("rank") <= 3, 4).otherwise(2).alias("most"))
-        f = cut(self.featured(queries, max(top_k, 10) * 32).join(best, ["query_id", "source_path"], "left_semi"), "featured")
+        best = cut(self.ranked_documents(queries, top_k, model, edges), "ranked").select("query_id", "source_path", "doc_id", F.col("rank").alias("doc_rank"), F.when(F.col("rank") == 1, 6).when(F.col("rank") <= 3, 4).otherwise(2).alias("most"))
+        f = cut(self.featured(queries, top_k, model, edges).join(best, ["query_id", "source_path"], "left_semi"), "featured")
         f = f.withColumn("at", F.row_number().over(Window.partitionBy("query_id", "source_path").orderBy(-F.round("score", 9), "rank")))
-        index = F.col("chunk_id") % 100_000
+        index = F.col("chunk_id") % CHUNKS_OF
         first = f.filter("at = 1").select("query_id", "source_path", index.alias("own"))
         strong = (F.col("coverage") >= 0.34) | (F.col("exactness") >= 0.40) | (F.col("entity") >= 0.50) | (F.col("metadata_overlap") >= 0.60)
         ranked = f.join(first, ["query_id", "source_path"]).filter((F.col("at") == 1) | (F.abs(index - F.col("own")) <= 1) | strong).select(
             "query_id", "source_path", "chunk_id", F.when(F.col("at") == 1, 0).otherwise(1).alias("phase"), F.col("at").cast("bigint").alias("ord"))
-        per = self.chunks.select(chunk_id(), "doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index")).alias("pos"), F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("n"))
+        few = best.select("doc_id").distinct()  # only the chunks of documents that are shown are numbered
+        per = self.profile.select("chunk_id", "doc_id", (F.col("chunk_id") % CHUNKS_OF).alias("chunk_index")).join(few, "doc_id", "left_semi").select("chunk_id", "doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index")).alias("pos"), F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("n"))
         own = best.join(per, "doc_id")
         size = F.least("most", "n")
         s = F.ceil((F.col("pos") - 1) * (size - 1) / F.greatest(F.col("n") - 1, F.lit(1)))
@@ -201,24 +318,22 @@ class Index:
         rest = own.select("query_id", "source_path", "chunk_id", F.when(sampled, 2).otherwise(3).alias("phase"), F.col("pos").cast("bigint").alias("ord"))
         one = ranked.unionByName(rest).groupBy("query_id", "source_path", "chunk_id").agg(F.min(F.struct("phase", "ord")).alias("p")).join(best, ["query_id", "source_path"])
         kept = one.withColumn("k", F.row_number().over(Window.partitionBy("query_id", "source_path").orderBy("p", "chunk_id"))).filter(F.col("k") <= F.col("most"))
-        return kept.select("query_id", "source_path", F.col("doc_rank").alias("rank"), "chunk_id", F.row_number().over(Window.partitionBy("query_id", "source_path").orderBy(F.col("chunk_id") % 100_000, "chunk_id")).alias("place"))
+        return kept.select("query_id", "source_path", F.col("doc_rank").alias("rank"), "chunk_id", F.row_number().over(Window.partitionBy("query_id", "source_path").orderBy(F.col("chunk_id") % CHUNKS_OF, "chunk_id")).alias("place"))
 
 
 def mode_bias(latest: Column) -> Column:
-    """What dates, kind and class of a rolled-up document add for its query, by mode; latest is the newest date of all documents."""
-    profile, asked = F.concat_ws(" ", "source_path", "title"), T.date_parts(F.col("query_text"))
-    own, recall = T.date_parts(profile), T.recall_intent(F.col("query_text"))
-    dated, lower = F.coalesce(own["year"].isNotNull(), F.lit(False)), F.lower(profile)
-    kind = answers.profile_features(lower, dated)
-    by_class = answers.class_bias(F.array_distinct(T.exact_terms(F.col("query_text"))), recall, answers.memory_class(lower, dated))
-    temporal = answers.temporal_match(asked, own)
+    """What the learned vectors, dates, kind and class of a rolled-up document add for its query, by mode; latest is the newest date of all documents."""
+    asked, kind, recall, mode = F.col("asked_date"), F.col("kind"), F.col("recall"), F.col("mode")
+    by_class = answers.class_bias(F.col("terms"), recall, kind["class"])
+    temporal = answers.temporal_match(asked, kind["date"])
     clamp = lambda c: F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0))
     identity = temporal * (0.18 * clamp("metadata") + 0.12 * clamp("exactness") + 0.05 * clamp("entity"))  # 0 without a date in the query
     recalled = F.when(recall, 0.14 * kind["episodic"] + 0.12 * kind["session_note"] - 0.12 * kind["aggregate"] - 0.10 * kind["evergreen"]).otherwise(0.0)
-    fresh = answers.freshness(F.col("mode"), F.col("lexical_doc"), F.col("doc_coverage"), T.date_ordinal(own), latest)
-    weight = F.when(asked.isNotNull(), 0.40).when(F.col("mode") == "lookup", 0.02).when(F.col("mode") == "recall", 0.12).otherwise(0.05)
-    special = F.when(F.col("mode") == "lookup", F.greatest(by_class, F.lit(0.0))).when(F.col("mode") == "recall", recalled + by_class).otherwise(by_class)
-    return temporal * weight + identity + special + fresh
+    fresh = answers.freshness(mode, F.col("lexical_doc"), F.col("doc_coverage"), kind["ordinal"], latest)
+    embedding = F.col("embedding") * F.when(mode == "lookup", 0.06).when(mode == "recall", 0.15).otherwise(0.18)
+    weight = F.when(asked.isNotNull(), 0.40).when(mode == "lookup", 0.02).when(mode == "recall", 0.12).otherwise(0.05)
+    special = F.when(mode == "lookup", F.greatest(by_class, F.lit(0.0))).when(mode == "recall", recalled + by_class).otherwise(by_class)
+    return embedding + temporal * weight + identity + special + fresh
 
 
 def mixed(mix: dict[str, dict[str, float]]) -> Column:
@@ -242,8 +357,11 @@ def profiles(chunks: DataFrame) -> DataFrame:
     """What features() needs of each chunk's metadata, worked out once a chunk and not once a candidate."""
     stem = T.file_stem(F.col("source_path"))
     names = F.filter(F.array_distinct(F.array(T.fold(F.col("title")), T.fold(stem), T.fold(T.strip_date_prefix(stem)))), lambda a: a.isNotNull() & (F.trim(a) != ""))
-    return chunks.select(
-        chunk_id(), "doc_id", "source_path", "title", "section_title", F.array_distinct(T.tokens(metadata_text())).alias("md"), T.fold(metadata_text()).alias("fmd"), T.folded_tokens(metadata_text()).alias("fmd_words"),
+    name, date = F.concat_ws(" ", "source_path", "title"), F.col("own_date")
+    dated, lower = F.coalesce(date["year"].isNotNull(), F.lit(False)), F.lower(name)
+    kind = F.struct(*[v.alias(k) for k, v in answers.profile_features(lower, dated).items()], answers.memory_class(lower, dated).alias("class"), date.alias("date"), T.date_ordinal(date).alias("ordinal"))
+    return chunks.withColumn("own_date", T.date_parts(name)).select(
+        chunk_id(), "doc_id", kind.alias("kind"), T.date_ordinal(date).alias("ordinal"), "source_path", "title", "section_title", F.array_distinct(T.tokens(metadata_text())).alias("md"), T.fold(metadata_text()).alias("fmd"), T.folded_tokens(metadata_text()).alias("fmd_words"),
         T.fold(stem).alias("stem"), F.transform(names, lambda a: F.struct(a.alias("name"), T.tokens(a).alias("words"))).alias("aliases"))
 
 
@@ -270,7 +388,7 @@ def features(c: DataFrame) -> DataFrame:
     c = c.withColumns({
         "metadata_overlap": metadata_overlap(terms, md), "exact_bonus": F.when((F.size(terms) > 0) & (F.size(F.array_except(terms, md)) == 0), 0.35).otherwise(0.0),
         "exactness": exactness(terms, F.col("folded"), F.col("fmd"), F.col("fmd_words"), F.col("stem")), "entity": entity(terms, F.col("folded"), F.col("aliases")), "compactness": compactness(F.col("n_path")),
-    }).drop("md", "fmd", "fmd_words", "stem", "aliases").withColumns({n: F.lit(0.0) for n in ("semantic", "embedding", "graph") if n not in c.columns})
+    }).drop("md", "fmd", "fmd_words", "stem", "aliases", "ordinal").withColumns({n: F.lit(0.0) for n in ("semantic", "embedding", "graph") if n not in c.columns})
     mix = {m: {("metadata_overlap" if k == "metadata" else k): v for k, v in w.items()} for m, w in CHUNK_MIX.items()}
     return c.withColumn("score", F.least(mixed(mix) + F.col("exact_bonus"), F.lit(1.0))).filter("score > 0 or metadata_overlap > 0")
 

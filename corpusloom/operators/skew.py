@@ -13,13 +13,13 @@ SALTS = 64
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int, how: str = "inner") -> DataFrame:
-    """left joined with right, unique on keys; rows is right's column with the number of left's rows of the key, total their sum.
+    """left joined with right; rows is right's column with the number of left's rows of the key (alike in each of its rows), total their sum.
 
     The hot keys, at most 512 by their definition, are broadcast to salt left's rows; right repeats only those. Rows with a
     null key join nothing. Other column names must not clash.
     """
     hot = F.col(rows) > total * HOT_SHARE
-    marks = F.broadcast(right.filter(hot).select(*keys, F.lit(True).alias("_hot")))
+    marks = F.broadcast(right.filter(hot).select(*keys).distinct().withColumn("_hot", F.lit(True)))
     spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") if t == "variant" else F.col(f"`{c}`") for c, t in left.dtypes if not t.startswith("map")]), F.lit(SALTS)).cast("int")).otherwise(0)
     a = left.join(marks, keys, "left").withColumn("_salt", spread).drop("_hot")
     b = right.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))

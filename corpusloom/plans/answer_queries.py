@@ -6,16 +6,11 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import answers, hierarchy
 from corpusloom.plans.registry import query
-from corpusloom.plans.retrieval_queries import _DMIX, FEATURES, _mix, index, r6
+from corpusloom.plans.ranking_queries import _PROF, RANKED, _in, _list, class_bias_sql
+from corpusloom.plans.retrieval_queries import index, r6
 from corpusloom.plans.text_queries import _EXACT, TOKENS, asked, dates_sql, docs
 from corpusloom.session import table
 
-_in = lambda c, ws: "(" + " OR ".join(f"contains({c}, '{w}')" for w in ws) + ")"
-_list = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-_PROFILE = "(SELECT doc_id, concat_ws(' ', source_path, title) AS profile FROM documents)"
-_PROF = f"{dates_sql(_PROFILE, 'doc_id', 'profile')}, pf AS (SELECT p.doc_id, lower(p.profile) AS profile, year IS NOT NULL AS dated FROM {_PROFILE} p LEFT JOIN dated d ON d.k = p.doc_id)"
-
-
 def _profiled(spark, d):
     p = F.concat_ws(" ", "source_path", "title")
     return docs(spark, d).select("doc_id", F.lower(p).alias("profile"), F.coalesce(T.date_parts(p)["year"].isNotNull(), F.lit(False)).alias("dated"))
@@ -35,13 +30,10 @@ def q18(spark, d):
 
 
 _ALL = ["daily_note", "review", "research", "summary", "guide", "project_note", "other"]
-_ask = lambda k: f"list_has_any(terms, {_list(answers.ASKS[k])})"
 
 
 @query("q19_class_bias", f"""WITH q AS (SELECT doc_id, {_EXACT.format('title')} AS terms, {_in("lower(strip_accents(title))", T.RECALL)} OR doc_id % 2 = 0 AS recall FROM documents WHERE title IS NOT NULL), x AS (SELECT *, unnest({_list(_ALL)}) AS class FROM q)
-SELECT doc_id, class, CAST(CASE class WHEN 'daily_note' THEN CASE WHEN recall AND NOT {_ask('review')} AND NOT {_ask('research')} THEN 0.10 ELSE 0 END WHEN 'review' THEN CASE WHEN {_ask('review')} THEN 0.14 WHEN recall THEN 0.02 ELSE 0 END
-WHEN 'research' THEN CASE WHEN {_ask('research')} THEN 0.14 WHEN recall THEN -0.08 ELSE 0 END WHEN 'summary' THEN CASE WHEN {_ask('summary')} THEN 0.10 WHEN recall THEN -0.10 ELSE 0 END WHEN 'guide' THEN CASE WHEN recall THEN -0.12 ELSE 0 END
-WHEN 'project_note' THEN CASE WHEN {_ask('project_note')} THEN 0.10 WHEN recall AND NOT {_ask('research')} THEN 0.06 ELSE 0 END ELSE 0 END AS DOUBLE) AS bias FROM x""")
+SELECT doc_id, class, CAST({class_bias_sql("terms", "recall", "class")} AS DOUBLE) AS bias FROM x""")
 def q19(spark, d):
     q = docs(spark, d).filter("title is not null").select("doc_id", T.exact_terms(F.col("title")).alias("terms"), (T.recall_intent(F.col("title")) | (F.col("doc_id") % 2 == 0)).alias("recall"), F.explode(F.array(*[F.lit(c) for c in _ALL])).alias("class"))
     return q.select("doc_id", "class", answers.class_bias(F.col("terms"), F.col("recall"), F.col("class")).alias("bias"))
@@ -89,7 +81,7 @@ def q29(spark, d):
 @query("q29_engine_metrics")
 def q29_engine(spark, d):
     c = _cases(spark, d)
-    return r6(answers.retrieval_metrics(c, index(spark, d).ranked_documents(c.select("query_id", "query_text"), biased=True)), "hit_rate", "mrr")
+    return r6(answers.retrieval_metrics(c, index(spark, d).ranked_documents(c.select("query_id", "query_text"))), "hit_rate", "mrr")
 
 
 @query("q29_nearest_rank", "SELECT q AS quantile, value FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM events) JOIN (SELECT unnest([0.5, 0.95, 0.99])::DOUBLE AS q) x ON k = ceil((n - 1) * q)")
@@ -98,19 +90,15 @@ def q29_rank(spark, d):
 
 
 _WS = "[t FOR t IN regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+') IF strlen(t) >= 4 AND t NOT IN (" + ", ".join(f"'{x}'" for x in T.GENERATOR_STOP) + ")]"
-EVIDENCE = FEATURES + f""", ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_path ORDER BY round(score, 9) DESC, rank) AS pos FROM scored WHERE score > 0 OR overlap > 0),
-rolled AS (SELECT query_id, source_path, max(score) FILTER (pos = 1) AS best, coalesce(max(score) FILTER (pos = 2), 0) AS second, max(overlap) AS metadata, max(exact_bonus) AS exact_bonus, max(exactness) AS exactness, max(entity) AS entity,
-    max(coverage) AS coverage, arg_min(doc_id, pos) AS doc_id, any_value(mode) AS mode FROM ordered GROUP BY query_id, source_path),
-final AS (SELECT r.query_id, r.doc_id, source_path, {_mix(_DMIX)} + specificity AS score FROM (SELECT r.*, coalesce(lexical_doc, 0) AS lexical_doc, coalesce(doc_coverage, 0) AS doc_coverage, coalesce(specificity, 0) AS specificity
-    FROM rolled r LEFT JOIN docsc s ON s.query_id = r.query_id AND s.doc_id = r.doc_id) r),
+EVIDENCE = RANKED + f""",
 ev AS (SELECT f.query_id, f.source_path, round(f.score, 6) AS score, d.text, q.query_text, row_number() OVER (PARTITION BY f.query_id ORDER BY round(f.score, 9) DESC, f.source_path) AS rank FROM final f JOIN documents d ON d.doc_id = f.doc_id
     JOIN qs q ON q.query_id = f.query_id QUALIFY rank <= 5)"""
 
 
-def evidence(spark, d, biased=False):
+def evidence(spark, d):
     """The first five documents of each query, whole texts joined on after the ranking."""
     q = asked(spark, d)
-    best = index(spark, d).ranked_documents(q, 5, biased).select("query_id", "doc_id", "source_path", F.round("score", 6).alias("score"), "rank")
+    best = index(spark, d).ranked_documents(q, 5).select("query_id", "doc_id", "source_path", F.round("score", 6).alias("score"), "rank")
     return best.join(docs(spark, d).select("doc_id", "text"), "doc_id").join(q, "query_id")
 
 
@@ -123,7 +111,7 @@ def n01(spark, d):
 
 @query("n04_answer_sentences")
 def n04(spark, d):
-    return answers.selected_sentences(evidence(spark, d, biased=True))
+    return answers.selected_sentences(evidence(spark, d))
 
 
 @query("n06_simple_answer", f"WITH {EVIDENCE} SELECT query_id, md5(string_agg(source_path, chr(10) ORDER BY rank)) AS digest FROM ev WHERE rank <= 3 GROUP BY query_id")

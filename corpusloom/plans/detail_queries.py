@@ -8,7 +8,8 @@ from corpusloom.plans.answer_queries import _PROF, EVIDENCE, evidence
 from corpusloom.plans.graph_queries import COOC
 from corpusloom.plans.learning_queries import PAIRS, _pairs
 from corpusloom.plans.registry import SQL, query
-from corpusloom.plans.retrieval_queries import _DMIX, CHUNKS, FEATURES, RANK, _featured, _mix, chunks, index, r6
+from corpusloom.plans.ranking_queries import RANKED
+from corpusloom.plans.retrieval_queries import CHUNKS, FEATURES, RANK, _featured, chunks, index, r6
 from corpusloom.plans.text_queries import TOKENS, asked, dates_sql, docs
 from corpusloom.session import cut, table
 
@@ -27,14 +28,14 @@ for _n, _c, _a in (("q10_metadata_overlap", "overlap", "metadata_overlap"), ("q1
 @query("q06_lexical_score", f"WITH {RANK} SELECT query_id, chunk_id, CAST(round(lexical, 6) AS DOUBLE) AS lexical FROM sc")
 def q06(spark, d):
     ix, qs = index(spark, d), cut(asked(spark, d), "queries")
-    return r6(ix.candidates(qs, 1 << 30).select("query_id", "chunk_id", "lexical"), "lexical")
+    return r6(ix.scored(qs).select("query_id", "chunk_id", "lexical"), "lexical")
 
 
 _BOOST = f"""{PAIRS}, bo AS (SELECT query_id, token, max(relevance) AS boost FROM (SELECT query_id, unnest([a, b]) AS token, relevance FROM rp) x
 WHERE NOT EXISTS (SELECT 1 FROM sc WHERE sc.query_id = x.query_id AND sc.token = x.token) GROUP BY query_id, token), b32 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(boost, 9) DESC, token) AS k FROM bo QUALIFY k <= 32)"""
 
 
-@query("q05_semantic_fill", f"""WITH {_BOOST}, po AS (SELECT DISTINCT doc_id * 100000 + chunk_index AS chunk_id, unnest({TOKENS.format('content')}) AS token FROM chunks)
+@query("q05_semantic_fill", f"""WITH {_BOOST}, po AS (SELECT DISTINCT doc_id * 16777216 + chunk_index AS chunk_id, unnest({TOKENS.format('content')}) AS token FROM chunks)
 SELECT query_id, chunk_id, CAST(round(max(boost), 6) AS DOUBLE) AS semantic FROM b32 JOIN po ON po.token = b32.token GROUP BY query_id, chunk_id""")
 def q05(spark, d):
     from pyspark.sql import Window
@@ -178,16 +179,12 @@ def x03(spark, d):
 
 
 
-_RANKED = FEATURES + f""", ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_path ORDER BY round(score, 9) DESC, rank) AS pos FROM scored WHERE score > 0 OR overlap > 0),
-rolled AS (SELECT query_id, source_path, max(score) FILTER (pos = 1) AS best, coalesce(max(score) FILTER (pos = 2), 0) AS second, max(overlap) AS metadata, max(exact_bonus) AS exact_bonus, max(exactness) AS exactness, max(entity) AS entity,
-    max(coverage) AS coverage, arg_min(doc_id, pos) AS doc_id, any_value(mode) AS mode FROM ordered GROUP BY query_id, source_path),
-final AS (SELECT r.query_id, r.doc_id, source_path, {_mix(_DMIX)} + specificity AS score FROM (SELECT r.*, coalesce(lexical_doc, 0) AS lexical_doc, coalesce(doc_coverage, 0) AS doc_coverage, coalesce(specificity, 0) AS specificity
-    FROM rolled r LEFT JOIN docsc s ON s.query_id = r.query_id AND s.doc_id = r.doc_id) r),
+_RANKED = RANKED + f""",
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, source_path) AS dr FROM final QUALIFY dr <= 10),
 bm AS (SELECT query_id, source_path, doc_id, dr, CASE WHEN dr = 1 THEN 6 WHEN dr <= 3 THEN 4 ELSE 2 END AS most FROM best),
-pri AS (SELECT query_id, source_path, chunk_id % 100000 AS own FROM ordered WHERE pos = 1),
+pri AS (SELECT query_id, source_path, chunk_id % 16777216 AS own FROM ordered WHERE pos = 1),
 rk AS (SELECT o.query_id, o.source_path, chunk_id, CASE WHEN pos = 1 THEN 0 ELSE 1 END AS phase, pos AS ord FROM ordered o JOIN pri p ON p.query_id = o.query_id AND p.source_path = o.source_path
-    WHERE pos = 1 OR abs(chunk_id % 100000 - own) <= 1 OR coverage >= 0.34 OR exactness >= 0.4 OR entity >= 0.5 OR overlap >= 0.6),
+    WHERE pos = 1 OR abs(chunk_id % 16777216 - own) <= 1 OR coverage >= 0.34 OR exactness >= 0.4 OR entity >= 0.5 OR overlap >= 0.6),
 pos_in AS (SELECT chunk_id, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS pos, count(*) OVER (PARTITION BY doc_id) AS n FROM idc),
 own AS (SELECT *, least(most, n) AS size FROM bm JOIN pos_in USING (doc_id)),
 smp AS (SELECT query_id, source_path, list_distinct([CASE WHEN size = 1 THEN 0 ELSE s * (n - 1) // (size - 1) END FOR s IN range(0, size)]) AS ps, chunk_id, pos FROM own),
@@ -196,16 +193,11 @@ mn AS (SELECT u.query_id, u.source_path, u.chunk_id, min({{'phase': phase, 'ord'
 kp AS (SELECT mn.query_id, mn.source_path, mn.chunk_id, bm.dr, row_number() OVER (PARTITION BY mn.query_id, mn.source_path ORDER BY p, mn.chunk_id) AS k, most FROM mn JOIN bm ON bm.query_id = mn.query_id AND bm.source_path = mn.source_path QUALIFY k <= most)"""
 
 
-@query("q24_evidence_bundles", f"WITH {_RANKED} SELECT query_id, source_path, CAST(dr AS INT) AS rank, chunk_id, CAST(row_number() OVER (PARTITION BY query_id, source_path ORDER BY chunk_id % 100000, chunk_id) AS INT) AS place FROM kp")
+@query("q24_evidence_bundles", f"WITH {_RANKED} SELECT query_id, source_path, CAST(dr AS INT) AS rank, chunk_id, CAST(row_number() OVER (PARTITION BY query_id, source_path ORDER BY chunk_id % 16777216, chunk_id) AS INT) AS place FROM kp")
 def q24(spark, d):
     return index(spark, d).bundles(asked(spark, d))
 
 
-@query("q22_biased_documents")
-def q22_biased(spark, d):
-    return r6(index(spark, d).ranked_documents(asked(spark, d), biased=True), "score", "confidence")
-
-
 @query("a09_field_statistics", f"""SELECT count(*) AS documents, CAST(round(avg(len({TOKENS.format("coalesce(title, '')")})), 6) AS DOUBLE) AS title_length, CAST(round(avg(len({TOKENS.format('source_path')})), 6) AS DOUBLE) AS path_length,
 CAST(round(avg(len({TOKENS.format('text')})), 6) AS DOUBLE) AS body_length FROM documents WHERE trim(text) <> ''""")
 def a09(spark, d):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import graph, vectors
+from corpusloom.operators import graph, retrieval, vectors
 from corpusloom.plans.registry import query
 from corpusloom.plans.retrieval_queries import CHUNKS, RANK, chunks, index, r6
 from corpusloom.plans.text_queries import CANON, LINKS, PSTEM, STEM, TOKENS, asked
@@ -53,12 +53,11 @@ def g01(spark, d):
     return graph.edges(links(spark, d))
 
 
-SEEDS = """seeds AS (SELECT query_id, CAST(floor(chunk_id / 100000) AS BIGINT) AS doc_id, max(0.75 * lexical + 0.10 * coverage) AS score FROM cand WHERE rank <= 64 GROUP BY ALL)"""
+SEEDS = """seeds AS (SELECT query_id, chunk_id // 16777216 AS doc_id, max(0.75 * lexical + 0.10 * coverage) AS score FROM cand WHERE rank <= 64 GROUP BY ALL)"""
 
 
 def seeds(spark, d):
-    c = index(spark, d).candidates(asked(spark, d), 320).filter("rank <= 64")
-    return c.groupBy("query_id", (F.col("chunk_id") / 100_000).cast("bigint").alias("doc_id")).agg(F.max(0.75 * F.col("lexical") + 0.10 * F.col("coverage")).alias("score"))
+    return retrieval.seed_scores(index(spark, d).candidates(asked(spark, d), 320))
 
 
 @query("g02_seed_scores", f"WITH {RANK}, {SEEDS} SELECT query_id, doc_id, CAST(round(score, 6) AS DOUBLE) AS score FROM seeds")

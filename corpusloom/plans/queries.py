@@ -79,6 +79,7 @@ from corpusloom.plans import text_queries  # noqa: E402, F401  (they register th
 from corpusloom.plans import retrieval_queries  # noqa: E402, F401
 from corpusloom.plans import graph_queries  # noqa: E402, F401
 from corpusloom.plans import upkeep_queries  # noqa: E402, F401
+from corpusloom.plans import ranking_queries  # noqa: E402, F401
 from corpusloom.plans import answer_queries  # noqa: E402, F401
 from corpusloom.plans import learning_queries  # noqa: E402, F401
 from corpusloom.plans import detail_queries  # noqa: E402, F401

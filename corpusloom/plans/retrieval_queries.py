@@ -26,15 +26,23 @@ chunks AS (SELECT doc_id, source_path, title, k AS chunk_index, section_title, C
     UNION ALL SELECT doc_id, source_path, title, 0, NULL, regexp_replace(text, '^\s+|\s+$', '', 'g') FROM documents d
     WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> '' AND NOT EXISTS (SELECT 1 FROM filled f WHERE f.doc_id = d.doc_id AND f.n > 1))"""
 INDEX = CHUNKS + f""",
-idc AS (SELECT doc_id * 100000 + chunk_index AS chunk_id, * FROM chunks),
+idc AS (SELECT doc_id * 16777216 + chunk_index AS chunk_id, * FROM chunks),
 post AS (SELECT token, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest({TOKENS.format('content')}) AS token FROM idc) GROUP BY token, chunk_id),
 lens AS (SELECT chunk_id, CAST(len({TOKENS.format('content')}) AS BIGINT) AS length FROM idc),
 stats AS (SELECT count(*) AS n, greatest(CAST(sum(length) AS DOUBLE) / count(*), 1.0) AS average, (SELECT count(DISTINCT doc_id) FROM idc) AS d FROM lens),
 dfs AS (SELECT token, count(*) AS df, ln(1 + ((SELECT n FROM stats) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post GROUP BY token),
 mpost AS (SELECT DISTINCT chunk_id, doc_id, unnest({FTOKENS.format("concat_ws(' ', source_path, title, section_title)")}) AS term FROM idc),
 mdf AS (SELECT term, count(DISTINCT doc_id) AS df FROM mpost GROUP BY term)"""
-RANK = INDEX + f""",
-qs AS (SELECT DISTINCT query_id, query_text FROM lexical_candidate),
+ASKED = "qs AS (SELECT DISTINCT query_id, query_text FROM lexical_candidate)"
+# What the learned model and the graph add; nothing, in the queries that have none.
+NO_SEM = "sem AS (SELECT 0::BIGINT AS query_id, 0::BIGINT AS chunk_id, 0::DOUBLE AS semantic WHERE FALSE)"
+NO_EMB = "emb AS (SELECT 0::BIGINT AS query_id, 0::BIGINT AS chunk_id, 0::DOUBLE AS embedding WHERE FALSE), demb AS (SELECT 0::BIGINT AS query_id, 0::BIGINT AS doc_id, 0::DOUBLE AS embedding WHERE FALSE)"
+NO_GRAPH = "gr AS (SELECT 0::BIGINT AS query_id, 0::BIGINT AS doc_id, 0::DOUBLE AS graph WHERE FALSE)"
+
+
+def rank_sql(asked_cte=ASKED, sem=NO_SEM):
+    return INDEX + f""",
+{asked_cte},
 qt AS (SELECT DISTINCT query_id, unnest({_EXACT.format('query_text')}) AS term FROM qs),
 qa AS (SELECT query_id, term AS grp, unnest({ALTS.format('term')}) AS token FROM qt),
 hits AS (SELECT query_id, grp, p.chunk_id, idf, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (SELECT average FROM stats))) AS score
@@ -48,16 +56,22 @@ ms AS (SELECT m.query_id, chunk_id, sum(weight) / any_value(t.total) AS metadata
     JOIN (SELECT query_id, sum(weight) AS total FROM mw GROUP BY query_id) t ON t.query_id = m.query_id GROUP BY m.query_id, chunk_id),
 per AS (SELECT s.query_id, n_groups, n_numeric, most, total_idf FROM (SELECT query_id, count(*) AS n_groups, count(*) FILTER (regexp_full_match(term, '[0-9]+')) AS n_numeric FROM qt GROUP BY query_id) s
     LEFT JOIN (SELECT query_id, max(bm25) AS most FROM acc GROUP BY query_id) m ON m.query_id = s.query_id LEFT JOIN tot ON tot.query_id = s.query_id),
+{sem},
 sc AS (SELECT p.query_id, chunk_id, least(greatest(0.72 * coalesce(bm25 / nullif(most, 0), 0) + 0.28 * coalesce(matched / nullif(total_idf, 0), 0), 0.0), 1.0) AS lexical, least(coalesce(groups / n_groups, 0), 1.0) AS coverage,
-    coalesce(metadata, 0) AS metadata, CASE WHEN n_numeric >= 3 AND coalesce(numeric_hits, 0) = n_numeric THEN 0 ELSE 1 END AS tier
-    FROM (SELECT coalesce(a.query_id, m.query_id) AS query_id, coalesce(a.chunk_id, m.chunk_id) AS chunk_id, bm25, matched, groups, metadata, numeric_hits FROM acc a FULL JOIN ms m ON m.query_id = a.query_id AND m.chunk_id = a.chunk_id) x
+    coalesce(metadata, 0) AS metadata, coalesce(semantic, 0) AS semantic, CASE WHEN n_numeric >= 3 AND coalesce(numeric_hits, 0) = n_numeric THEN 0 WHEN coalesce(groups, 0) + coalesce(hits, 0) > 0 THEN 1 ELSE 2 END AS tier
+    FROM (SELECT coalesce(y.query_id, s.query_id) AS query_id, coalesce(y.chunk_id, s.chunk_id) AS chunk_id, bm25, matched, groups, metadata, hits, numeric_hits, semantic
+    FROM (SELECT coalesce(a.query_id, m.query_id) AS query_id, coalesce(a.chunk_id, m.chunk_id) AS chunk_id, bm25, matched, groups, metadata, hits, numeric_hits FROM acc a FULL JOIN ms m ON m.query_id = a.query_id AND m.chunk_id = a.chunk_id) y
+    FULL JOIN sem s ON s.query_id = y.query_id AND s.chunk_id = y.chunk_id) x
     JOIN per p ON p.query_id = x.query_id),
-cand AS (SELECT *, 0.8 * lexical + 0.4 * metadata AS prefilter, row_number() OVER (PARTITION BY query_id ORDER BY tier, round(0.8 * lexical + 0.4 * metadata, 9) DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 320),
+cand AS (SELECT *, 0.8 * lexical + 0.4 * metadata + 0.1 * semantic AS prefilter, row_number() OVER (PARTITION BY query_id ORDER BY tier, round(0.8 * lexical + 0.4 * metadata + 0.1 * semantic, 9) DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 320),
 ds AS (SELECT coalesce(c.query_id, m.query_id) AS query_id, coalesce(c.doc_id, m.doc_id) AS doc_id, coalesce(meta, 0) AS a, coalesce(content, 0) AS b
-    FROM (SELECT query_id, CAST(floor(chunk_id / 100000) AS BIGINT) AS doc_id, count(DISTINCT grp) AS content FROM gs GROUP BY ALL) c
+    FROM (SELECT query_id, chunk_id // 16777216 AS doc_id, count(DISTINCT grp) AS content FROM gs GROUP BY ALL) c
     FULL JOIN (SELECT query_id, doc_id, count(DISTINCT qt.term) AS meta FROM qt JOIN mpost p ON p.term = qt.term GROUP BY ALL) m ON m.query_id = c.query_id AND m.doc_id = c.doc_id),
 docsc AS (SELECT ds.query_id, doc_id, (2 * a + b) / (3.0 * n_groups) AS lexical_doc, greatest(a, b) / n_groups AS doc_coverage, CASE WHEN greatest(a, b) / n_groups >= 0.99 THEN 0.18 WHEN greatest(a, b) / n_groups >= 0.75 THEN 0.08 ELSE 0.0 END AS specificity
     FROM ds JOIN per ON per.query_id = ds.query_id)"""
+
+
+RANK = rank_sql()
 R = lambda cs: ", ".join(f"CAST(round({c}, 6) AS DOUBLE) AS {c}" for c in cs.split())
 
 
@@ -123,8 +137,7 @@ def a08(spark, d):
 @query("q01_idf", f"WITH {INDEX} SELECT token, round(idf, 6) AS idf FROM dfs")
 def q01(spark, d):
     ix = index(spark, d)
-    df = ix.post.groupBy("token").agg(F.count("*").alias("df"))
-    return df.select("token", F.round(retrieval.idf(F.lit(ix.n_chunks), F.col("df")), 6).alias("idf"))
+    return ix.vocab.select("token", F.round(retrieval.idf(F.lit(ix.n_chunks), F.col("df")), 6).alias("idf"))
 
 
 @query("q02_bm25_groups", f"WITH {RANK} SELECT query_id, grp, chunk_id, round(b.score, 6) AS score, round(b.idf, 6) AS idf FROM gs")
@@ -145,7 +158,7 @@ def q04(spark, d):
 @query("q07_candidates", f"WITH {RANK} SELECT query_id, chunk_id, CAST(rank AS INT) AS rank, CAST(tier AS INT) AS tier, {R('lexical coverage metadata prefilter')} FROM cand")
 def q07(spark, d):
     ix, qs = index(spark, d), cut(asked(spark, d), "queries")
-    return r6(ix.candidates(qs, scores=cut(ix.group_scores(qs), "scores")), "lexical", "coverage", "metadata", "prefilter")
+    return r6(ix.candidates(qs).drop("semantic"), "lexical", "coverage", "metadata", "prefilter")
 
 
 @query("q09_document_scores", f"WITH {RANK} SELECT query_id, doc_id, {R('lexical_doc doc_coverage specificity')} FROM docsc")
@@ -156,13 +169,20 @@ def q09(spark, d):
 _TERMS = f"list_distinct({_EXACT.format('query_text')})"
 _MD = "concat_ws(' ', source_path, title, section_title)"
 _STEM = f"lower(strip_accents({STEM.format('source_path')}))"
-_FMIX = {m: {("overlap" if k == "metadata" else k): v for k, v in w.items() if k not in ("semantic", "embedding", "graph")} for m, w in retrieval.CHUNK_MIX.items()}
+_FMIX = {m: {("overlap" if k == "metadata" else k): v for k, v in w.items()} for m, w in retrieval.CHUNK_MIX.items()}
 _mix = lambda mix: "CASE mode " + " ".join(f"WHEN '{m}' THEN " + " + ".join(f"{c} * {v}" for c, v in w.items()) for m, w in mix.items()) + " END"
-FEATURES = RANK + f""",
-base AS (SELECT c.query_id, c.chunk_id, c.rank, c.lexical, c.coverage, i.doc_id, i.source_path, i.title, i.section_title,
+MODE = f"CASE WHEN {' OR '.join(f"contains(lower(strip_accents(query_text)), '{x}')" for x in T.LOOKUP)} THEN 'lookup' WHEN {' OR '.join(f"contains(lower(strip_accents(query_text)), '{x}')" for x in T.RECALL)} THEN 'recall' ELSE 'concept' END"
+
+
+def features_sql(rank=RANK, graph=NO_GRAPH, emb=NO_EMB):
+    return rank + f""", {graph},
+cg AS (SELECT c.query_id, c.chunk_id, c.rank, c.lexical, c.coverage, c.semantic, coalesce(g.graph, 0) AS graph FROM cand c LEFT JOIN gr g ON g.query_id = c.query_id AND g.doc_id = c.chunk_id // 16777216
+    UNION ALL SELECT g.query_id, f.chunk_id, 1000000 + g.nth, 0, 0, 0, g.graph FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(graph, 9) DESC, doc_id) AS nth FROM gr QUALIFY nth <= 20) g
+    JOIN (SELECT doc_id, min(chunk_id) AS chunk_id FROM idc GROUP BY doc_id) f ON f.doc_id = g.doc_id WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c.query_id = g.query_id AND c.chunk_id = f.chunk_id)), {emb},
+base AS (SELECT c.query_id, c.chunk_id, c.rank, c.lexical, c.coverage, c.semantic, c.graph, coalesce(e.embedding, 0) AS embedding, i.doc_id, i.source_path, i.title, i.section_title,
     {_EXACT.format('query_text')} AS ordered, lower(strip_accents(trim(query_text))) AS folded, list_distinct({TOKENS.format(_MD)}) AS md, lower(strip_accents({_MD})) AS fmd, {_STEM} AS stem,
-    CASE WHEN {' OR '.join(f"contains(lower(strip_accents(query_text)), '{x}')" for x in T.LOOKUP)} THEN 'lookup' WHEN {' OR '.join(f"contains(lower(strip_accents(query_text)), '{x}')" for x in T.RECALL)} THEN 'recall' ELSE 'concept' END AS mode
-    FROM cand c JOIN idc i ON i.chunk_id = c.chunk_id JOIN qs ON qs.query_id = c.query_id),
+    {MODE} AS mode
+    FROM cg c JOIN idc i ON i.chunk_id = c.chunk_id JOIN qs ON qs.query_id = c.query_id LEFT JOIN emb e ON e.query_id = c.query_id AND e.chunk_id = c.chunk_id),
 uniq AS (SELECT *, [x FOR x, k IN ordered IF list_position(ordered, x) = k] AS uterms, list_distinct(list_filter([lower(strip_accents(title)), stem, lower(strip_accents({STRIP.format(STEM.format('source_path'))}))], lambda a: trim(a) <> '')) AS aliases FROM base),
 feat AS (SELECT *, CASE WHEN len(uterms) > 0 AND len(md) > 0 THEN list_sum([CASE WHEN regexp_full_match(t, '[0-9]+') THEN 2.5 ELSE 1.0 END * CASE WHEN list_contains(md, t) THEN 1 ELSE 0 END FOR t IN uterms])
         / list_sum([CASE WHEN regexp_full_match(t, '[0-9]+') THEN 2.5 ELSE 1.0 END FOR t IN uterms]) ELSE 0.0 END AS overlap,
@@ -175,26 +195,13 @@ feat AS (SELECT *, CASE WHEN len(uterms) > 0 AND len(md) > 0 THEN list_sum([CASE
 scored AS (SELECT *, least({_mix(_FMIX)} + exact_bonus, 1.0) AS score FROM feat)"""
 
 
+FEATURES = features_sql()
+
+
 def _featured(spark, d):
-    ix, qs = index(spark, d), cut(asked(spark, d), "queries")
-    return ix.featured(qs, scores=cut(ix.group_scores(qs), "scores"))
+    return index(spark, d).featured(cut(asked(spark, d), "queries"))
 
 
 @query("q20_chunk_features", f"WITH {FEATURES} SELECT query_id, chunk_id, mode, round(overlap, 6) AS metadata_overlap, {R('exact_bonus exactness entity compactness score')} FROM scored WHERE score > 0 OR overlap > 0")
 def q20(spark, d):
     return r6(_featured(spark, d).select("query_id", "chunk_id", "mode", "metadata_overlap", "exact_bonus", "exactness", "entity", "compactness", "score"), "metadata_overlap", "exact_bonus", "exactness", "entity", "compactness", "score")
-
-
-_DMIX = {m: {k: v for k, v in w.items() if k != "graph"} for m, w in retrieval.DOCUMENT_MIX.items()}
-
-
-@query("q22_ranked_documents", f"""WITH {FEATURES}, ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_path ORDER BY round(score, 9) DESC, rank) AS pos FROM scored WHERE score > 0 OR overlap > 0),
-rolled AS (SELECT query_id, source_path, max(score) FILTER (pos = 1) AS best, coalesce(max(score) FILTER (pos = 2), 0) AS second, max(overlap) AS metadata, max(exact_bonus) AS exact_bonus, max(exactness) AS exactness, max(entity) AS entity,
-    max(coverage) AS coverage, arg_min(doc_id, pos) AS doc_id, any_value(mode) AS mode FROM ordered GROUP BY query_id, source_path),
-final AS (SELECT r.query_id, r.doc_id, source_path, doc_coverage, {_mix(_DMIX)} + specificity AS score FROM (SELECT r.*, coalesce(lexical_doc, 0) AS lexical_doc, coalesce(doc_coverage, 0) AS doc_coverage, coalesce(specificity, 0) AS specificity
-    FROM rolled r LEFT JOIN docsc s ON s.query_id = r.query_id AND s.doc_id = r.doc_id) r),
-ranked AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS nxt FROM final WINDOW w AS (PARTITION BY query_id ORDER BY round(score, 9) DESC, source_path))
-SELECT query_id, doc_id, source_path, round(score, 6) AS score, CAST(rank AS INT) AS rank, round(least(greatest(0.45 * least(greatest(score, 0), 1) + 0.35 * least(doc_coverage, 1)
-    + 0.15 * CASE WHEN nxt IS NULL THEN 1 ELSE least(greatest(score - nxt, 0) / greatest(score, 0.1), 1) END, 0), 1), 6) AS confidence FROM ranked WHERE rank <= 10""")
-def q22(spark, d):
-    return r6(index(spark, d).ranked_documents(asked(spark, d)), "score", "confidence")

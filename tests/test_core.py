@@ -71,7 +71,7 @@ def test_bm25_rises_with_frequency_and_candidates_in_range(spark):
     ix = retrieval.Index.build(chunking.sections(docs))
     q = spark.createDataFrame([(1, "seven"), (2, ""), (3, None)], "query_id bigint, query_text string")
     got = ix.candidates(q).orderBy("rank").collect()
-    assert [r.chunk_id for r in got] == [100000, 200000] and all(0 <= r.lexical <= 1 for r in got) and got[0].coverage == 1.0
+    assert [r.chunk_id for r in got] == [1 << 24, 2 << 24] and all(0 <= r.lexical <= 1 for r in got) and got[0].coverage == 1.0
     ranked = ix.ranked_documents(q).orderBy("rank").collect()
     assert ranked[0].doc_id == 1 and all(0 <= r.confidence <= 1 for r in ranked)
 
@@ -81,7 +81,7 @@ def test_metadata_only_recall_and_numbers_first(spark):
     ix = retrieval.Index.build(chunking.sections(docs))
     q = spark.createDataFrame([(1, "sprint 2026 04 05")], "query_id bigint, query_text string")
     first = ix.candidates(q, 1).collect()
-    assert [r.chunk_id for r in first] == [99 * 100000] and first[0].tier == 0
+    assert [r.chunk_id for r in first] == [99 << 24] and first[0].tier == 0
 
 
 def test_links_and_walks(spark):
