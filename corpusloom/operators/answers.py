@@ -179,3 +179,63 @@ def nearest_rank(df: DataFrame, value: str, quantiles: list[float]) -> DataFrame
     total = rows.agg(F.sum("n")).first()[0] or 0
     want = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("quantile"), F.lit(math.ceil((total - 1) * q)).alias("at")) for q in quantiles])).alias("w")
     return upto.select("*", want).filter((F.col("w.at") >= F.col("before")) & (F.col("w.at") < F.col("before") + F.col("n"))).select("w.quantile", value)
+
+
+# What is said where there is nothing to say, and how unsure answers begin.
+NO_TERMS = "I could not match this query to any learned memory yet."
+NO_RESULTS = "No relevant memories were found for this query."
+
+
+def rendered_results(bundles: DataFrame, chunks: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(query_id, source_path, rank, score, content, chunk_index): each ranked document's shown chunks (bundles: query_id, source_path, rank,
+    chunk_id, place; six at most) put together and cleaned; score between 0 and 1; the number of the first chunk."""
+    shown = bundles.join(chunks.select("chunk_id", "content", "chunk_index"), "chunk_id")
+    g = shown.groupBy("query_id", "source_path", "rank").agg(F.array_sort(F.collect_list(F.struct("place", "content", "chunk_index"))).alias("parts"))
+    text = T.evidence_text(F.array_join(F.transform("parts", lambda p: p["content"]), "\n\n"))
+    clamp = F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
+    return g.join(ranked.select("query_id", "source_path", clamp.alias("score")), ["query_id", "source_path"]).select("query_id", "source_path", "rank", "score", text.alias("content"), F.get("parts", F.lit(0))["chunk_index"].alias("chunk_index"))
+
+
+def simple_answers(evidence: DataFrame, top: int = 3) -> DataFrame:
+    """(query_id, answer): the first texts of each query, in order, as they stand."""
+    e = evidence.filter(F.col("rank") <= top).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("a"))
+    return e.select("query_id", F.array_join(F.transform("a", lambda x: F.coalesce(x["text"], F.lit(""))), " ").alias("answer"))
+
+
+def outlines(text: Column, most: int = 12) -> Column:
+    """The headings of a text, cleaned, each once, most of them at most."""
+    heads = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x.startswith("#"))
+    named = F.filter(F.transform(heads, lambda h: F.rtrim(F.regexp_replace(T.clean_sentence(h), r"\.+$", ""))), lambda h: F.octet_length(h) >= 4)
+    first = F.filter(F.transform(named, lambda h, i: F.struct(h.alias("h"), (F.array_position(F.transform(named, T.sentence_key), T.sentence_key(h)) == i + 1).alias("new"))), lambda x: x["new"])
+    return F.slice(F.transform(first, lambda x: x["h"]), 1, most)
+
+
+
+def answer_texts(queries: DataFrame, results: DataFrame, sentences: DataFrame, concept_rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query_id, answer, confidence): an answer for every query of the batch.
+
+    results: (query_id, rank, confidence); sentences: (query_id, place, source_path, sentence); concept_rows: (query_id, term, rank); texts:
+    (query_id, rank, text), of which the first gives the outline. Under .3 and .6 of confidence it begins with a caveat. A query without
+    a term, or without a result, gets a fixed message and a confidence of 0.
+    """
+    said = sentences.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "sentence"))).alias("s"), F.array_sort(F.collect_set(F.regexp_extract("source_path", r"([^/]*)$", 1))).alias("sources"))
+    known = concept_rows.filter("rank <= 8").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("c"))
+    top = results.filter("rank = 1").select("query_id", "confidence")
+    heads = texts.filter("rank = 1").select("query_id", outlines(F.col("text")).alias("heads"))
+    q = queries.join(top, "query_id", "left").join(said, "query_id", "left").join(known, "query_id", "left").join(heads, "query_id", "left")
+    c = F.format_number("confidence", 2)
+    lead = F.when(F.col("confidence") < 0.3, F.concat(F.lit("I have limited knowledge about this topic (confidence: "), c, F.lit("). From available evidence: "))).when(
+        F.col("confidence") < 0.6, F.concat(F.lit("Based on available evidence (confidence: "), c, F.lit("), "))).otherwise("")
+    part = lambda name, xs, sep: F.when(F.size(xs) > 0, F.concat(F.lit(f" [{name}: "), F.array_join(xs, sep), F.lit("]"))).otherwise("")
+    none = F.array().cast("array<string>")
+    text = F.concat(lead, F.array_join(F.coalesce(F.transform("s", lambda x: x["sentence"]), none), " "), part("Key concepts", F.coalesce(F.transform("c", lambda x: x["term"]), none), ", "), part("Sections", F.coalesce("heads", none), "; "), part("Sources", F.coalesce("sources", none), ", "))
+    terms = F.size(T.exact_terms(F.coalesce("query_text", F.lit(""))))
+    return q.select("query_id", F.when(terms == 0, NO_TERMS).when(F.col("confidence").isNull(), NO_RESULTS).otherwise(text).alias("answer"), F.when(terms == 0, 0.0).otherwise(F.coalesce("confidence", F.lit(0.0))).alias("confidence"))
+
+
+def project_link(name: Column, aliases: dict[str, str], prefix: str) -> Column:
+    """The target of the first alias that is part of a project's name, else the name under the prefix; null without a name."""
+    out = F.concat(F.lit(f"{prefix}/"), name)
+    for alias, target in reversed(aliases.items()):
+        out = F.when(F.contains(F.lower(name), F.lit(alias)), target).otherwise(out)
+    return F.when(name.isNotNull() & (name != "") & (name != "unknown"), out)

@@ -114,10 +114,9 @@ def n04(spark, d):
     return answers.selected_sentences(evidence(spark, d))
 
 
-@query("n06_simple_answer", f"WITH {EVIDENCE} SELECT query_id, md5(string_agg(source_path, chr(10) ORDER BY rank)) AS digest FROM ev WHERE rank <= 3 GROUP BY query_id")
+@query("n06_simple_answer", f"WITH {EVIDENCE} SELECT query_id, md5(string_agg(text, ' ' ORDER BY rank)) AS digest FROM ev WHERE rank <= 3 GROUP BY query_id")
 def n06(spark, d):
-    e = evidence(spark, d).filter("rank <= 3").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source_path"))).alias("a"))
-    return e.select("query_id", F.md5(F.array_join(F.transform("a", lambda x: x["source_path"]), "\n")).alias("digest"))
+    return answers.simple_answers(evidence(spark, d)).select("query_id", F.md5("answer").alias("digest"))
 
 
 @query("s20_conversation_chain", """WITH RECURSIVE one AS (SELECT conversation_id, node_id, max(parent) AS parent, max(current_node) AS cur FROM chatgpt_node WHERE conversation_id IS NOT NULL AND node_id IS NOT NULL GROUP BY ALL),

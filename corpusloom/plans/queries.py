@@ -83,3 +83,4 @@ from corpusloom.plans import ranking_queries  # noqa: E402, F401
 from corpusloom.plans import answer_queries  # noqa: E402, F401
 from corpusloom.plans import learning_queries  # noqa: E402, F401
 from corpusloom.plans import detail_queries  # noqa: E402, F401
+from corpusloom.plans import learned_queries  # noqa: E402, F401

@@ -124,9 +124,10 @@ def a05(spark, d):
     return retrieval.metadata_frequencies(chunks(spark, d))
 
 
-@query("a06_document_token_sets", f"WITH {INDEX} SELECT i.doc_id, count(DISTINCT token) AS n_tokens FROM post p JOIN idc i ON i.chunk_id = p.chunk_id GROUP BY i.doc_id")
+@query("a06_document_token_sets", f"WITH {INDEX} SELECT doc_id, md5(string_agg(token, ' ' ORDER BY token)) AS digest, count(*) AS n_tokens FROM (SELECT DISTINCT i.doc_id, token FROM post p JOIN idc i ON i.chunk_id = p.chunk_id) GROUP BY doc_id")
 def a06(spark, d):
-    return chunks(spark, d).select("doc_id", F.explode(T.tokens(F.col("content"))).alias("t")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_tokens"))
+    sets = chunks(spark, d).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_distinct(T.tokens(F.col("content"))))))).alias("ts"))  # a set is one value of its document
+    return sets.filter(F.size("ts") > 0).select("doc_id", F.md5(F.array_join("ts", " ")).alias("digest"), F.size("ts").cast("bigint").alias("n_tokens"))
 
 
 @query("a08_source_chunk_count", f"WITH {CHUNKS} SELECT source_path, count(*) AS n, round(1 / sqrt(count(*)), 6) AS compactness FROM chunks GROUP BY source_path")
