@@ -60,7 +60,7 @@ def updated(values: np.ndarray, basis: np.ndarray, rows: np.ndarray, cols: np.nd
     n, k = basis.shape
     delta = lambda v: np.stack([np.bincount(rows, weights=rate * w * v[cols, j], minlength=n) for j in range(v.shape[1])], axis=1)
     extra = delta(basis)
-    extra -= basis @ (basis.T @ extra)
+    extra = extra - basis @ (basis.T @ extra)
     q, r = np.linalg.qr(extra)
     q = q[:, np.abs(np.diag(r)) > 1e-10]
     wide = np.hstack([basis, q])

@@ -83,7 +83,7 @@ def converted(files: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
     """converted() of the readable files under a folder."""
-    return converted(discover(spark, root, ignore).select("path", "content"))
+    return converted(discover(spark, root, ignore, [*EXTENSIONS, "ipynb", "tsv", "htm"]).select("path", "content"))
 
 
 def file_import(before: DataFrame, files: DataFrame, most: int) -> DataFrame:

@@ -13,11 +13,11 @@ EXTENSIONS = ("md markdown pdf txt canvas json jsonl js ts jsx tsx rs py sh zsh
 SKIPPED = (".git .obsidian .entire node_modules target .next dist build coverage .venv venv vendor").split()
 
 
-def is_readable(path: Column) -> Column:
+def is_readable(path: Column, extensions: list[str] = EXTENSIONS) -> Column:
     """The extension is on the list (any case, or an .env file) and no folder of the path is passed over."""
     name = F.regexp_extract(path, r"([^/]*)$", 1)
     ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    return (ext.isin(EXTENSIONS) | F.startswith(name, F.lit(".env"))) & ~F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in SKIPPED])) & ~name.isin(".DS_Store", ".vault_index.db")
+    return (ext.isin(extensions) | F.startswith(name, F.lit(".env"))) & ~F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in SKIPPED])) & ~name.isin(".DS_Store", ".vault_index.db")
 
 
 def glob_regex(pattern: str) -> str:
@@ -48,12 +48,12 @@ def ignored(path: Column, lines: list[str]) -> Column:
     return path.rlike("^(?:" + "|".join(parts) + ")$") if parts else F.lit(False)
 
 
-def discover(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
+def discover(spark: SparkSession, root: str, ignore: list[str] | None = None, extensions: list[str] = EXTENSIONS) -> DataFrame:
     """(path, length, modificationTime, content) of the readable, non-empty files under a folder."""
     base = root.rstrip("/")
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).filter("length > 0")
     inner = F.regexp_replace("path", "^.*?" + re.escape(base.replace("file://", "")) + "/", "")
-    return df.filter(is_readable(F.col("path")) & ~ignored(inner, ignore or []))
+    return df.filter(is_readable(F.col("path"), extensions) & ~ignored(inner, ignore or []))
 
 
 def read_only(spark: SparkSession, sql: str) -> DataFrame:
