@@ -64,20 +64,25 @@ def packed_paragraphs(text: str, tokens: int, overlap: int) -> list[str]:
     return out + ([held] if held else [])
 
 
-def chunks(docs: DataFrame, tokens: int = 512, overlap: int = 64) -> DataFrame:
+#: Bytes of a text, and the tokens and overlap of its chunks below that size; the last are those of larger ones.
+PROFILE = ((512 << 10, 512, 64), (2 << 20, 1024, 128), (5 << 20, 2048, 256), (1 << 62, 3072, 384))
+
+
+def chunks(docs: DataFrame, tokens: int | None = 512, overlap: int = 64) -> DataFrame:
     """sections() with those larger than tokens cut again: (doc_id, source_path, title, chunk_index, section_title, content, token_count).
 
-    Pieces of a section lose its title. No shuffle: all chunks of a document come from its one row.
+    Without tokens, a text's size decides, see PROFILE. Pieces of a section lose its title. No shuffle: all chunks of a document come from
+    its one row.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: dict[str, list] = {n: [] for n in ("doc_id", "source_path", "title", "chunk_index", "section_title", "content", "token_count")}
-            for doc, path, title, secs in zip(*(c.to_pylist() for c in b.columns)):
-                k = 0
+            for doc, path, title, secs, size in zip(*(c.to_pylist() for c in b.columns)):
+                k, (most, shared) = 0, (tokens, overlap) if tokens else next((t, o) for n, t, o in PROFILE if size < n)
                 for s in secs:
-                    small = -(-len(s["content"].encode()) // 4) <= tokens
+                    small = -(-len(s["content"].encode()) // 4) <= most
                     whole = s["section_title"] is None and len(secs) == 1
-                    parts = [s["content"]] if small and not whole else windows(s["content"], tokens, overlap) if whole else packed_paragraphs(s["content"], tokens, overlap)
+                    parts = [s["content"]] if small and not whole else windows(s["content"], most, shared) if whole else packed_paragraphs(s["content"], most, shared)
                     for p in parts:
                         for n, v in zip(rows, (doc, path, title, k, s["section_title"] if small else None, p, -(-len(p.encode()) // 4))):
                             rows[n].append(v)
@@ -85,7 +90,7 @@ def chunks(docs: DataFrame, tokens: int = 512, overlap: int = 64) -> DataFrame:
             types = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types)], names=list(rows))
 
-    arr = docs.filter(F.regexp_replace("text", _EDGES, "") != "").select("doc_id", "source_path", "title", _section_array().alias("secs"))
+    arr = docs.filter(F.regexp_replace("text", _EDGES, "") != "").select("doc_id", "source_path", "title", _section_array().alias("secs"), F.octet_length("text").cast("bigint").alias("size"))
     return arr.mapInArrow(run, "doc_id bigint, source_path string, title string, chunk_index int, section_title string, content string, token_count int")
 
 

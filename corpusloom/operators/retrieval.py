@@ -148,13 +148,19 @@ class Index:
         return {"chunks": chunks, "post": post.repartitionByRange("token", "chunk_id").sortWithinPartitions("token", "chunk_id"),  # row groups hold few tokens, so a query's are found by their bounds
                 "meta": meta, "terms": meta.select("term", "doc_id").distinct(), "profile": profiles(chunks).join(paths, "source_path")}
 
+    @staticmethod
+    def counted(post: DataFrame) -> DataFrame:
+        """(token, df, cf): in how many chunks a token is, and how often."""
+        return post.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
     @classmethod
     def over(cls, tables: dict[str, DataFrame]) -> "Index":
-        """The index of written tables(), with the statistics that ranking needs."""
+        """The index of written tables(), with the statistics that ranking needs; counted() may be among them as vocab."""
         post, profile = tables["post"], tables["profile"]
-        vocab = cut(post.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "vocabulary")
+        vocab = cut(tables["vocab"] if "vocab" in tables else cls.counted(post), "vocabulary")
         n, docs, latest = profile.agg(F.count(F.lit(1)), F.count_distinct("doc_id"), F.max("ordinal")).first()
-        n_post, total = post.agg(F.count(F.lit(1)), F.sum("tf")).first()
+        n_post, total = vocab.agg(F.coalesce(F.sum("df"), F.lit(0)), F.sum("cf")).first()
+        vocab = vocab.drop("cf")
         return cls(tables["chunks"], post, vocab, tables["meta"], tables["terms"], profile, n, max((total or 0) / n, 1.0) if n else 1.0, docs, n_post, latest)
 
     @classmethod

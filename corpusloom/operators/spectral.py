@@ -163,10 +163,14 @@ class Model:
         return Model(self.token_vectors, self.values, self.cooc, self.cells, c, cut(docs, "document-vectors"), self._held)
 
 
+def of(cooc: DataFrame, pairs: DataFrame) -> Model:
+    """The model of a co-occurrence (a, b, w) and its eigenpairs (component, eigenvalue, token, value), without texts."""
+    values = [r[0] for r in pairs.groupBy("component").agg(F.first("eigenvalue").alias("v")).orderBy("component").select("v").collect()]
+    tokens = pairs.groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("component", "value"))), lambda x: x["value"]).alias("vec"))
+    return Model(cut(tokens, "token-vectors"), values, cooc, cooc.count())
+
+
 def learned(chunks: DataFrame, k: int | None = None) -> Model:
     """The model of a corpus: see vectors.eigenpairs()."""
     cooc = cut(vectors.cooccurrence(chunks).withColumn("w", F.round("w", 9)), "cooccurrence")
-    pairs = cut(vectors.eigenpairs(cooc, k, CAP), "eigenpairs")
-    values = [r[0] for r in pairs.groupBy("component").agg(F.first("eigenvalue").alias("v")).orderBy("component").select("v").collect()]
-    tokens = pairs.groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("component", "value"))), lambda x: x["value"]).alias("vec"))
-    return Model(cut(tokens, "token-vectors"), values, cooc, cooc.count()).with_texts(chunks)
+    return of(cooc, cut(vectors.eigenpairs(cooc, k, CAP), "eigenpairs")).with_texts(chunks)

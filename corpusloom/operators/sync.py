@@ -67,11 +67,16 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], added:
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{root}/{folder}/{name}")
         names[name] = [*(names.get(name, []) if added else []), f"{folder}/{name}"]
-    n = int(max([f"{now['generation']:010d}", *listed(spark, f"{root}/generations")])) + 1  # one that no marker, whole or not, has
+    n = next_generation(spark, root)
     put_new(spark, f"{root}/generations/{n:010d}", json.dumps({"generation": n, "tables": names, "whole": True}))
     return n
 
 
+def next_generation(spark: SparkSession, root: str) -> int:
+    """The number after those of all markers, whole or not."""
+    return int(max(["0", *listed(spark, f"{root}/generations")], key=int)) + 1
+
+
 def state(spark: SparkSession, root: str) -> dict:
     """The newest generation that is whole: {generation, tables: {name: folders}}; 0 and no tables before the first.
 

@@ -24,14 +24,28 @@ def test_engine_from_import_to_answer(spark, tmp_path):
     q = spark.createDataFrame([(1, "José Roberto IT profile"), (2, None), (3, "the")], "query_id int, query_text string")
     best = e.query(q).orderBy("rank").collect()
     assert best[0].doc_id == 1 and {r.query_id for r in best} == {1} and all(0 <= r.confidence <= 1 for r in best)
-    said = e.answer(q).orderBy("place").collect()
-    assert said and "Roberto" in said[0].sentence and len({r.sentence for r in said}) == len(said) <= 4
     assert {(r.src, r.dst, r.w) for r in e.links().collect()} == {(2, 1, 1.0), (1, 2, 0.35)}
     assert e.ingest(docs.filter("doc_id = 2").withColumn("text", F.lit("changed entirely"))) == 2
     assert e.documents().count() == 3 and e.document("vault/2026-01-23-daily.md").first().page.text == "changed entirely"
     assert e.sync(docs.filter("doc_id = 1"), "vault") == 3 and e.documents().count() == 1
-    assert e.query(q).filter("doc_id = 2").count() == 0
-    assert e.learn(2).select("component").distinct().count() == 2
+    assert e.sync(docs.filter("doc_id = 1"), "vault") == 3  # nothing new, nothing written
+    before = {(r.token, r.df) for r in e.index().vocab.collect()}
+    assert before == {(r.token, r.df) for r in e.index().counted(e.index().post).collect()}  # counts add up over generations
+    assert e.ingest(docs) == 4 and e.documents().count() == 3
+    assert e.learn(2).select("component").distinct().count() == 2 and e.status().first().learned
+    ranked = e.query(q).orderBy("rank").collect()
+    assert ranked[0].doc_id == 1 and {r.doc_id for r in ranked} == {1, 2}
+    said = {r.query_id: r.answer for r in e.answer_text(q).collect()}
+    assert said[3] == answers.NO_TERMS and "Roberto" in said[1]
+    shown = e.search(q, 2, 100).orderBy("rank").first()
+    assert shown.content.startswith("# Profile") and len(shown.content) <= 101
+    n = e.compact()
+    assert e.documents().count() == 3 and e.status().first().generation == n
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "x.md").write_text("# Walks\n\nA note about random walks on graphs.")
+    m = e.import_files(f"file://{tmp_path}/files")
+    assert m == n + 1 == e.import_files(f"file://{tmp_path}/files") and e.documents().count() == 4
+    assert e.index().vocab.filter("token = 'walks'").count() == 1
 
 
 def test_rules_by_priority_and_cascade(spark):
