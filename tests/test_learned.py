@@ -117,6 +117,12 @@ def test_reflection(spark):
     assert reflection.collapse_risk(np.ones((4, 2)) / 2, 4, 0.1, 0.5) == "low_coherence" and reflection.collapse_risk(np.ones((4, 2)), 4, 0.1, 0.96) is None
 
 
+def test_hypotheses_of_the_last_failures(spark):
+    rows = [(f"q{k}", r, k) for k, r in enumerate(["ambiguous_query"] * 5 + ["low_confidence"] * 7 + ["out_of_domain"] * 3)]
+    got = reflection.hypotheses(spark.createDataFrame(rows, "query_id string, reason string, created_at int"))
+    assert {tuple(r) for r in got.collect()} == {("low_confidence", 7, "add_concepts", 0.7), ("out_of_domain", 3, "change_domain", 0.5)}
+
+
 def test_consolidation(spark):
     e = np.eye(5)
     assert reflection.subspace_alignment(e[:, :2], e[:, :2]) == 1.0 and reflection.subspace_alignment(e[:, :2], e[:, 2:4]) == 0.0

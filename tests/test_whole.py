@@ -1,6 +1,7 @@
 """Nothing is left out: texts, cells, pages, records and formulas that were once cut off."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from corpusloom.operators import chunking, graph, incremental, retrieval, vectors
 from corpusloom.plans.queries import Q
@@ -15,12 +16,14 @@ def test_windows_of_texts_with_headings(spark, tmp_path):
     assert all(r.token_count <= 128 for r in rows) and len([r for r in rows if r.doc_id == 2]) > 5
 
 
-def test_dates_and_classes_count_in_the_ranking(spark):
+def test_dates_and_classes_count_in_the_ranking(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "notes/2026-03-01-standup.md", "standup", "team standup plan"), (2, "notes/2026-04-05-standup.md", "standup", "team standup plan"), (3, "research/standup.md", "standup", "team standup plan")],
                                  "doc_id bigint, source_path string, title string, text string")
     ix = retrieval.Index.build(chunking.sections(docs))
     q = spark.createDataFrame([(1, "standup 2026-03-01"), (2, "standup research")], "query_id bigint, query_text string")
-    plain = {(r.query_id, r.doc_id): r.score for r in ix.ranked_documents(q).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(retrieval, "mode_bias", lambda latest: F.lit(0.0))
+        plain = {(r.query_id, r.doc_id): r.score for r in ix.ranked_documents(q).collect()}
     got = {(r.query_id, r.doc_id): r for r in ix.ranked_documents(q).collect()}
     more = {k: r.score - plain[k] for k, r in got.items()}
     assert got[1, 1].rank == 1 and more[1, 1] > 0.40 + 0.04 / (1 + 35 / 7) - 1e-9  # the date, and freshness of 35 days
