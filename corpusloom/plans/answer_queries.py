@@ -7,9 +7,9 @@ from corpusloom.functions import text as T
 from corpusloom.operators import answers, hierarchy
 from corpusloom.plans.registry import query
 from corpusloom.plans.ranking_queries import _PROF, RANKED, _in, _list, class_bias_sql
-from corpusloom.plans.retrieval_queries import index, r6
+from corpusloom.plans.retrieval_queries import index, index_for, r6
 from corpusloom.plans.text_queries import _EXACT, TOKENS, asked, dates_sql, docs
-from corpusloom.session import table
+from corpusloom.session import cut, table
 
 def _profiled(spark, d):
     p = F.concat_ws(" ", "source_path", "title")
@@ -97,8 +97,8 @@ ev AS (SELECT f.query_id, f.source_path, round(f.score, 6) AS score, d.text, q.q
 
 def evidence(spark, d):
     """The first five documents of each query, whole texts joined on after the ranking."""
-    q = asked(spark, d)
-    best = index(spark, d).ranked_documents(q, 5).select("query_id", "doc_id", "source_path", F.round("score", 6).alias("score"), "rank")
+    q = cut(asked(spark, d), "queries")
+    best = cut(index_for(spark, d, q).ranked_documents(q, 5).select("query_id", "doc_id", "source_path", F.round("score", 6).alias("score"), "rank"), "ranked")
     return best.join(docs(spark, d).select("doc_id", "text"), "doc_id").join(q, "query_id")
 
 
