@@ -8,7 +8,7 @@ from corpusloom.plans.answer_queries import EVIDENCE, evidence
 from corpusloom.plans.ranking_queries import token_vectors
 from corpusloom.plans.registry import query
 from corpusloom.plans.detail_queries import _RANKED
-from corpusloom.plans.retrieval_queries import index, r6
+from corpusloom.plans.retrieval_queries import index, index_for, r6
 from corpusloom.plans.text_queries import asked, docs
 from corpusloom.plans.upkeep_queries import TRAJECTORIES, trajectories
 from corpusloom.session import cut, table
@@ -85,8 +85,11 @@ j AS (SELECT query_id, source_path, dr, string_agg(content, chr(10) || chr(10) O
 SELECT j.query_id, j.source_path, CAST(j.dr AS INT) AS rank, CAST(round(least(greatest(b.score, 0), 1), 6) AS DOUBLE) AS score, CAST(first AS INT) AS chunk_index,
 md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '^\\s*---\\n(?:.*\\n)*?---[ \\t]*(?:\\n|$)', ''), '(?m)[ \\t]+$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS digest FROM j JOIN best b ON b.query_id = j.query_id AND b.source_path = j.source_path""")
 def q25(spark, d):
-    ix, qs = index(spark, d), cut(asked(spark, d), "queries")
-    ranked, shown = ix.ranked_documents(qs), ix.bundles(qs)
+    qs = cut(asked(spark, d), "queries")
+    ix = index_for(spark, d, qs)
+    found = cut(ix.candidates(qs), "candidates")
+    ranked = cut(ix.ranked_documents(qs, found=found), "ranked")
+    shown = ix.bundles(qs, ranked=ranked, found=found)
     r = answers.rendered_results(shown, ix.chunks.select(retrieval.chunk_id(), "content", "chunk_index"), ranked)
     return r6(r.select("query_id", "source_path", "rank", "score", "chunk_index", F.md5("content").alias("digest")), "score")
 
@@ -94,7 +97,7 @@ def q25(spark, d):
 @query("n05_answer_texts")
 def n05(spark, d):
     qs = cut(asked(spark, d), "queries")
-    ranked = cut(index(spark, d).ranked_documents(qs, 5), "ranked")
+    ranked = cut(index_for(spark, d, qs).ranked_documents(qs, 5), "ranked")
     e = cut(ranked.select("query_id", "doc_id", "source_path", "score", "rank").join(docs(spark, d).select("doc_id", "text"), "doc_id").join(qs, "query_id"), "evidence")
     return r6(answers.answer_texts(qs, ranked, answers.selected_sentences(e), answers.concepts(e), e), "confidence")
 
