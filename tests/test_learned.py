@@ -51,6 +51,39 @@ def test_model_against_numpy(spark):
     assert [round(x, 3) for x in full.document_vectors.first().vec] == [0.354, 0.854]
 
 
+def test_cooccurrence_counts_once_and_as_defined(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"t{x}" for x in r.integers(0, 7, n)) for n in (*range(1, 9), 40, 3, 4, 200)] + ["", None, "one", "é a é b é"]
+    chunks = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "doc_id long, chunk_index int, content string")
+    want = {}
+    for t in texts:
+        ts = (t or "").split()
+        n = len(ts)
+        near = [(i, i + o, 0.2) for i in range(2, n - 2) for o in (-2, -1, 1, 2) if ts[i] != ts[i + o]] if n >= 5 else [(i, j, 1 / n) for i in range(n) for j in range(i + 1, n)]
+        for i, j, w in near:
+            for a, b in {(ts[i], ts[j]), (ts[j], ts[i])}:
+                want[a, b] = want.get((a, b), 0.0) + w
+    monkeypatch.setattr(vectors, "AT_ONCE", 30)
+    found = vectors.cooccurrence(chunks)
+    got = {(x.a, x.b): x.w for x in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1  # the mirror does not count anew
+
+
+def test_best_pairs_are_the_related_pairs(spark):
+    r = np.random.default_rng(6)
+    names = [f"n{k:02d}" for k in range(12)]
+    cells = {(a, b): float(r.choice([0.04, 0.2, 0.2, 0.4, 3.0, 3.0000000001, 90000.0, 90000.2])) for a in names for b in [*names, *(f"rare{x:03d}" for x in r.integers(0, 300, 60))]}
+    cooc = spark.createDataFrame([(a, b, w) for (a, b), w in cells.items()], "a string, b string, w double")
+    scores = spark.createDataFrame([(q, str(t), float(s)) for q in range(40) for t, s in zip(r.choice(names, 4, replace=False), r.choice([0.05, 0.1, 0.2, 0.123456789012], 4))], "query_id int, token string, score double")
+    rows = lambda df: {(x.query_id, x.a, x.b, x["rank"], round(x.relevance, 12)) for x in df.collect()}
+    for top in (5, 20, 500):
+        assert rows(vectors.best_pairs(cooc, scores, names, top, 4)) == rows(vectors.related_pairs(cooc, scores, top))
+    wanted = scores.select(F.col("token").alias("a")).distinct()
+    assert vectors.neighbours(cooc, wanted, names, 9).agg(F.max(F.size("bs"))).first()[0] < 40  # of over 60
+    assert vectors.best_pairs(cooc, scores.limit(0), names, 5, 4).count() == 0
+
+
 def test_a_token_in_every_chunk_is_spread(spark):
     docs = spark.createDataFrame([(k, f"n/{k}.md", f"T{k}", f"common word{k} common") for k in range(400)], "doc_id long, source_path string, title string, text string")
     ix = retrieval.Index.build(chunking.sections(docs))
