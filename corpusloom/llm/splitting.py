@@ -112,8 +112,7 @@ def pieces(enc: Encoder, text: str, limit: int, overlap: int) -> list[tuple[int,
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must be less than half of limit")
-    total = enc.count(text)
-    if total <= limit:
+    if (total := enc.count_upto(text, limit)) is not None:
         return [(0, 0, len(text), total)]
     most = limit - overlap
     parts: list[tuple[int, int, int, int]] = []

@@ -24,6 +24,7 @@ MEMO, CHARS, LONGEST = 400_000, 6_000_000, 1_024
 # A space or line feed before a visible character always starts a piece of the pattern, whatever stands before it.
 _SPLIT = re.compile(r" (?=\S)").split
 _LINES = re.compile(r"\n(?=\S)").split
+_START = re.compile(r"[ \n](?=\S)").search
 _UNEVEN = re.compile(r" (?:\s|\Z)").search
 
 
@@ -37,7 +38,7 @@ class _Units(dict):
         if self.lines is not None and "\n" in unit and len(parts := _LINES(unit)) > 1:
             ids = self[parts[0]] + b"".join(map(self.lines.__getitem__, parts[1:]))
         else:
-            ids = array("i", self.encode(self.lead + unit)).tobytes()
+            ids = self.encode(self.lead + unit)
         if len(unit) <= LONGEST:
             if (held := self.held + len(unit) + 16) > CHARS:
                 self.clear()
@@ -47,6 +48,23 @@ class _Units(dict):
         return ids
 
 
+class _Pieces(dict):
+    """Piece of the pattern -> its ids as int32 bytes."""
+
+    def __init__(self, encode):
+        self.encode, self.held = encode, 0
+
+    def __missing__(self, p: str) -> bytes:
+        ids = array("i", self.encode(p.encode("utf-8", "replace").decode("latin-1"))).tobytes()
+        if len(p) <= LONGEST:
+            self.held += len(p) + 16
+            if self.held > CHARS:
+                self.clear()
+                self.held = 0
+            self[p] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str):
         import ahocorasick
@@ -62,8 +80,7 @@ class Encoder:
         self.shorter: dict[int, int] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.pieces = regex.compile(PATTERN).findall
-        self.known: dict[str, list[int]] = {}
-        self.held = 0
+        self.known = _Pieces(self.piece)
         lines = _Units(self.unit, "\n")
         self.first, self.later = _Units(self.unit, "", lines), _Units(self.unit, " ", lines)
 
@@ -115,19 +132,8 @@ class Encoder:
                 token = out.pop()
                 at -= len(self.text[token])
 
-    def unit(self, text: str) -> list[int]:
-        out: list[int] = []
-        for p in self.pieces(text):
-            if (ids := self.known.get(p)) is None:
-                ids = self.piece(p.encode("utf-8", "replace").decode("latin-1"))
-                if len(p) <= LONGEST:
-                    self.held += len(p) + 16
-                    if self.held > CHARS:
-                        self.known.clear()
-                        self.held = 0
-                    self.known[p] = ids
-            out += ids
-        return out
+    def unit(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.pieces(text)))
 
     def encode_bytes(self, text: str | None) -> bytes:
         """The ids as int32 in this machine's order; of null and of an empty text none."""
@@ -139,6 +145,17 @@ class Encoder:
     def count(self, text: str | None) -> int:
         return len(self.encode_bytes(text)) // 4
 
+    def count_upto(self, text: str, most: int) -> int | None:
+        """count(), or None if it is over most; of a longer text only as much is encoded as tells it."""
+        at = total = 0
+        while m := _START(text, at + 8 * most + 1):
+            total += self.count(text[at : m.start()])
+            at = m.start()
+            if total > most:
+                return None
+        total += self.count(text[at:])
+        return total if total <= most else None
+
 
 _ENCODERS: dict[str, Encoder] = {}
 

@@ -72,6 +72,19 @@ def test_cuts_at_headings_and_overlaps():
     check_pieces("w " * 40000, 512, 64)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["word ", "\n", "\n\n", " \n ", "é", "日本語", "x" * 40, "  ", "\r\n", "- item\n", "😀", "'s", "\u00a0", "12 "]), max_size=120), st.integers(1, 12))
+def test_count_upto(parts, most):
+    n = enc.count("".join(parts))
+    assert enc.count_upto("".join(parts), most) == (n if n <= most else None)
+
+
+def test_a_long_text_is_not_encoded_to_see_that_it_is_long(monkeypatch):
+    seen, own = [], tokenizer.Encoder.count
+    monkeypatch.setattr(tokenizer.Encoder, "count", lambda self, text: seen.append(len(text)) or own(self, text))
+    assert enc.count_upto("word and\nline " * 50_000, 64) is None and sum(seen) < 2_000
+
+
 def test_split_rows(spark):
     df = spark.createDataFrame([(1, "word " * 200), (2, None), (3, ""), (3, "")], "k long, t string")
     got = splitting.split_texts(df, "k", "t", 64, 8).collect()
